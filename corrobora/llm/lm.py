@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corrobora.llm._shared import materialize
+from corrobora.llm._shared import materialize, release
 
 #: Slots of words, rows of the joint feature, classes, tokens in a chunk, gradient updates.
 SLOTS, JOINT, CLASSES, CHUNK_TOKENS, UPDATES = 4_096, 8_192, 64, 1_000_000, 2
@@ -263,7 +263,9 @@ def score(documents: DataFrame, held_out: Column) -> DataFrame:
     for r in by_slot:
         c[r["slot"]], v[r["slot"]] = r["c"], r["v"]
     n_all, v_all = int(c.sum()), int(v.sum())
+    release(documents.sparkSession)
     model = train(encoded, c, v)
+    release(documents.sparkSession)
     sent = documents.sparkSession.sparkContext.broadcast(model)
     floor = np.log10(n_all + ALPHA * (v_all + 1))
 
