@@ -89,9 +89,11 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column, confirmed: int =
     The samples hold about ``confirmed`` and ``unlabelled`` whole texts, chosen by doc_id.
     """
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    known = documents.where(learn & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(marks, "doc_id", "left")
+    texts = documents.where(learn & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    # Ids alone meet the labels; the texts of the chosen few are read afterwards, so no text is shuffled.
+    known = texts.select("doc_id").join(marks, "doc_id", "left").select("doc_id", F.coalesce(F.col("toxic"), F.lit(-1)).alias("toxic"))
     seen = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    toxic, labelled = seen.get(1, 0), sum(n for k, n in seen.items() if k is not None)
+    toxic, labelled = seen.get(1, 0), sum(n for k, n in seen.items() if k >= 0)
     if not toxic:
         return Model(np.zeros(0, np.int64), np.zeros(0), -5.0)
     prior = min(max(toxic / labelled, 1e-4), 0.5)
@@ -103,11 +105,11 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column, confirmed: int =
                 yield pd.DataFrame({"doc": part["doc_id"], "kind": part["kind"], "at": [word_ids(t, bits).astype(np.uint32).tobytes() for t in part["text"]]})
 
     # Unlabelled text is all text that is not confirmed; of the labelled, the confirmed are both.
-    kinds = known.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("toxic"), F.lit(0)).alias("toxic"))
     total = sum(seen.values())
     place = (F.xxhash64("doc_id", F.lit(11)) / F.lit(2.0**64)) + 0.5
     kind = F.when((F.col("toxic") == 1) & (place < confirmed / toxic), F.lit(1)).otherwise(0) + F.when(place >= 1 - unlabelled / total, F.lit(2)).otherwise(0)
-    got = kinds.withColumn("kind", kind).where("kind > 0").mapInPandas(run, "doc long, kind int, at binary").toPandas().sort_values(["doc", "at"])
+    chosen = known.select("doc_id", kind.alias("kind")).where("kind > 0").distinct()  # ids and marks of the bounded samples
+    got = texts.join(F.broadcast(chosen), "doc_id").mapInPandas(run, "doc long, kind int, at binary").toPandas().sort_values(["doc", "at"])
     ids = [np.frombuffer(x, np.uint32).astype(np.int64) for x in got["at"]]
     flags = got["kind"].to_numpy()
     return nonnegative_pu([x for x, k in zip(ids, flags, strict=True) if k & 1], [x for x, k in zip(ids, flags, strict=True) if k & 2], prior)
