@@ -107,7 +107,7 @@ def fit(documents: DataFrame, learn: Column, bits: int = BITS, rows_per_language
                     at = np.flatnonzero(x).astype(np.uint16 if bits <= 16 else np.uint32)
                     yield pd.DataFrame({"doc": [str(doc)], "lang": [lang], "at": [at.tobytes()], "x": [x[at].astype(np.float16).tobytes()]})
 
-    got = sample.mapInPandas(run, "doc string, lang string, at binary, x binary").toPandas().sort_values(["doc", "lang", "at"])
+    got = sample.mapInPandas(run, "doc string, lang string, at binary, x binary").toArrow().to_pandas().sort_values(["doc", "lang", "at"])
     if not len(got):
         return None
     x = np.zeros((len(got), 1 << bits), np.float32)

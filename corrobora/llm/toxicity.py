@@ -41,7 +41,8 @@ class Model:
 def nonnegative_pu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 400, rate: float = 0.1, decay: float = 1e-4) -> Model:
     """Fit by full-batch Adam. A feature takes part if it marks several confirmed examples, and more of them than of the unlabelled."""
     width = 1 + max([0, *(int(p[-1]) for p in positive + unlabelled if len(p))])
-    count = lambda rows: np.bincount(np.concatenate([*rows, np.zeros(0, np.int64)]), minlength=width)
+    blocks = lambda rows: (rows[lo : lo + 1000] for lo in range(0, len(rows), 1000))
+    count = lambda rows: sum((np.bincount(np.concatenate(b), minlength=width) for b in blocks(rows)), np.zeros(width, np.int64))
     # Copies of one example would vouch for all of its words: of those that share their least features, one counts.
     apart = lambda rows: list({x[:4].tobytes(): x for x in rows}.values())
     distinct, others = apart(positive), apart(unlabelled)
@@ -54,9 +55,13 @@ def nonnegative_pu(positive: list[np.ndarray], unlabelled: list[np.ndarray], pri
     place[at] = np.arange(len(at))
 
     def rows(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        flat = place[np.concatenate([*docs, np.zeros(0, np.int64)])]
-        owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-        return owner[flat >= 0], flat[flat >= 0]
+        owner, found, before = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        for b in blocks(docs):
+            flat = place[np.concatenate(b)]
+            owner.append(before + np.repeat(np.arange(len(b)), [len(d) for d in b])[flat >= 0])
+            found.append(flat[flat >= 0])
+            before += len(b)
+        return np.concatenate(owner), np.concatenate(found)
 
     op, fp = rows(positive)
     ou, fu = rows(unlabelled)
@@ -109,8 +114,8 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column, confirmed: int =
     place = (F.xxhash64("doc_id", F.lit(11)) / F.lit(2.0**64)) + 0.5
     kind = F.when((F.col("toxic") == 1) & (place < confirmed / toxic), F.lit(1)).otherwise(0) + F.when(place >= 1 - unlabelled / total, F.lit(2)).otherwise(0)
     chosen = known.select("doc_id", kind.alias("kind")).where("kind > 0").distinct()  # ids and marks of the bounded samples
-    got = texts.join(F.broadcast(chosen), "doc_id").mapInPandas(run, "doc long, kind int, at binary").toPandas().sort_values(["doc", "at"])
-    ids = [np.frombuffer(x, np.uint32).astype(np.int64) for x in got["at"]]
+    got = texts.join(F.broadcast(chosen), "doc_id").mapInPandas(run, "doc long, kind int, at binary").toArrow().to_pandas().sort_values(["doc", "at"])
+    ids = [np.frombuffer(x, np.uint32) for x in got["at"]]
     flags = got["kind"].to_numpy()
     return nonnegative_pu([x for x, k in zip(ids, flags, strict=True) if k & 1], [x for x, k in zip(ids, flags, strict=True) if k & 2], prior)
 
