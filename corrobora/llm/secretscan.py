@@ -1,7 +1,7 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
-Candidates are runs of token characters with a digit, quoted or plain values after an assignment to a secret's name, and
-private key blocks. The forest looks at length, character classes and transitions, dictionary coverage, the path and the
+Candidates are runs of token characters with a digit, quoted or plain values after an assignment to a secret's name,
+passwords in URLs and private key blocks. The forest looks at length, character classes and transitions, dictionary coverage, the path and the
 neighbouring words. It is trained from labelled findings with Spark's RandomForestClassifier and then compiled into SQL
 expressions, so that scoring, like everything else here, consists of built-in DataFrame functions. A text is cut at its
 candidates once; features, scores and the redacted text are computed inside its row, without a shuffle.
@@ -18,23 +18,30 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # What candidates look like.
-PRIVATE_KEY = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----"
+PRIVATE_KEY = r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----[\s\S]*?-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
 TOKEN_RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}+"
-ASSIGNED = r"(?<=[=:] ?[\"']?)(?<=(?:password|passwd|pwd|secret|token|api_key|apikey)(?: ?[=:] ?)[\"']?)[^\s\"'=:]{8,}+"
-CANDIDATE = f"{PRIVATE_KEY}|{ASSIGNED}|{TOKEN_RUN}"
+# A match of IN_URL or ASSIGNED is a head (a user of a URL; a secret's name with quote, white space and separator) and the candidate.
+USER = r"[^\s/:@\"']*+:"
+IN_URL = rf"(?<=://){USER}[^\s/\"'<>]+(?=@)"
+NAMES = r"(?i:passw(?:or)?d|passphrase|pwd|secret|token|(?:api|access|secret|private)[_-]?key)"
+NAMED = rf"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]*+(?=[\"']?\s*+[=:])(?<={NAMES})[\"']?\s*+(?::=|=>|={{1,3}}+|:)\s*+[\"']?"
+VALUE = r"[^\s\"'=:][^\s\"']{7,}+"
+ASSIGNED = f"{NAMED}{VALUE}"
+CANDIDATE = f"{PRIVATE_KEY}|{IN_URL}|{ASSIGNED}|{TOKEN_RUN}"
 
 # Words that stand next to secrets, next to other identifiers, in paths and in placeholders.
 SECRET_WORDS = r"(?i)(key|token|secret|passw|pwd|auth|bearer|credential|private|signature|login)"
 OTHER_WORDS = r"(?i)(commit|sha|hash|digest|checksum|uuid|guid|etag|revision|md5|build|version|card|isbn|phone|order|ticket|serial|integrity|object)"
 QUIET_PATHS = r"(?i)(test|spec|fixture|mock|example|sample|doc|readme|lock|vendor|node_modules|changelog)"
-PLACEHOLDERS = r"(?i)(example|sample|your|change_?me|dummy|placeholder|xxxx|test|fake|todo|12345678|00000000|abcdef)"
+PLACEHOLDERS = r"(?i)(example|sample|your|change_?me|dummy|placeholder|xxxx|test|fake|todo|12345678|00000000|(?-i:abcdef|ABCDEF)|^(pass(word|wd)?|secret|user(name)?)$)"
+REFERENCES = r"^[$<{%\[]|\w[(\[]|^[a-z]+\.[A-Za-z_]+|^[*.#•]+$"
 PREFIXES = r"^(AKIA|ASIA|ghp_|gho_|ghs_|xox[abpr]-|sk_live_|rk_live_|AIza|eyJ|glpat-|-----BEGIN)"
 DICTIONARY = ("about after all and back base before between build case check class client close code common config content control copy count create current custom data date default delete device document each edit element enable end error event every example false field file filter find first format found from function general get global group handle header help host http image import index info input instance interface item java key label last layer left length level library like line link list load local long main make manager map master match message method model module month name need network new next node not note number object open option order other output over package page parent part path place plugin post present process project property public query read record release remote remove request reset resource response result return right root route row rule sample save schema screen script search section select server service session set show simple site size source space stage start state static status step string style system table tag target task template test text that the time title tool total track true type under update upload user value version view was window with word work write year zone").split()
 BIGRAMS = ("al an ar as at co de ed en er es ha he hi in io is it le li me nd ne ng nt of on or ou ra re ri ro se st te th ti to ur ve").split()
 
 #: Characters of context on either side; trees and depth of the forest; the score from which a candidate is a secret.
 BEFORE, AFTER, TREES, DEPTH, THRESHOLD = 48, 16, 15, 6, 0.5
-FEATURES = ("length", "digits", "upper", "lower", "symbols", "changes", "distinct", "is_hex", "transitions", "dictionary", "near_secret", "assigned", "near_other", "quiet_path", "prefix", "placeholder")
+FEATURES = ("length", "digits", "upper", "lower", "symbols", "changes", "distinct", "is_hex", "transitions", "dictionary", "near_secret", "assigned", "near_other", "quiet_path", "prefix", "placeholder", "in_url", "reference")
 
 
 def features(candidate: Column, before: Column, after: Column, path: Column) -> list[Column]:
@@ -50,17 +57,21 @@ def features(candidate: Column, before: Column, after: Column, path: Column) ->
         F.size(F.array_distinct(F.split(candidate, ""))) / n, flag(candidate.rlike("^[0-9a-f]+$|^[0-9A-F]+$")), covered(BIGRAMS), covered(sorted(DICTIONARY, key=len, reverse=True)),
         flag(F.right(before, F.lit(28)).rlike(SECRET_WORDS)), flag(before.rlike("[=:]\\s?[\"']?$")), flag(F.concat(F.right(before, F.lit(28)), F.lit(" "), after).rlike(OTHER_WORDS)),
         flag(path.rlike(QUIET_PATHS)), flag(candidate.rlike(PREFIXES)), flag(candidate.rlike(PLACEHOLDERS)),
+        flag(before.rlike("://[^\\s/:@]*:$")), flag(candidate.rlike(REFERENCES)),
     ]
 
 
 def default_findings(spark: SparkSession, rows: int = 4_000) -> DataFrame:
-    """Labelled findings (candidate, before, after, path, label) made by rule: 11 kinds of secrets, 14 of look-alikes.
+    """Labelled findings (candidate, before, after, path, label) made by rule: 20 kinds of secrets, 20 of look-alikes.
 
     Characters come from digests of the row number, so the table is the same everywhere. ``rows`` bounds it.
     """
-    base = spark.range(0, rows, 1, 1).selectExpr("id", "id % 25 AS kind", "sha2(concat('finding', id), 512) AS hex", "pmod(xxhash64(id, 3), 1000) AS r", "pmod(xxhash64(id, 4), 1000) AS q")
+    base = spark.range(0, rows, 1, 1).selectExpr("id", "id % 40 AS kind", "sha2(concat('finding', id), 512) AS hex", "pmod(xxhash64(id, 3), 1000) AS r", "pmod(xxhash64(id, 4), 1000) AS q")
     base = base.selectExpr("*", "regexp_replace(base64(unhex(concat(hex, hex))), '[^A-Za-z0-9]', '') AS alnum", "regexp_replace(base64(unhex(hex)), '[\\\\s=]', '') AS b64")
     base = base.selectExpr("*", "element_at(split('the and that for with line value said here then over under main item', ' '), int(r % 14) + 1) AS word", "element_at(split('src/main.py app/config.yml lib/server.js deploy/prod.env src7 docs notes.txt data/page.html', ' '), int(q % 8) + 1) AS place")
+    base = base.selectExpr("*", "element_at(split('hunter dragon monkey sunshine shadow coffee winter summer orange purple river battery horse correct staple wizard', ' '), int(q % 16) + 1) AS noun", "element_at(split('horse tiger falcon battery secret garden yellow silver rocket pepper', ' '), int(r % 10) + 1) AS other", "element_at(split('required undefined optional disabled encrypted username incorrect validation protected generated mandatory different', ' '), int(q % 12) + 1) AS prose")
+    base = base.selectExpr("*", "concat(word, ' ', element_at(split('password PASSWORD Password DB_PASSWORD passwd pwd secret api_key API_KEY token', ' '), int(q % 10) + 1)) AS name", "element_at(array('=', ': ', ' = ', '\": \"', '\\': \\'', '=\"'), int(r % 6) + 1) AS sep")
+    base = base.selectExpr("*", "concat(name, sep) AS assigned", "concat(word, ' ', element_at(split('postgres mysql https redis amqp', ' '), int(r % 5) + 1), '://', element_at(split('admin root app user', ' '), int(q % 4) + 1), ':') AS url")
     kinds = [
         # candidate, before, path, label
         ("substr(hex, 1, 40)", "concat(word, ' token = \"')", "place", 1),
@@ -88,6 +99,21 @@ def default_findings(spark: SparkSession, rows: int = 4_000) -> DataFrame:
         ("concat('AKIA', substr(upper(alnum), 1, 9), 'EXAMPLE')", "concat(word, ' key ')", "'docs/readme.md'", 0),
         ("substr(hex, 1, 40)", "concat('revision ', word, ' ')", "'package.lock'", 0),
         ("concat(word, r, word, '-', q, word, word)", "concat(word, ' ', word, ' ')", "place", 0),
+        ("concat(noun, r % 100, other)", "assigned", "place", 1),
+        ("concat(noun, other, element_at(split('battery staple castle window', ' '), int(q % 4) + 1))", "assigned", "place", 1),
+        ("concat(initcap(translate(noun, 'aeo', '430')), '&', r % 100, 'x!')", "assigned", "place", 1),
+        ("substr(regexp_replace(concat(alnum, alnum), '[0-9]', ''), 1, 12 + r % 20)", "assigned", "place", 1),
+        ("concat(initcap(noun), initcap(other), '!', r % 100)", "assigned", "place", 1),
+        ("concat(initcap(translate(noun, 'aeo', '430')), initcap(translate(other, 'aeo', '430')))", "url", "place", 1),
+        ("substr(alnum, 1, 8 + r % 20)", "url", "place", 1),
+        ("concat(noun, r % 1000, other)", "url", "place", 1),
+        ("concat('-----BEGIN PGP PRIVATE KEY BLOCK-----\\n', b64, '\\n-----END PGP PRIVATE KEY BLOCK-----')", "concat(word, ' ')", "place", 1),
+        ("prose", "assigned", "place", 0),
+        ("element_at(array('os.environ[', concat('process.env.', upper(noun)), concat('config.', noun, '.', other), concat('self.', noun, '_', other)), int(q % 4) + 1)", "assigned", "place", 0),
+        ("element_at(array(concat('get', initcap(noun), '(', word, ')'), concat('${', upper(noun), '_', upper(other), '}'), concat('<', word, '-', noun, '>'), repeat('*', 8 + int(r % 9)), concat('{{', noun, '_', other, '}}')), int(q % 5) + 1)", "assigned", "place", 0),
+        ("element_at(array('password', 'passwd', 'pass', 'secret', '${PASSWORD}', '<password>'), int(r % 6) + 1)", "url", "place", 0),
+        ("concat('your', substr('-_', int(r % 2) + 1, 1), noun, '-here')", "assigned", "place", 0),
+        ("concat(prose, element_at(array('.', ',', ';', ')'), int(r % 4) + 1))", "concat(name, ': ')", "place", 0),
     ]
     choose = lambda i: "CASE kind " + " ".join(f"WHEN {k} THEN {x[i]}" for k, x in enumerate(kinds)) + " END"
     return base.selectExpr(f"{choose(0)} AS candidate", f"{choose(1)} AS before", "concat('\" ', word) AS after", f"{choose(2)} AS path", f"{choose(3)} AS label")
@@ -152,12 +178,17 @@ def scan(documents: DataFrame, forest: Forest, threshold: float = THRESHOLD, int
     """
     text, path = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in documents.columns else F.lit("")
     cut = F.split(text, CANDIDATE, -1)
-    got = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
-    told = lambda x, i: F.struct(*[f.alias(n) for f, n in zip(features(x, F.right(F.col("__cut")[i], F.lit(BEFORE)), F.left(F.col("__cut")[i + 1], F.lit(AFTER)), path), FEATURES, strict=True)])
-    rows = documents.withColumn("__got", got).withColumn("__cut", F.when(F.size("__got") > 0, cut))
+    # Only a match in a URL ends before an @: other values take it in, and other candidates hold no colon.
+    head = lambda x, i: F.when(F.startswith(F.col("__cut")[i + 1], F.lit("@")), F.regexp_extract(x, f"^{USER}", 0)).otherwise(F.regexp_extract(x, f"^{NAMED}(?={VALUE}\\z)", 0))
+    parts = lambda x, i: F.struct(head(x, i).alias("head"), F.substr(x, F.length(head(x, i)) + 1).alias("c"))
+    # White space in a head counts as one blank, so that the name stays in view.
+    before = lambda x, i: F.right(F.concat(F.col("__cut")[i], F.regexp_replace(x["head"], r"\s+", " ")), F.lit(BEFORE))
+    told = lambda x, i: F.struct(*[f.alias(n) for f, n in zip(features(x["c"], before(x, i), F.left(F.col("__cut")[i + 1], F.lit(AFTER)), path), FEATURES, strict=True)])
+    rows = documents.withColumn("__got", F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).withColumn("__cut", F.when(F.size("__got") > 0, cut))
+    rows = rows.withColumn("__got", F.transform("__got", parts))
     rows = rows.withColumn("__scores", F.transform(F.transform("__got", told), forest.score))
-    hits = F.filter(F.arrays_zip(F.col("__got").alias("c"), F.col("__scores").alias("s")), lambda x: x["s"] >= threshold)
-    after = F.transform("__got", lambda x, i: F.concat(F.when(F.col("__scores")[i] >= threshold, F.lit("[SECRET]")).otherwise(x), F.col("__cut")[i + 1]))
+    hits = F.filter(F.arrays_zip(F.col("__got.c").alias("c"), F.col("__scores").alias("s")), lambda x: x["s"] >= threshold)
+    after = F.transform("__got", lambda x, i: F.concat(x["head"], F.when(F.col("__scores")[i] >= threshold, F.lit("[SECRET]")).otherwise(x["c"]), F.col("__cut")[i + 1]))
     redacted = F.when(F.col("text").isNull(), F.lit(None).cast("string")).when(F.size("__got") == 0, text).otherwise(F.concat(F.col("__cut")[0], F.array_join(after, "")))
     out = F.struct(F.size("__got").cast("long").alias("n_candidates"), F.size(hits).cast("long").alias("n_secrets"), F.coalesce(F.array_max("__scores"), F.lit(0.0)).alias("max_score"), F.transform(hits, lambda x: x["c"]).alias("found"), redacted.alias("redacted"))
     return rows.withColumn(into, out).drop("__got", "__cut", "__scores")

@@ -263,6 +263,17 @@ def test_secrets(spark):
     assert secretscan.scan(frame(spark, []), secretscan.default_forest(spark)).collect() == []
 
 
+def test_secrets_of_common_forms(spark):
+    bad = ["PASSWORD=hunter2secret", "Password: hunter2secret", "DB_PASSWORD=Tr0ub4dor&3x", '{"password": "hunter2secret"}', "{'api_key': 'correcthorsebattery'}", "API_KEY=abcDEFghijklmnopqrstuvwx", "password = hunter2secret"]
+    bad += ["password" + " " * 60 + "=\n\thunter2secret", "SERVICE1_PROD_DB_PASSWORD=hunter2secret", "postgres://admin:Sup3rS3cret@db/x", "-----BEGIN PGP PRIVATE KEY BLOCK-----\nlQOYBF\n-----END PGP PRIVATE KEY BLOCK-----"]
+    good = ["Password: required", "password = os.environ['DB_PASSWORD']", "token: ********", "https://host:8080/x@y", "password=${DB_PASSWORD}", "the tokens: all of them"]
+    out = {r["doc_id"]: r["secrets"] for r in secretscan.scan(frame(spark, list(enumerate([*bad, *good]))), secretscan.default_forest(spark)).collect()}
+    for i, t in enumerate(bad):
+        assert out[i]["n_candidates"] == out[i]["n_secrets"] == 1, (t, out[i])
+        assert out[i]["redacted"] == t.replace(out[i]["found"][0], "[SECRET]") and not re.search("hunter|Tr0|correct|ghij|Sup3r|lQOY", out[i]["redacted"])
+    assert [out[i]["redacted"] for i in range(len(bad), len(bad) + len(good))] == good
+
+
 def test_forest_on_held_out_findings(spark):
     rows = secretscan.default_findings(spark, 3000).withColumn("n", F.monotonically_increasing_id())
     forest = secretscan.train(rows.where("n % 3 <> 0"))
