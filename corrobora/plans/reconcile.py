@@ -55,6 +55,9 @@ def alike(field: str, a: str, b: str) -> tuple[bool, bool]:
     if field.endswith("name"):
         verdict = alignment.compare_names(a, b)[0]
         return verdict in ("identical", "safe_variant"), verdict == "needs_confirmation"
+    if field == "address":
+        relation = alignment.address_relation(a, b)
+        return relation == "same", relation == "same_area"
     d = alignment.plain_distance(a, b)
     return d == 0, 0 < d <= 2
 
@@ -127,8 +130,12 @@ def compare(readings: DataFrame, registry: DataFrame, pivot: int) -> DataFrame:
     return rows.repartition("application_id").sortWithinPartitions("application_id", "field", "ord", "document_id").mapInPandas(run, CLUSTERS)
 
 
-def decide(clusters: DataFrame, integrity: DataFrame | None = None) -> DataFrame:
-    """One decision for each application, by the first rule that applies."""
+def decide(clusters: DataFrame, integrity: DataFrame | None = None, documents: DataFrame | None = None) -> DataFrame:
+    """One decision for each application, by the first rule that applies.
+
+    ``integrity`` (application_id): applications that failed a check. ``documents`` (application_id, status): all
+    documents; an application has a decision if any of the three tables names it.
+    """
     is_ = lambda c, *v: F.col(c).isin(*v)
     conflict = is_("field", *C.IDENTITY_FIELDS) & (F.col("corroboration") >= 1) & (F.col("n_dissent") > 0)
     ask = is_("field", *C.IDENTITY_FIELDS) & (F.col("corroboration") >= 1) & (F.col("n_dissent") == 0) & (F.col("confirmable") > 0)
@@ -137,12 +144,19 @@ def decide(clusters: DataFrame, integrity: DataFrame | None = None) -> DataFrame
     rank = F.create_map(*[F.lit(v) for i, s in enumerate(C.SEVERITIES) for v in (s, i)])
     valued = F.col("value") != ""
     per = clusters.groupBy("application_id").agg(n(conflict).alias("conflicts"), n(ask).alias("asks"), n(lacking).alias("lacking"), F.coalesce(F.max(F.when(is_("field", "holder_name"), F.col("support"))), F.lit(0)).alias("name_support"), n(valued & (F.col("corroboration") >= 2)).alias("multi"), n(valued & (F.col("corroboration") <= 1)).alias("single"), n(F.col("holder")).alias("holders"), F.max(rank[F.col("severity")]).alias("severity_rank"))
-    failed = F.lit(False)
+    per = per.select("*", *[F.lit(None).cast("boolean").alias(c) for c in ("failed", "ready", "retake", "rejected")])
     if integrity is not None:
-        per = per.join(integrity.select("application_id", F.lit(True).alias("__failed")).distinct(), "application_id", "left")
-        failed = F.coalesce("__failed", F.lit(False))
+        per = per.unionByName(integrity.select("application_id", F.lit(True).alias("failed")).distinct(), allowMissingColumns=True)
+    if documents is not None:
+        any_ = lambda s: F.coalesce(F.bool_or(F.col("status") == s), F.lit(False))
+        per = per.unionByName(documents.groupBy("application_id").agg(any_("ready").alias("ready"), any_("retake_required").alias("retake"), any_("rejected_file").alias("rejected")), allowMissingColumns=True)
+    zero = lambda c: F.coalesce(F.max(c), F.lit(0)) if c in ("conflicts", "asks", "lacking", "name_support", "multi", "single", "holders") else F.max(c)
+    per = per.groupBy("application_id").agg(*[zero(c).alias(c) for c in per.columns[1:]])
     decision = (
-        F.when(failed, F.lit("blocked_security_integrity"))
+        F.when(F.col("failed"), F.lit("blocked_security_integrity"))
+        .when(~F.col("ready") & F.col("retake"), F.lit("retake_required"))
+        .when(~F.col("ready") & F.col("rejected"), F.lit("rejected_invalid_document"))
+        .when(~F.col("ready"), F.lit("extraction_failed"))
         .when(F.col("conflicts") >= 2, F.lit("suspected_cross_identity"))
         .when(F.col("conflicts") == 1, F.lit("document_conflict"))
         .when((F.col("lacking") > 0) | (F.col("name_support") < C.MINIMUM_DOCUMENTS), F.lit("insufficient_evidence"))

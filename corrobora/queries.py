@@ -38,15 +38,16 @@ LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extende
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a document: application, ord, type, printed date, source."""
+    """One row a document: application, ord, type, printed date, source, status."""
     lines = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus", *LINE_ORDER)
     lines = lines.withColumn("ord", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)))
-    orders = t(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    orders = t(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_custkey")
     day = F.to_date("o_orderdate")
     day = F.when(F.col("l_suppkey") % 10 == 0, F.date_add(day, 1)).otherwise(day)
+    status = F.when(F.col("l_quantity") <= 3, F.lit("retake_required")).when(F.col("l_quantity") <= 5, F.lit("rejected_file")).when(F.col("l_quantity") <= 7, F.lit("unreadable")).otherwise(F.lit("ready"))
     n = F.col("l_linenumber") % 5
     printed = F.when(n == 0, F.date_format(day, "yyyy-MM-dd")).when(n == 1, F.date_format(day, "dd/MM/yyyy")).when(n == 2, F.date_format(day, "dd-MM-yyyy")).when(n == 3, F.date_format(day, "dd.MM.yyyy")).otherwise(F.concat(F.date_format(day, "dd"), F.lit(" "), pick(C.MONTHS, F.month(day) - 1), F.lit(" "), F.date_format(day, "yyyy")))
-    return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(F.col("l_orderkey").alias("application_id"), "ord", pick(KINDS, n).alias("doc_type"), printed.alias("printed"), F.when(F.col("l_linestatus") == "F", F.lit("barcode")).otherwise(F.lit("vision")).alias("source"), F.when(F.col("l_returnflag") == "A", F.lit("Female")).when(F.col("l_returnflag") == "R", F.lit("MALE")).otherwise(F.lit("")).alias("gender"), "l_partkey", "l_suppkey")
+    return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(F.col("l_orderkey").alias("application_id"), "ord", pick(KINDS, n).alias("doc_type"), printed.alias("printed"), F.when(F.col("l_linestatus") == "F", F.lit("barcode")).otherwise(F.lit("vision")).alias("source"), F.when(F.col("l_returnflag") == "A", F.lit("Female")).when(F.col("l_returnflag") == "R", F.lit("MALE")).otherwise(F.lit("")).alias("gender"), "l_partkey", "l_suppkey", "o_custkey", status.alias("doc_status"))
 
 
 DOCUMENTS_SQL = """
@@ -68,13 +69,16 @@ def dob_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """Fields of the documents that are ready; the others count in the decision only."""
+    docs = documents(spark, sf_dir).where("doc_status = 'ready'")
     names = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
     rows = docs.join(names, "l_partkey")
     first = F.first("p_name").over(Window.partitionBy("application_id").orderBy("ord"))
     words = F.split(F.col("p"), " ")
     name = F.when(F.col("l_suppkey") % 7 == 0, F.array_join(F.reverse(words), " ")).when(F.col("l_suppkey") % 7 == 1, F.concat(F.left("p", F.length("p") - 1), F.lit("x"))).otherwise(F.col("p"))
-    rows = rows.withColumn("p", first).select("*", F.explode(F.create_map(F.lit("holder_name"), name, F.lit("dob"), F.col("printed"), F.lit("gender"), F.col("gender"))).alias("field", "value"))
+    spelt, house = F.col("l_suppkey") % 7, F.col("o_custkey").cast("string")
+    address = F.when(spelt == 0, F.concat(house, F.lit(" mg rd,, indiranagar, bengaluru 560038."))).when(spelt == 1, F.lit("Flat 9, Koramangala 560038")).when(spelt == 2, F.lit("17 Hill Lane, Kochi, Kerala 682001")).otherwise(F.concat(house, F.lit(" MG Road, Indiranagar, Bengaluru, Karnataka 560038")))
+    rows = rows.withColumn("p", first).select("*", F.explode(F.create_map(F.lit("holder_name"), name, F.lit("dob"), F.col("printed"), F.lit("gender"), F.col("gender"), F.lit("address"), address)).alias("field", "value"))
     doc = F.concat_ws("-", F.col("application_id").cast("string"), F.col("ord").cast("string"))
     readings = rows.select("application_id", "field", doc.alias("document_id"), doc.alias("logical_id"), "ord", "doc_type", F.lit("front").alias("page_role"), "value", "source", F.lit("present_verified").alias("status"), F.lit(None).cast("string").alias("raw_value"))
     return reconcile.compare(readings, evidence.registry(spark), PIVOT)
@@ -477,7 +481,7 @@ def field_clusters(spark, d):
 
 @query()
 def decisions(spark, d):
-    return reconcile.decide(clusters(spark, d))
+    return reconcile.decide(clusters(spark, d), documents=documents(spark, d).select("application_id", F.col("doc_status").alias("status")))
 
 
 @query("WITH " + DOCUMENTS_SQL + ", c AS (SELECT application_id, CAST(count(*) AS BIGINT) AS n, bool_and(l_linestatus = 'F') AS all_final FROM docs GROUP BY 1) SELECT application_id, n, CASE WHEN all_final THEN 'ready' ELSE 'documents_still_processing' END AS barrier FROM c")

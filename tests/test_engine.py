@@ -116,6 +116,31 @@ def test_reconciliation(spark):
     assert decided == {1: "likely_match_needs_confirmation", 2: "document_conflict"}
 
 
+def test_addresses_reconcile(spark):
+    texts = ["12 MG Road, Indiranagar, Bengaluru, Karnataka 560038", "12 mg rd,, indiranagar, bengaluru 560038.", "Flat 9, Koramangala 560038", "17 Hill Lane, Kochi, Kerala 682001", "Hill Lane Kochi", "9 Kochi Fort", "", "12 MG"]
+    pairs = [(a, b) for a in texts for b in texts]
+    df = spark.createDataFrame(pairs, "a string, b string").select(*[fields.address(F.col(c)).alias(c) for c in "ab"])
+    for r in df.select("a.text", F.col("b.text").alias("other"), fields.address_relation(F.col("a"), F.col("b"))["relation"].alias("want")).collect():
+        assert alignment.address_relation(r["text"], r["other"]) == r["want"], r
+    rows = [reading("address", i, v, "birth_certificate") for i, v in enumerate(texts[:3])] + [reading("address", i, v, "birth_certificate", app=2) for i, v in enumerate([texts[0], texts[3]])]
+    out = {r["application_id"]: r for r in reconcile.compare(spark.createDataFrame(rows, READING), evidence.registry(spark), 26).collect()}
+    assert (out[1]["n_agree"], out[1]["corroboration"], out[1]["confirmable"], out[1]["n_dissent"]) == (2, 2, 1, 0)
+    assert (out[2]["n_agree"], out[2]["confirmable"], out[2]["n_dissent"], out[2]["severity"]) == (1, 0, 1, "info")
+
+
+def test_document_states_decide(spark):
+    rows = [reading(f, i, v, k, app=a) for a in (1, 2) for f, v in (("holder_name", "ASHA DEVI"), ("dob", "1997-08-12")) for i, k in enumerate(["aadhaar", "passport"])]
+    states = [(1, "ready"), (1, "retake_required"), (3, "retake_required"), (3, "rejected_file"), (4, "rejected_file"), (4, "unreadable"), (5, "unreadable"), (6, None), (7, "ready"), (8, "retake_required")]
+    clusters = reconcile.compare(spark.createDataFrame(rows, READING), evidence.registry(spark), 26)
+    failed = spark.createDataFrame([(8,), (9,), (8,)], "application_id long")
+    out = reconcile.decide(clusters, failed, spark.createDataFrame(states, "application_id long, status string")).collect()
+    assert {r["application_id"]: r["decision"] for r in out} == {1: "verified_match", 2: "verified_match", 3: "retake_required", 4: "rejected_invalid_document", 5: "extraction_failed", 6: "extraction_failed", 7: "insufficient_evidence", 8: "blocked_security_integrity", 9: "blocked_security_integrity"}
+    assert len(out) == 9 and all(r["issuable"] == (r["application_id"] < 3) and r["needs_review"] == (r["application_id"] > 7) for r in out)
+    per = queries.decisions(spark, SF)
+    assert per.count() == queries.documents(spark, SF).select("application_id").distinct().count()
+    assert {"retake_required", "rejected_invalid_document", "extraction_failed"} < {r[0] for r in per.select("decision").distinct().collect()}
+
+
 def test_signature_and_json(spark):
     assert records.canonical_json({"a": [3, {"d": 1, "c": 2}]}) == '{"a":[3,{"c":2,"d":1}]}'
     s = records.Signer(spark)
