@@ -439,7 +439,17 @@ def identity_fingerprint(spark, d):
 @query("SELECT doc_id, CAST(NULL AS VARCHAR) AS number, contains(lower(text), 'the') AS seen FROM documents")
 def page_text_fields(spark, d):
     x = F.col("text")
-    return t(spark, d, "documents").select("doc_id", page_text.document_number(F.regexp_replace(x, r"[0-9]", "")).alias("number"), fields.evidence_contains("mrz", F.lit("the"), F.regexp_replace(x, "[^A-Za-z]", "#"), PIVOT).alias("squashed"), F.contains(F.lower(x), F.lit("the")).alias("seen")).drop("squashed")
+    return t(spark, d, "documents").select("doc_id", page_text.document_number(x).alias("number"), F.contains(F.lower(x), F.lit("the")).alias("seen"))
+
+
+@query()
+def page_fields(spark, d):
+    """All that a page's text says, its machine-readable zone, and whether the text beside each field shows its value."""
+    x = F.col("text")
+    rows = t(spark, d, "documents").select("doc_id", "text", page_text.page_fields(x).alias("f"), page_text.mrz(x, PIVOT).alias("mrz"))
+    names = rows.schema["f"].dataType.names
+    shown = [fields.evidence_contains(n, F.col(f"f.{n}"), x, PIVOT).alias(f"{n}_seen") for n in names]
+    return rows.select("doc_id", "f.*", *shown, fields.evidence_contains("mrz", F.lit("the"), x, PIVOT).alias("the_seen"), *[F.col(f"mrz.{n}").alias(f"mrz_{n}") for n in rows.schema["mrz"].dataType.names])
 
 
 # --- gates and classification

@@ -1,6 +1,7 @@
 """Goldens of functions, rules and stores; every query with SQL is held against DuckDB at the smallest scale."""
 
 import io
+import re
 import zipfile
 
 import duckdb
@@ -81,6 +82,23 @@ def test_page_text(spark):
     assert values(spark, ["born 23/11/2000"], lambda c: fields.evidence_contains("dob", F.lit("2000-11-23"), c, 26)) == [True]
 
 
+PAGES = ["Name: Asha Devi\nDOB: 12/08/1997\nSex: F\nABCDE1234F", "card 1234 5678 9012 of the holder", "no. K1234567", "XYZ 1234567", "a1234567 the", "P<UTOERIKSSON<<ANNA<MARIA<<<<<<<<<<<<<<<<<<<\nL898902C36UTO7408122F1204159ZE184226B<<<<<10", "t h-e", "", None]
+
+
+def test_page_queries_read_whole_texts(spark, tmp_path):
+    spark.createDataFrame(list(enumerate(PAGES)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    patterns = [r"\b([A-Z]{5}\s?\d{4}\s?[A-Z])\b", r"\b(\d{4}\s?\d{4}\s?\d{4})\b", r"\b([A-Z]{3}\s?\d{7})\b", r"\b([A-Z]\d{7})\b"]
+    number = lambda p: next((m[1] for q in patterns if (m := re.search(q, p or ""))), None)
+    got = {r["doc_id"]: r for r in queries.page_text_fields(spark, str(tmp_path)).collect()}
+    assert {i: (r["number"], r["seen"]) for i, r in got.items()} == {i: (number(p), None if p is None else "the" in p.lower()) for i, p in enumerate(PAGES)}
+    out = {r["doc_id"]: r for r in queries.page_fields(spark, str(tmp_path)).collect()}
+    assert [out[i]["document_number"] for i in range(len(PAGES))] == [number(p) for p in PAGES]
+    assert [out[i]["the_seen"] for i in range(len(PAGES))] == ["the" in re.sub("[^a-z0-9]", "", (p or "").lower()) for p in PAGES]
+    one = out[0]
+    assert (one["holder_name"], one["dob"], one["gender"]) == ("Asha Devi", "12/08/1997", "F") and one["holder_name_seen"] and one["dob_seen"] and one["document_number_seen"] and not one["address_seen"]
+    assert out[5]["mrz_surname"] == "ERIKSSON" and out[5]["mrz_valid"] and out[0]["mrz_surname"] is None
+
+
 def test_archives():
     def archive(*entries):
         out = io.BytesIO()
