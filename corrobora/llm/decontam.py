@@ -26,6 +26,9 @@ WINDOW, SHINGLE = 10, 3
 #: Benchmark words in a block (about 30 MB when broadcast).
 BLOCK_WORDS = 500_000
 
+#: Order of item ids; None is the id of all items without one.
+BY_ID = lambda i: (i is not None, i or "")
+
 #: Lower-cases A-Z and turns every ASCII byte that is no digit or letter into a space.
 FOLD = bytes((c + 32 if 65 <= c <= 90 else c if c >= 0x80 or 97 <= c <= 122 or 48 <= c <= 57 else 32) for c in range(256))
 
@@ -37,10 +40,10 @@ def words_of(text: str | None) -> list[bytes]:
 class Block:
     """Distinct windows of some items as arrays of word numbers, and their shingles."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int, shingle: int):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int, shingle: int):
         self.vocabulary: dict[bytes, int] = {}
         windows: dict[tuple[int, ...], set[int]] = defaultdict(set)
-        self.items = sorted({i for i, w in items if w})
+        self.items = sorted({i for i, w in items if w}, key=BY_ID)
         number = {v: k for k, v in enumerate(self.items)}
         for item, words in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]
@@ -116,13 +119,13 @@ class Block:
 
 
 def blocks_of(benchmark: DataFrame, window: int, shingle: int, block_words: int) -> Iterator[Block]:
-    """The benchmark in blocks of about ``block_words`` words; an item is never split over two."""
-    rows = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item"), "text")
+    """The benchmark in blocks of about ``block_words`` words; an item with an id is never split over two."""
+    rows = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item"), "text")
     total = rows.select(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     n = max(1, -(-total // (6 * block_words)))
     for b in range(n):
-        got = (rows.where(F.pmod(F.xxhash64("item"), F.lit(n)) == b) if n > 1 else rows).collect()
-        block = Block(sorted((r["item"], words_of(r["text"])) for r in got), window, shingle)
+        got = (rows.where(F.pmod(F.xxhash64("item", F.when(F.col("item").isNull(), F.col("text"))), F.lit(n)) == b) if n > 1 else rows).collect()
+        block = Block(sorted(((r["item"], words_of(r["text"])) for r in got), key=lambda x: (BY_ID(x[0]), x[1])), window, shingle)
         if block.windows:
             yield block
 
@@ -165,7 +168,7 @@ def search_column(spark, block: Block, text: Column, before: Column | None) -> C
             if earlier["hit"]:
                 hit |= np.unpackbits(np.frombuffer(zlib.decompress(earlier["hit"]), np.uint8), count=len(words)).astype(bool)
             items |= set(earlier["items"])
-        return len(words), zlib.compress(np.packbits(hit).tobytes(), 1) if hit.any() else b"", sorted(items)
+        return len(words), zlib.compress(np.packbits(hit).tobytes(), 1) if hit.any() else b"", sorted(items, key=BY_ID)
 
     frame = lambda rows: pd.DataFrame(rows, columns=["n_words", "hit", "items"])
     if before is None:
@@ -190,7 +193,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 
     Words are ASCII-lower-cased runs of digits, letters and non-ASCII characters. A document word inside any occurrence
     of a window counts once. items_sha256 digests the ids of the occurring items, sorted as strings, comma-joined.
-    Null texts and items without words have no words and match nothing; items of one id are windows of one item. All
+    Null texts and items without words have no words and match nothing; items of one id are windows of one item. Items
+    without an id hit and contaminate like others, count as one item together and are left out of items_sha256. All
     columns of ``documents`` are kept (a column named as ``into`` is replaced); repeated rows have one result each.
     """
     spark, text = documents.sparkSession, F.col("text")
@@ -209,6 +213,6 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     def finish(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             n = [int(np.unpackbits(np.frombuffer(zlib.decompress(h), np.uint8)).sum()) if h else 0 for h in part["hit"]]
-            yield pd.DataFrame({"n_words": part["n_words"], "n_hit": n, "n_items": part["items"].map(len), "items_sha256": [hashlib.sha256(",".join(i).encode()).hexdigest() for i in part["items"]], "contaminated": [x > 0 for x in n]})
+            yield pd.DataFrame({"n_words": part["n_words"], "n_hit": n, "n_items": part["items"].map(len), "items_sha256": [hashlib.sha256(",".join(x for x in i if x is not None).encode()).hexdigest() for i in part["items"]], "contaminated": [x > 0 for x in n]})
 
     return out.withColumn(into, finish(F.col(into)))

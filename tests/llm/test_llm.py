@@ -357,6 +357,15 @@ def test_token_files(spark, tmp_path):
         want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     key = lambda r: (r[0] is not None, r[1])
+@pytest.mark.parametrize("block_words", [500_000, 1])
+def test_items_without_an_id_contaminate(spark, block_words):
+    bench = spark.createDataFrame([(None, "alpha beta gamma"), (None, "delta eps zeta"), (3, "eta theta iota")], "item_id long, text string")
+    docs = frame(spark, [(1, "x alpha beta gamma delta eps zeta y"), (2, "Alpha beta gamma eta theta iota"), (3, "nothing")])
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    out = decontam.contamination(docs, bench, block_words=block_words, into="c").collect()
+    assert sorted((r["doc_id"], *r["c"]) for r in out) == [(1, 8, 6, 1, sha(""), True), (2, 6, 6, 2, sha("3"), True), (3, 1, 0, 0, sha(""), False)]
+
+
     assert sorted([tuple(r) for r in out], key=key) == sorted(want, key=key)
     assert tokenbin.read_documents(tokenbin.write_shards(frame(spark, []), path, 2, str(tmp_path / "e"))).collect() == []
 
