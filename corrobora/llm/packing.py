@@ -3,7 +3,8 @@
 A bucket pads its rows to its longest length. Over the global histogram of lengths, dynamic programming finds the
 boundaries with the least padding for a number of buckets; the recurrence is a minimum of lines, so each layer takes
 one sweep along a lower hull. The histogram is bounded: lengths up to GRID are exact, longer ones are rounded up in
-steps of 1/256 of their power of two, so it has under 13,000 entries for any corpus.
+steps of 1/256 of their power of two, so it has under 13,000 entries for any corpus. Boundaries are optimal on that
+grid; a bucket then pads to the longest row that it really has.
 
 Batches hold as many rows as the budget allows at the bucket's length. A row's place in its bucket is exact and needs no
 task to see the bucket: rows fall into shards by a hash, shard sizes are summed up in order, and a row adds its number
@@ -77,18 +78,19 @@ def pack(documents: DataFrame, length: Column | None = None, buckets: int = BUCK
     """(doc_id, n_tokens, bucket, bucket_tokens, padding, batch, place): one row for each row of ``documents``.
 
     ``length`` is a column of token counts (words and an end token if not given; null and less than 1 count as 1).
-    bucket_tokens is the length to which the bucket pads, at least n_tokens; batch numbers the batches of a bucket from
+    bucket_tokens is the length to which the bucket pads, its largest n_tokens; batch numbers the batches of a bucket from
     0, place the rows of a batch. A row longer than ``budget`` is a batch of its own. Repeated rows are rows of their
     own; null doc_ids are packed like others. Empty input: no rows. Extra columns are not carried along.
     """
     n = F.greatest(F.coalesce((n_words(F.col("text")) if length is None else length).cast("long"), F.lit(1)), F.lit(1))
     rows = materialize(documents.select(F.col("doc_id").cast("long").alias("doc_id"), n.alias("n_tokens")), "lengths")
-    seen = rows.groupBy(on_grid(F.col("n_tokens")).alias("length")).count().collect()
+    seen = rows.groupBy(on_grid(F.col("n_tokens")).alias("length")).agg(F.count("*").alias("n"), F.max("n_tokens").alias("longest")).collect()
     if not seen:
         return rows.select("doc_id", "n_tokens", *[F.lit(0).cast("long").alias(c) for c in ("bucket", "bucket_tokens", "padding", "batch", "place")])
-    lengths, counts = (np.array([r[i] for r in seen], np.int64) for i in (0, 1))
+    lengths, counts, longest = (np.array([r[i] for r in seen], np.int64) for i in range(3))
     tops = boundaries(lengths, counts, buckets)
     where = np.searchsorted(tops, lengths)
+    pads = [int(longest[where == b].max()) for b in range(len(tops))]
     shards = [int(-(-counts[where == b].sum() // SHARD_ROWS)) or 1 for b in range(len(tops))]
     bucket = F.size(F.filter(F.array(*[F.lit(t).cast("long") for t in tops]), lambda t: t < on_grid(F.col("n_tokens"))))
     pick = lambda values: F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), F.col("bucket") + 1)
@@ -97,6 +99,6 @@ def pack(documents: DataFrame, length: Column | None = None, buckets: int = BUCK
     sizes = dealt.groupBy("bucket", "shard").count().select("bucket", "shard", before.alias("before"))
     within = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("doc_id", "n_tokens")) - 1
     at = F.col("before") + F.col("within")
-    per_batch = pick([max(1, budget // t) for t in tops])
-    placed = dealt.withColumn("within", within).join(sizes, ["bucket", "shard"]).withColumn("bucket_tokens", pick(tops))
+    per_batch = pick([max(1, budget // t) for t in pads])
+    placed = dealt.withColumn("within", within).join(sizes, ["bucket", "shard"]).withColumn("bucket_tokens", pick(pads))
     return placed.select("doc_id", "n_tokens", F.col("bucket").cast("long").alias("bucket"), "bucket_tokens", (F.col("bucket_tokens") - F.col("n_tokens")).alias("padding"), F.floor(at / per_batch).cast("long").alias("batch"), (at % per_batch).cast("long").alias("place"))

@@ -234,6 +234,15 @@ def test_packing(spark):
     for r in out:
         assert r["n_tokens"] + r["padding"] == r["bucket_tokens"] and r["padding"] >= 0
         batches.setdefault((r["bucket"], r["batch"]), []).append(r)
+def test_buckets_pad_to_their_longest_row(spark):
+    rng = random.Random(12)
+    df = spark.createDataFrame([(i, rng.choice([5, 300, 5_001, 6_006, 20_021, 70_001])) for i in range(60)], "doc_id long, n long")
+    for buckets in (2, 16):
+        out = packing.pack(df, F.col("n"), buckets=buckets).collect()
+        assert {r["bucket"]: r["bucket_tokens"] for r in out} == {b: max(r["n_tokens"] for r in out if r["bucket"] == b) for b in {r["bucket"] for r in out}}
+    assert all(r["padding"] == 0 for r in out)
+
+
     for rows in batches.values():
         assert sorted(r["place"] for r in rows) == list(range(len(rows))) and (len(rows) == 1 or len(rows) * rows[0]["bucket_tokens"] <= 500)
     for b in {k[0] for k in batches}:  # all batches but the last are full
