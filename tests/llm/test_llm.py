@@ -154,6 +154,14 @@ def test_near_duplicates_odd_rows(spark):
 
 
 def test_signatures_estimate_similarity():
+def test_near_duplicates_of_repeated_ids(spark):
+    rng = random.Random(11)
+    a, b = words(rng, 60), words(rng, 60)
+    text = lambda w, *more: " ".join([*w, *more])
+    rows = neardup.near_duplicates(frame(spark, [(4, text(a)), (4, text(b)), (7, text(a, "x")), (9, text(b, "y")), (2, text(b, "z"))])).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in rows) == [(2, 2, True), (4, 2, False), (4, 4, True), (7, 4, False), (9, 2, False)]
+
+
     rng = np.random.default_rng(3)
     pool = neardup.mix(rng.integers(0, 2**63, 4000).astype(np.uint64))
     for n in (3, 40, 2000):
