@@ -11,8 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import corpus_pipeline
 from corrobora.llm import chat, decontam, features, langid, lm, neardup, packing, secretscan, tokenbin, topk, toxicity
-from corrobora.llm._shared import remainder
+from corrobora.llm._shared import materialize, remainder
 
 DOCS = "doc_id long, text string, lang string, source string, score double, kept boolean"
 
@@ -153,7 +154,6 @@ def test_near_duplicates_odd_rows(spark):
     assert neardup.near_duplicates(frame(spark, [])).collect() == []
 
 
-def test_signatures_estimate_similarity():
 def test_near_duplicates_of_repeated_ids(spark):
     rng = random.Random(11)
     a, b = words(rng, 60), words(rng, 60)
@@ -162,6 +162,7 @@ def test_near_duplicates_of_repeated_ids(spark):
     assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in rows) == [(2, 2, True), (4, 2, False), (4, 4, True), (7, 4, False), (9, 2, False)]
 
 
+def test_signatures_estimate_similarity():
     rng = np.random.default_rng(3)
     pool = neardup.mix(rng.integers(0, 2**63, 4000).astype(np.uint64))
     for n in (3, 40, 2000):
@@ -233,15 +234,6 @@ def test_boundaries_are_optimal():
         assert len(tops) <= b and padded(tops) == best
 
 
-def test_packing(spark):
-    rng = random.Random(6)
-    data = [(i, " ".join(words(rng, rng.choice([3, 7, 40, 41, 300])))) for i in range(700)] + [(9000, "w " * 70_000), (9001, None), (9001, None), (None, "a b")]
-    out = packing.pack(frame(spark, data), buckets=4, budget=500).collect()
-    assert len(out) == len(data)
-    batches = {}
-    for r in out:
-        assert r["n_tokens"] + r["padding"] == r["bucket_tokens"] and r["padding"] >= 0
-        batches.setdefault((r["bucket"], r["batch"]), []).append(r)
 def test_buckets_pad_to_their_longest_row(spark):
     rng = random.Random(12)
     df = spark.createDataFrame([(i, rng.choice([5, 300, 5_001, 6_006, 20_021, 70_001])) for i in range(60)], "doc_id long, n long")
@@ -251,6 +243,15 @@ def test_buckets_pad_to_their_longest_row(spark):
     assert all(r["padding"] == 0 for r in out)
 
 
+def test_packing(spark):
+    rng = random.Random(6)
+    data = [(i, " ".join(words(rng, rng.choice([3, 7, 40, 41, 300])))) for i in range(700)] + [(9000, "w " * 70_000), (9001, None), (9001, None), (None, "a b")]
+    out = packing.pack(frame(spark, data), buckets=4, budget=500).collect()
+    assert len(out) == len(data)
+    batches = {}
+    for r in out:
+        assert r["n_tokens"] + r["padding"] == r["bucket_tokens"] and r["padding"] >= 0
+        batches.setdefault((r["bucket"], r["batch"]), []).append(r)
     for rows in batches.values():
         assert sorted(r["place"] for r in rows) == list(range(len(rows))) and (len(rows) == 1 or len(rows) * rows[0]["bucket_tokens"] <= 500)
     for b in {k[0] for k in batches}:  # all batches but the last are full
@@ -356,6 +357,15 @@ def test_contamination_is_brute_force(spark, block_words):
     assert all(r["contamination"]["n_hit"] == 0 for r in none)
 
 
+@pytest.mark.parametrize("block_words", [500_000, 1])
+def test_items_without_an_id_contaminate(spark, block_words):
+    bench = spark.createDataFrame([(None, "alpha beta gamma"), (None, "delta eps zeta"), (3, "eta theta iota")], "item_id long, text string")
+    docs = frame(spark, [(1, "x alpha beta gamma delta eps zeta y"), (2, "Alpha beta gamma eta theta iota"), (3, "nothing")])
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    out = decontam.contamination(docs, bench, block_words=block_words, into="c").collect()
+    assert sorted((r["doc_id"], *r["c"]) for r in out) == [(1, 8, 6, 1, sha(""), True), (2, 6, 6, 2, sha("3"), True), (3, 1, 0, 0, sha(""), False)]
+
+
 # --- token files
 
 
@@ -374,19 +384,70 @@ def test_token_files(spark, tmp_path):
         want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     key = lambda r: (r[0] is not None, r[1])
-@pytest.mark.parametrize("block_words", [500_000, 1])
-def test_items_without_an_id_contaminate(spark, block_words):
-    bench = spark.createDataFrame([(None, "alpha beta gamma"), (None, "delta eps zeta"), (3, "eta theta iota")], "item_id long, text string")
-    docs = frame(spark, [(1, "x alpha beta gamma delta eps zeta y"), (2, "Alpha beta gamma eta theta iota"), (3, "nothing")])
-    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
-    out = decontam.contamination(docs, bench, block_words=block_words, into="c").collect()
-    assert sorted((r["doc_id"], *r["c"]) for r in out) == [(1, 8, 6, 1, sha(""), True), (2, 6, 6, 2, sha("3"), True), (3, 1, 0, 0, sha(""), False)]
-
-
     assert sorted([tuple(r) for r in out], key=key) == sorted(want, key=key)
     assert tokenbin.read_documents(tokenbin.write_shards(frame(spark, []), path, 2, str(tmp_path / "e"))).collect() == []
 
 
+# --- pipeline
+
+
+def plain_dedup(rows):
+    split = [(r[1] or "").lower().split() for r in rows]
+    sets = [{tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set() for w in split]
+    of = list(range(len(rows)))
+    for i, j in itertools.combinations([i for i, r in enumerate(rows) if r[0] is not None and sets[i]], 2):
+        both = len(sets[i] & sets[j])
+        if of[i] != of[j] and both and 100 * both >= 80 * len(sets[i] | sets[j]):
+            of = [of[i] if x == of[j] else x for x in of]
+    best = {}
+    for i, r in enumerate(rows):
+        if of[i] not in best or r[0] < rows[best[of[i]]][0]:
+            best[of[i]] = i
+    return [rows[i] for i in best.values()]
+
+
+def test_pipeline_is_plain_python(spark, tmp_path):
+    rng, rows, marks = random.Random(13), [], []
+    for i in range(900):
+        bad = i % 9 == 0
+        text = ["".join(rng.choices("aeiklmnorst", k=rng.randrange(2, 8))) for _ in range(60)] + (rng.sample(["idiot", "scum", "trash", "moron", "loser"], 3) if bad else [])
+        rng.shuffle(text)
+        rows.append((i, " ".join(text)))
+        if i % 2 or bad and i % 4:
+            marks.append((i, 0, int(bad)))
+    t = [r[1] for r in rows]
+    one, two = " ".join(words(rng, 12)), " ".join(words(rng, 12))
+    rows += [(1000, t[1]), (1001, t[2] + " ro"), (3, t[3]), (3, t[3]), (1002, None), (1002, None), (1003, ""), (None, t[4]), (5, t[7]), (1004, t[5] + " ro"), (1005, t[7] + " ro")]
+    rows += [(1010, f"{t[10]} {one} {t[11]}"), (1011, f"{t[12]} {two} {t[13]}"), (1012, f"{t[14]} DB_PASSWORD=hunter2secret"), (1013, f"{t[15]} postgres://admin:Sup3rS3cret@db/x")]
+    docs = [(i, x, "en", "src0", 1.5, True, "odd") for i, x in rows]
+    items = [(1, one), (None, two), (2, None)]
+    schema = DOCS + ", look string"
+    at = str(tmp_path / "full")
+    spark.createDataFrame(docs, schema).write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    plain = {
+        "toxicity": lambda r: [x for x in r if not re.search("idiot|scum|trash|moron|loser", x[1] or "")],
+        "near_dedup": plain_dedup,
+        "decontamination": lambda r: [x for x in r if not brute_hits(x[1], items)[-1]],
+        "secrets": lambda r: [(x[0], x[1] and re.sub("hunter2secret|Sup3rS3cret", "[SECRET]", x[1]), *x[2:]) for x in r],
+    }
+    key = lambda r: tuple((v is not None, v) for v in r)
+    want, frame_ = docs, spark.read.parquet(f"{at}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        if name in plain:
+            frame_ = materialize(stage(spark, frame_, at), name)
+            want = plain[name](want)
+            assert sorted(map(tuple, frame_.collect()), key=key) == sorted(want, key=key), name
+    out = corpus_pipeline.run(spark, at).collect()
+    assert sorted(((r["doc_id"], r["n_tokens"]) for r in out), key=key) == sorted(((x[0], len((x[1] or "").split()) + 1) for x in want), key=key)
+    assert all(r["bucket_tokens"] == max(x["n_tokens"] for x in out if x["bucket"] == r["bucket"]) for r in out)
+    empty = str(tmp_path / "empty")
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{at}/{name}.parquet").limit(0).write.parquet(f"{empty}/{name}.parquet")
+    assert corpus_pipeline.run(spark, empty).collect() == []
+
+
 def test_units_are_the_text():
     for t in ["", " ", "a b", "a  b", " a\n b ", "a\t b\n\nc d", "a 　b c"]:
         assert "".join(tokenbin.Encoder.units(t)) == t
