@@ -8,13 +8,15 @@ p(word | context) = p(class of word | context) * p(word | its class)
   update sums the gradients of all training tokens, computed by the executors in numpy, once per distinct context.
 * p(word | class) is the smoothed relative frequency within the class.
 
-The corpus is tokenised once, into chunks of texts with a vocabulary of their own. Word counts are summed over the
-vocabularies of chunks, not over tokens, and go back to each chunk's vocabulary the same way; no vocabulary of the
-corpus is ever held in one place. What reaches the driver has a fixed size: the matrices of slots, features and classes.
+The corpus is tokenised once, into chunks of texts with a vocabulary of their own. The vocabularies of chunks, not the
+tokens, are dealt by ranges of a word's hash, as packed arrays; each range sums its counts and sends them back to the
+chunks. No vocabulary of the corpus is ever held in one place. What reaches the driver has a fixed size: the matrices of
+slots, features and classes.
 """
 
 from __future__ import annotations
 
+import math
 import os
 import zlib
 from collections.abc import Callable, Iterator
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corrobora.llm._shared import materialize, release
+from corrobora.llm._shared import materialize
 
 #: Slots of words, rows of the joint feature, classes, tokens in a chunk, gradient updates.
 SLOTS, JOINT, CLASSES, CHUNK_TOKENS, UPDATES = 4_096, 8_192, 64, 1_000_000, 2
@@ -38,7 +40,12 @@ END = "\n"
 END_SLOT = 0
 ROWS = 2 * SLOTS + JOINT + 1
 
-CHUNK = "chunk long, doc_ids array<long>, held binary, sizes binary, ids binary, words array<string>, slots array<int>, counts array<long>"
+#: Words of all vocabularies that are summed up together.
+RANGE_WORDS = 1_000_000
+#: Chunks whose sums one task adds up, where there are enough of them.
+CHUNKS_PER_TASK = 32
+
+CHUNK = "chunk long, doc_ids array<long>, held binary, sizes binary, ids binary, keys binary, counts binary, n_words long"
 
 
 class Vocabulary(dict):
@@ -49,8 +56,16 @@ class Vocabulary(dict):
         return len(self) - 1
 
 
-def slot(word: bytes) -> int:
-    return 1 + xxhash.xxh3_64_intdigest(word[-TAIL:]) % (SLOTS - 1)
+def key(word: bytes) -> int:
+    """64 bits that stand for a word: its slot in the low bits, a hash of all of it in the others."""
+    if word == END.encode():
+        return END_SLOT
+    slot = 1 + xxhash.xxh3_64_intdigest(word[-TAIL:]) % (SLOTS - 1)
+    return xxhash.xxh3_64_intdigest(word) & ~(SLOTS - 1) | slot
+
+
+def slots_of(keys: bytes) -> np.ndarray:
+    return (np.frombuffer(keys, np.uint64) & np.uint64(SLOTS - 1)).astype(np.uint16)
 
 
 def chunks(documents: DataFrame, held_out: Column) -> DataFrame:
@@ -60,11 +75,10 @@ def chunks(documents: DataFrame, held_out: Column) -> DataFrame:
         ids = np.concatenate([np.array(t, np.uint32) for t in tokens])
         sizes = np.array([len(t) for t in tokens], np.uint32)
         train = np.repeat(~np.array(held, bool), sizes)
-        counts = np.bincount(ids[train], minlength=len(vocabulary))
-        slots = np.array([END_SLOT, *map(slot, list(vocabulary)[1:])], np.int32)
-        words = [w.decode("utf-8", "replace") for w in vocabulary]
-        key = int.from_bytes(os.urandom(8), "little", signed=True)
-        return pd.DataFrame({"chunk": [key], "doc_ids": [docs], "held": [np.packbits(held).tobytes()], "sizes": [sizes.tobytes()], "ids": [ids.tobytes()], "words": [words], "slots": [slots], "counts": [counts]})
+        counts = np.bincount(ids[train], minlength=len(vocabulary)).astype(np.uint32)
+        keys = np.fromiter(map(key, vocabulary), np.uint64, len(vocabulary))
+        name = int.from_bytes(os.urandom(8), "little", signed=True)
+        return pd.DataFrame({"chunk": [name], "doc_ids": [docs], "held": [np.packbits(held).tobytes()], "sizes": [sizes.tobytes()], "ids": [ids.tobytes()], "keys": [keys.tobytes()], "counts": [counts.tobytes()], "n_words": [len(keys)]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fresh = lambda: ([], [], [], Vocabulary({END.encode(): 0}), 0)
@@ -88,6 +102,56 @@ def chunks(documents: DataFrame, held_out: Column) -> DataFrame:
     return rows.mapInPandas(run, CHUNK)
 
 
+def ranges_of(keys: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` ranges of the hash each word falls in."""
+    return ((keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
+
+
+def corpus_counts(encoded: DataFrame, n: int) -> DataFrame:
+    """(chunk, part, counts, slots): for each chunk and range, the corpus's counts of the words that the chunk has there, in
+    the order of its vocabulary; and for each range, with no chunk, its tokens and its distinct words by slot.
+    """
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples():
+                keys, counts = np.frombuffer(r.keys, np.uint64), np.frombuffer(r.counts, np.uint32)
+                part = ranges_of(keys, n)
+                order = np.argsort(part, kind="stable")
+                keys, counts, part = keys[order], counts[order], part[order]
+                first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+                bounds = list(zip(first.tolist(), [*first[1:].tolist(), len(part)], strict=True))
+                yield pd.DataFrame({"part": part[first].astype(np.int64), "chunk": r.chunk, "keys": [keys[a:b].tobytes() for a, b in bounds], "counts": [counts[a:b].tobytes() for a, b in bounds]})
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys = np.frombuffer(b"".join(pdf["keys"]), np.uint64)
+        words, at = np.unique(keys, return_inverse=True)
+        c = np.bincount(at, np.frombuffer(b"".join(pdf["counts"]), np.uint32), len(words))
+        slots = (words & np.uint64(SLOTS - 1)).astype(np.int64)
+        by_slot = np.stack([np.bincount(slots, c, SLOTS), np.bincount(slots, c > 0, SLOTS)])
+        kind = np.dtype(np.uint32 if c.max() < 2**32 else np.uint64)
+        back = c.astype(kind)[at].tobytes()
+        ends = np.cumsum(pdf["keys"].map(len).to_numpy()) // 8 * kind.itemsize
+        out = pd.DataFrame({"chunk": pdf["chunk"].to_numpy(np.int64), "part": pdf["part"], "width": kind.itemsize, "counts": [back[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], "slots": None})
+        sums = pd.DataFrame({"chunk": pd.array([None], "Int64"), "part": [pdf["part"].iloc[0]], "width": [8], "counts": [None], "slots": [by_slot.tobytes()]})
+        return pd.concat([out.astype({"chunk": "Int64"}), sums])
+
+    dealt = encoded.select("chunk", "keys", "counts").mapInPandas(deal, "part long, chunk long, keys binary, counts binary")
+    return dealt.groupBy("part").applyInPandas(add, "chunk long, part long, width int, counts binary, slots binary")
+
+
+def slot_sums(counted: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and distinct words of each slot, summed over the ranges in two levels."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = sum((np.frombuffer(x, np.float64) for pdf in batches for x in pdf["slots"]), np.zeros(2 * SLOTS))
+        yield pd.DataFrame({"slots": [total.tobytes()]})
+
+    got = counted.where("chunk IS NULL").select("slots").mapInPandas(add, "slots binary").repartition(math.isqrt(n) + 1).mapInPandas(add, "slots binary").collect()
+    c, v = sum((np.frombuffer(r["slots"], np.float64) for r in got), np.zeros(2 * SLOTS)).reshape(2, SLOTS)
+    return c, v
+
+
 def contexts(slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The two slots before each token; documents follow each other, and none looks past the end before it."""
     one = np.r_[np.array([END_SLOT], slots.dtype), slots[:-1]]
@@ -113,15 +177,18 @@ def token_slots(r) -> tuple[np.ndarray, np.ndarray]:
     """Slots of the tokens of a chunk, and which tokens are for training."""
     sizes = np.frombuffer(r.sizes, np.uint32)
     held = np.unpackbits(np.frombuffer(r.held, np.uint8), count=len(sizes)).astype(bool)
-    return np.asarray(r.slots, np.uint16)[np.frombuffer(r.ids, np.uint32)], np.repeat(~held, sizes)
+    return slots_of(r.keys)[np.frombuffer(r.ids, np.uint32)], np.repeat(~held, sizes)
 
 
 def summed(encoded: DataFrame, shape: tuple[int, int], add: Callable[[np.ndarray, np.ndarray, np.ndarray], None]) -> np.ndarray:
     """The sum over all chunks of what ``add(total, slots, train)`` adds to a matrix of ``shape``.
 
-    Each task sends its non-zero blocks of rows, compressed; blocks of one place meet in one task, which adds them up
-    one after another. The driver receives one matrix.
+    A task sends the non-zero blocks of rows of its sum, compressed. They are added up in two levels, so that no task
+    meets more than the square root of what all tasks send of a block. The driver receives one matrix.
     """
+    n = encoded.select("chunk").count()
+    tasks = max(2 * encoded.sparkSession.sparkContext.defaultParallelism, -(-n // CHUNKS_PER_TASK))
+    salt = math.isqrt(tasks)
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
@@ -130,20 +197,18 @@ def summed(encoded: DataFrame, shape: tuple[int, int], add: Callable[[np.ndarray
                 total = np.zeros(shape, np.float32) if total is None else total
                 add(total, *token_slots(r))
         if total is not None:
-            yield blocks({b: total[b * BLOCK : (b + 1) * BLOCK] for b in range(-(-shape[0] // BLOCK)) if total[b * BLOCK : (b + 1) * BLOCK].any()})
+            yield blocks({(b, int.from_bytes(os.urandom(4), "little") % salt): total[b * BLOCK : (b + 1) * BLOCK] for b in range(-(-shape[0] // BLOCK)) if total[b * BLOCK : (b + 1) * BLOCK].any()})
 
-    def blocks(own: dict[int, np.ndarray]) -> pd.DataFrame:
-        return pd.DataFrame({"block": list(own), "data": [zlib.compress(x.tobytes(), 1) for x in own.values()]})
+    def blocks(own: dict[tuple[int, int], np.ndarray]) -> pd.DataFrame:
+        return pd.DataFrame({"block": [b for b, _ in own], "salt": [s for _, s in own], "data": [zlib.compress(x.astype(np.float64).tobytes(), 1) for x in own.values()]})
 
-    def unite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own: dict[int, np.ndarray] = {}
-        for pdf in batches:
-            for b, data in zip(pdf["block"], pdf["data"], strict=True):
-                x = np.frombuffer(zlib.decompress(data), np.float32).astype(np.float64)
-                own[b] = own[b] + x if b in own else x
-        yield blocks(own)
+    def unite(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = sum(np.frombuffer(zlib.decompress(data), np.float64) for data in pdf["data"])
+        return blocks({(pdf["block"].iloc[0], 0): x})
 
-    got = encoded.select("held", "sizes", "ids", "slots").mapInPandas(part, "block int, data binary").repartition("block").mapInPandas(unite, "block int, data binary").collect()
+    row = "block int, salt int, data binary"
+    sent = encoded.select("held", "sizes", "ids", "keys").coalesce(tasks).mapInPandas(part, row)
+    got = sent.groupBy("block", "salt").applyInPandas(unite, row).groupBy("block").applyInPandas(unite, row).collect()
     out = np.zeros(shape)
     for r in got:
         x = np.frombuffer(zlib.decompress(r["data"]), np.float64).reshape(-1, shape[1])
@@ -245,43 +310,37 @@ def train(encoded: DataFrame, slot_counts: np.ndarray, slot_words: np.ndarray, u
     return Model(class_of, weights.astype(np.float32), np.log10(mass + ALPHA * (words + 1)))
 
 
-def score(documents: DataFrame, held_out: Column) -> DataFrame:
+def score(documents: DataFrame, held_out: Column, updates: int = UPDATES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): one row for each row of ``documents``.
 
     The model learns from the rows where ``held_out`` is false; all rows are scored, as whole texts. Tokens are the
     ASCII-lower-cased words of a text and one end. base_score is the log10 probability under add-0.1 unigrams, score
-    that under the model. Null texts are empty: their end is scored. Repeated rows have one result each. With nothing to
+    that under the model after ``updates`` gradient updates. Null texts are empty: their end is scored. Repeated rows have one result each. With nothing to
     learn from, base_score is 0 and the model is uniform. Empty input: no rows. Extra columns are not carried along.
     """
     encoded = materialize(chunks(documents, held_out), "chunks")
-    # Each chunk's words as rows; a word is known by 96 bits of hash from here on.
-    vocabulary = encoded.select("chunk", F.posexplode(F.arrays_zip("words", "counts", "slots")).alias("at", "x"))
-    vocabulary = vocabulary.select("chunk", "at", F.xxhash64("x.words").alias("k1"), F.hash("x.words").alias("k2"), F.col("x.counts").alias("n"), F.col("x.slots").alias("slot"))
-    counted = materialize(vocabulary.where("n > 0").groupBy("k1", "k2").agg(F.sum("n").alias("c"), F.min("slot").alias("slot")), "counts")
-    by_slot = counted.groupBy("slot").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()
-    c, v = np.zeros(SLOTS), np.zeros(SLOTS)
-    for r in by_slot:
-        c[r["slot"]], v[r["slot"]] = r["c"], r["v"]
+    n = max(1, -(-(encoded.agg(F.sum("n_words")).first()[0] or 0) // RANGE_WORDS))
+    counted = materialize(corpus_counts(encoded, n), "counts")
+    c, v = slot_sums(counted, n)
     n_all, v_all = int(c.sum()), int(v.sum())
-    release(documents.sparkSession)
-    model = train(encoded, c, v)
-    release(documents.sparkSession)
+    model = train(encoded, c, v, updates)
     sent = documents.sparkSession.sparkContext.broadcast(model)
     floor = np.log10(n_all + ALPHA * (v_all + 1))
 
     def run(chunk: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         r = next(chunk.itertuples())
-        sizes, ids = np.frombuffer(r.sizes, np.uint32), np.frombuffer(r.ids, np.uint32)
-        count = np.zeros(len(r.slots), np.int64)
-        count[known["at"].to_numpy()] = known["c"].to_numpy()
+        sizes, ids, keys = np.frombuffer(r.sizes, np.uint32), np.frombuffer(r.ids, np.uint32), np.frombuffer(r.keys, np.uint64)
+        known = known.sort_values("part")
+        count = np.empty(len(keys), np.int64)
+        count[np.argsort(ranges_of(keys, n), kind="stable")] = np.concatenate([np.frombuffer(x, f"<u{w}") for x, w in zip(known["counts"], known["width"], strict=True)])
         ends = np.cumsum(sizes, dtype=np.int64)
         per_doc = lambda x: np.add.reduceat(x, np.r_[0, ends[:-1]])
         logs = per_doc(np.log10(count + ALPHA)[ids])
-        of_class = per_doc(sent.value.class_log10(np.asarray(r.slots, np.uint16)[ids]))
+        of_class = per_doc(sent.value.class_log10(slots_of(r.keys)[ids]))
         held = np.unpackbits(np.frombuffer(r.held, np.uint8), count=len(sizes)).astype(bool)
         docs = pd.array([None if pd.isna(d) else int(d) for d in r.doc_ids], "Int64")
         return pd.DataFrame({"doc_id": docs, "held_out": held, "n_tokens": sizes.astype(np.int64), "n_known": per_doc((count > 0)[ids].astype(np.int64)), "train_tokens": n_all, "base_score": logs - sizes * floor, "score": logs + of_class})
 
-    back = vocabulary.select("chunk", "at", "k1", "k2").join(counted.select("k1", "k2", "c"), ["k1", "k2"]).select(F.col("chunk").alias("part"), "at", "c")
-    text = encoded.select("chunk", "doc_ids", "held", "sizes", "ids", "slots")
-    return text.groupBy("chunk").cogroup(back.groupBy("part")).applyInPandas(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    back = counted.where("chunk IS NOT NULL").select(F.col("chunk").alias("of"), "part", "width", "counts")
+    text = encoded.select("chunk", "doc_ids", "held", "sizes", "ids", "keys")
+    return text.groupBy("chunk").cogroup(back.groupBy("of")).applyInPandas(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
