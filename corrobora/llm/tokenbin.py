@@ -5,15 +5,15 @@ if every id fits, else 4) and ``NAME.idx`` (64-bit little-endian: for each docum
 where its tokens end). A manifest row a shard holds its number of tokens; the global base of a shard is the prefix sum
 of the tokens before it, so no task needs to know another's output while writing.
 
-The texts are dealt once, by ranges of doc_id; each task encodes and writes its range in one go. Files are written under
-a name of their own and renamed when whole, so a task that runs twice leaves one result.
+Texts are encoded where they are read. Their ids, which are smaller, are dealt by ranges of doc_id; each task writes its
+range in one go. Files are written under a name of their own and renamed when whole, so a task that runs twice leaves
+one result.
 """
 
 from __future__ import annotations
 
 import os
 import re
-import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -21,18 +21,24 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corrobora.llm._shared import fresh_path, materialize
 
-#: Distinct pieces of text whose ids a worker remembers; others are encoded anew in each batch.
-REMEMBERED = 900_000
-#: Characters encoded together.
-CHARS_AT_ONCE = 4_000_000
+#: Distinct units whose ids a worker remembers (about 100 MB); others are encoded anew in each batch.
+REMEMBERED = 700_000
+#: Stands for a missing id, before all others; ids sampled for each shard.
+NO_ID, SAMPLED = -(2**63), 200
+#: Bytes of text encoded together.
+BYTES_AT_ONCE = 16_000_000
 
-#: White space other than space and line feed.
-RARE_SPACES = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: How byte-level vocabularies write the byte of a space.
+SPACE_BYTE = "\u0120"
+#: White space, as the pre-tokenizer knows it.
+SPACES = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 _encoders: dict[tuple, Encoder] = {}
 
@@ -41,8 +47,10 @@ class Encoder:
     """The ids of texts under a tokenizer whose byte-level pieces never span a single space before a word.
 
     A text cut at its spaces falls into units, each with the space before it. A unit that neither starts (after that
-    space) nor ends with white space is encoded alike in any text, so its ids are computed once. Where two spaces meet,
-    or white space of another kind stands at a cut, the units around it stay together.
+    space) nor ends with white space is encoded alike in any text, so a batch is cut, its distinct units are numbered
+    and encoded once, and the ids are gathered by number. Units are encoded in rows of many; in a row a unit begins
+    where a token begins with a space. Texts in which two kinds of white space meet, or that begin or end with it, or
+    that hold a special token are encoded whole.
     """
 
     def __init__(self, path: str, encode_special_tokens: bool):
@@ -51,63 +59,88 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = encode_special_tokens
-        self.dtype = np.dtype("<u2" if max(self.tokenizer.get_vocab().values()) < 2**16 else "<u4")
-        self.known: dict[str, bytes] = {}
-
-    @staticmethod
-    def units(text: str) -> list[str]:
-        if not text:
-            return []
-        cut = text.split(" ")
-        out = [cut[0], *[f" {x}" for x in cut[1:]]]
-        if text[0].isspace() or text[-1].isspace() or any(x in text for x in ("  ", " \n", "\n ", *RARE_SPACES)):
-            whole: list[str] = []
-            for i, x in enumerate(out):
-                if i and (not cut[i - 1] or cut[i - 1][-1].isspace() or not cut[i] or cut[i][0].isspace()):
-                    whole[-1] += x
-                else:
-                    whole.append(x)
-            return whole
-        return out
-
-    def fresh(self, pieces: list[str]) -> dict[str, bytes]:
-        """The ids of pieces not seen before. Words after a space are encoded in rows, as one text of many pre-tokens."""
-        words = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
-        out: dict[str, bytes] = {}
-        rows = [words[i : i + 500] for i in range(0, len(words), 500)]
-        for row, e in zip(rows, self.tokenizer.encode_batch(["".join(r) for r in rows], add_special_tokens=False), strict=True):
-            ids, cut = np.array(e.ids, self.dtype), np.flatnonzero(np.diff(np.array(e.word_ids))) + 1
-            if len(cut) == len(row) - 1:
-                data, width = ids.tobytes(), self.dtype.itemsize
-                ends = [*(cut * width).tolist(), len(data)]
-                out.update(zip(row, [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
-        rest = [p for p in pieces if p not in out]
-        for e, p in zip(self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), rest, strict=True):
-            out[p] = np.array(e.ids, self.dtype).tobytes()
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split, known = [self.units(t) for t in texts], self.known
-        missing = {u: pieces(u) for u in set().union(*split) if u not in known} if split else {}
-        fresh = self.fresh(list({p for own in missing.values() for p in own if p not in known}))
-        both = lambda p: fresh[p] if p in fresh else known[p]
-        fresh |= {u: b"".join(map(both, own)) for u, own in missing.items() if len(own) > 1}
-        if len(known) + len(fresh) <= REMEMBERED:
-            known.update(fresh)
-            return [b"".join(map(known.__getitem__, s)) for s in split]
-        out = [b"".join(map(both, s)) for s in split]
-        known.update(list(fresh.items())[: max(REMEMBERED - len(known), 0)])
-        return out
-
-
-_WORD_AND_MARKS = re.compile(r"( ?[^\W\d_]+)([^\w\s]+)?(?:(\n)([^\W\d_]+)([^\w\s]+)?)?")
-
-
-def pieces(unit: str) -> list[str]:
-    """A unit cut where the pre-tokenizer always cuts: a word, the marks after it, and the same again on the next line."""
-    if (m := _WORD_AND_MARKS.fullmatch(unit)) and m[1].strip(" ").isalpha() and (m[4] is None or m[4].isalpha()):
-        return [p for p in m.groups() if p]
-    return [unit]
+        vocabulary = self.tokenizer.get_vocab()
+        self.dtype = np.dtype("<u2" if max(vocabulary.values()) < 2**16 else "<u4")
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.opens[[i for t, i in vocabulary.items() if t.startswith(SPACE_BYTE)]] = True
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = "|".join([f"^[{SPACES}]", f"[{SPACES}]$", f" [{SPACES}]", f"[{SPACES}] ", *special])
+        self.known: dict[str, int] = {}
+        self.ids, self.ends = np.zeros(0, self.dtype), np.zeros(1, np.int64)
+
+    def fresh(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units one after another, and how many each has."""
+        rows = [units[i : i + 500] for i in range(0, len(units), 500)]
+        ids, sizes = [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)]
+        for row, e in zip(rows, self.tokenizer.encode_batch_fast([f" {' '.join(r)}" for r in rows], add_special_tokens=False), strict=True):
+            own = np.array(e.ids, self.dtype)
+            at = np.flatnonzero(self.opens[own])
+            if len(at) == len(row) and at[0] == 0:
+                ids.append(own)
+                sizes.append(np.diff(np.append(at, len(own))))
+            else:  # a unit with a space of its own in its ids
+                for u in self.tokenizer.encode_batch_fast([f" {u}" for u in row], add_special_tokens=False):
+                    ids.append(np.array(u.ids, self.dtype))
+                    sizes.append(np.array([len(u.ids)], np.int64))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def numbered(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of each unit, ids, ends): a unit at place p has ids[ends[p]:ends[p + 1]]. New units are remembered, up to REMEMBERED."""
+        get, n = self.known.get, len(self.ends) - 1
+        place = np.fromiter((get(u, -1) for u in units), np.int64, len(units))
+        new = np.flatnonzero(place < 0)
+        if not len(new):
+            return place, self.ids, self.ends
+        missing = [units[i] for i in new]
+        place[new] = n + np.arange(len(new))
+        more, sizes = self.fresh(missing)
+        ids, ends = np.concatenate([self.ids, more]), np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        room = max(REMEMBERED - n, 0)
+        if room:
+            self.known.update(zip(missing[:room], range(n, n + room), strict=False))
+            keep = min(n + len(new), REMEMBERED) if n < REMEMBERED else n
+            self.ids, self.ends = ids[: ends[keep]], ends[: keep + 1]
+        return place, ids, ends
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, where each text ends)."""
+        n = len(texts)
+        whole = np.asarray(pc.match_substring_regex(texts, self.whole)) if n else np.zeros(0, bool)
+        empty = np.asarray(pc.equal(pc.binary_length(texts), 0)) if n else whole
+        plain = np.flatnonzero(~whole & ~empty)
+        cut = pc.split_pattern(texts.take(pa.array(plain)), " ")
+        words = cut.flatten().dictionary_encode()
+        begins = np.asarray(cut.offsets, np.int64)[:-1] - (cut.offsets[0].as_py() if len(cut.offsets) else 0)
+        number = np.asarray(words.indices, np.int64)
+        place, ids, ends = self.numbered(words.dictionary.to_pylist())
+        at = place[number]
+        lengths = (ends[1:] - ends[:-1])[at] if len(at) else np.zeros(0, np.int64)
+        # The first word of a text has no space before it.
+        first = {i: e for i, e in zip(plain.tolist(), self.single([words.dictionary[int(number[b])].as_py() for b in begins]), strict=True)}
+        for i, e in zip(np.flatnonzero(whole).tolist(), self.single(texts.take(pa.array(np.flatnonzero(whole))).to_pylist()), strict=True):
+            first[i] = e
+        lengths[begins] = 0
+        total = np.concatenate([[0], np.cumsum(lengths)])
+        rest = np.zeros(n, np.int64)
+        rest[plain] = total[np.append(begins[1:], len(number))] - total[begins] if len(plain) else 0
+        lead = np.array([len(first[i]) if i in first else 0 for i in range(n)], np.int64)
+        text_ends = np.cumsum(lead + rest)
+        out = np.empty(int(text_ends[-1]) if n else 0, self.dtype)
+        gather = np.repeat(ends[at] - total[:-1], lengths) + np.arange(total[-1]) if len(at) else np.zeros(0, np.int64)
+        body = ids[gather]
+        starts = text_ends - lead - rest
+        done = 0
+        for i in range(n):
+            s, k, r = starts[i], lead[i], rest[i]
+            if k:
+                out[s : s + k] = first[i]
+            if r:
+                out[s + k : s + k + r] = body[done : done + r]
+                done += r
+        return out, text_ends
+
+    def single(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def encoder(path: str, encode_special_tokens: bool) -> Encoder:
@@ -126,56 +159,91 @@ def local(uri: str) -> str:
     return at.path
 
 
+def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts that hold about BYTES_AT_ONCE together, one text at least."""
+    size = np.cumsum(np.asarray(pc.binary_length(texts), np.int64)) if len(texts) else np.zeros(0, np.int64)
+    lo = 0
+    while lo < len(texts):
+        before = size[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(size, before + BYTES_AT_ONCE, "right")))
+        yield lo, hi
+        lo = hi
+
+
+def bounds_of(documents: DataFrame, parts: int) -> np.ndarray:
+    """At most ``parts`` - 1 ids that cut the documents into ranges of like size, ascending, by a sample of ids."""
+    ids = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"))
+    seen = ids.sample(min(1.0, SAMPLED * parts / max(ids.count(), 1)), seed=3).toArrow()["id"]
+    ordered = np.sort(np.asarray(seen, np.int64))
+    return ordered[(np.arange(1, parts) * len(ordered)) // parts] if len(ordered) else ordered
+
+
+def encoded(documents: DataFrame, tokenizer_path: str, end_id: int, encode_special_tokens: bool, bounds: np.ndarray) -> DataFrame:
+    """(part, doc_id, ids): the ids of every text and ``end_id``, as little-endian integers of the tokenizer's width.
+
+    Parts are ranges of doc_id. An id so frequent that it fills several ranges is spread over them by row number.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(tokenizer_path, encode_special_tokens)
+        end = np.array([end_id], enc.dtype).tobytes()
+        for batch in batches:
+            texts, key = batch.column("text"), np.asarray(batch.column("doc_id").fill_null(NO_ID), np.int64)
+            low, high = np.searchsorted(bounds, key, "left"), np.searchsorted(bounds, key, "right")
+            part = pa.array(np.where(high > low, low + np.asarray(batch.column("row"), np.int64) % (high - low + 1), low), pa.int32())
+            for lo, hi in slices(texts):
+                ids, ends = enc.encode(texts.slice(lo, hi - lo))
+                data, at = ids.tobytes(), np.append(0, ends) * enc.dtype.itemsize
+                yield pa.record_batch({"part": part.slice(lo, hi - lo), "doc_id": batch.column("doc_id").slice(lo, hi - lo), "ids": pa.array([data[a:b] + end for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())})
+
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
+    return rows.mapInArrow(run, "part int, doc_id long, ids binary")
+
+
 def write_shards(documents: DataFrame, tokenizer_path: str, end_id: int, out_dir: str | None = None, encode_special_tokens: bool = False) -> DataFrame:
-    """Encode every text, append ``end_id``, write the shards; returns the manifest (shard, name, n_docs, n_tokens, base).
+    """Encode every text, append ``end_id``, write the shards; returns the manifest (shard, dir, name, width, n_docs, n_tokens, base).
 
-    Null texts are empty. Documents stand in ascending doc_id order; null ids first, repeated ids in an order fixed by
-    their texts. Empty input: no shards.
+    Null texts are empty. Documents stand in ascending doc_id order, null ids first; rows of one doc_id stand in an order of
+    their own, by their tokens within a shard; repeated rows are documents of their own. Empty input: no shards. Extra
+    columns are not carried along. There are as many shards as ``spark.sql.shuffle.partitions`` at most.
     """
     spark = documents.sparkSession
-    uri = out_dir or fresh_path(spark, "tokens")
-    target = local(uri)
+    target = local(out_dir or fresh_path(spark, "tokens"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(tokenizer_path, encode_special_tokens)
-        end, name, at, n, first = np.array([end_id], enc.dtype).tobytes(), f"shard-{uuid.uuid4().hex}", 0, 0, None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = encoder(tokenizer_path, encode_special_tokens).dtype.itemsize
+        name, at, n, part = f"shard-{uuid.uuid4().hex}", 0, 0, None
         os.makedirs(target, exist_ok=True)
         with open(f"{target}/{name}.bin.part", "wb") as ids, open(f"{target}/{name}.idx.part", "wb") as index:
-            for pdf in batches:
-                docs, texts = pdf["doc_id"], pdf["text"].tolist()
-                lo = 0
-                while lo < len(texts):
-                    hi, room = lo, CHARS_AT_ONCE
-                    while hi < len(texts) and (hi == lo or room >= len(texts[hi])):
-                        room -= len(texts[hi])
-                        hi += 1
-                    for missing, doc, got in zip(docs[lo:hi].isna(), docs[lo:hi], enc.encode(texts[lo:hi]), strict=True):
-                        ids.write(got + end)
-                        at += len(got) // enc.dtype.itemsize + 1
-                        doc = None if missing else int(doc)
-                        index.write(struct.pack("<qqq", missing, doc or 0, at))
-                        first, n = (doc if n == 0 else first), n + 1
-                    lo = hi
+            for batch in batches:
+                docs, own = batch.column("doc_id"), batch.column("ids")
+                if len(own):
+                    part, n = batch.column("part")[0].as_py(), n + len(own)
+                    ends = at + np.cumsum(np.asarray(pc.binary_length(own), np.int64)) // width
+                    for x in own:
+                        ids.write(x.as_buffer())
+                    index.write(np.stack([np.asarray(docs.is_null()).astype("<i8"), np.asarray(docs.fill_null(0), "<i8"), ends.astype("<i8")], axis=1).tobytes())
+                    at = int(ends[-1])
         for kind in ("bin", "idx"):
             if n:
                 os.replace(f"{target}/{name}.{kind}.part", f"{target}/{name}.{kind}")
             else:
                 os.remove(f"{target}/{name}.{kind}.part")
         if n:
-            yield pd.DataFrame({"first": pd.array([first], "Int64"), "name": [name], "width": [enc.dtype.itemsize], "n_docs": [n], "n_tokens": [at]})
+            yield pa.record_batch({"part": pa.array([part], pa.int32()), "name": [name], "width": pa.array([width], pa.int32()), "n_docs": [n], "n_tokens": [at]})
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    # A document is not cut, so neither are equal ids: they meet in one task, and shards follow each other by their first id.
-    dealt = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
-    shards = materialize(dealt.mapInPandas(run, "first long, name string, width int, n_docs long, n_tokens long"), "shards")
-    order = Window.orderBy(F.col("first").asc_nulls_first())
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tokens = encoded(documents, tokenizer_path, end_id, encode_special_tokens, bounds_of(documents, parts))
+    dealt = tokens.repartitionById(parts, "part").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    shards = materialize(dealt.mapInArrow(run, "part int, name string, width int, n_docs long, n_tokens long"), "shards")
+    order = Window.orderBy("part")
     before = F.coalesce(F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # One row a shard: the prefix sums run over the number of tasks, not over documents.
     return shards.select((F.row_number().over(order) - 1).alias("shard"), F.lit(target).alias("dir"), "name", "width", "n_docs", "n_tokens", before.alias("base"))
 
 
 def read_documents(manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, read from the memory-mapped shards."""
+    """(doc_id, start, n_tokens, ids_crc32) of every document, read from the memory-mapped shards, as many tasks as shards."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -188,7 +256,9 @@ def read_documents(manifest: DataFrame) -> DataFrame:
                     crc = [zlib.crc32(np.asarray(ids[a:b], "<u4")) for a, b in zip(begin, part[:, 2], strict=True)]
                     yield pd.DataFrame({"doc_id": pd.array(np.where(part[:, 0] == 1, None, part[:, 1]).tolist(), "Int64"), "start": r.base + begin, "n_tokens": part[:, 2] - begin, "ids_crc32": crc})
 
-    return manifest.repartition("name").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    manifest = materialize(manifest, "manifest")
+    # The manifest is small, so without a number of its own its rows would all go to one task.
+    return manifest.repartition(max(manifest.count(), 1), "name").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def tokens_of(spark: SparkSession, manifest: DataFrame) -> DataFrame:
