@@ -18,13 +18,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corrobora.llm._shared import discard, materialize
+
 #: Words of a window, and of a shingle.
 WINDOW, SHINGLE = 10, 3
-#: Benchmark words in a block (about 30 MB when broadcast).
-BLOCK_WORDS = 500_000
+#: Benchmark words in a block (about 20 MB when broadcast, measured with words of seven letters), and in a piece of a text.
+BLOCK_WORDS, PIECE = 200_000, 2_000
 
 #: Order of item ids; None is the id of all items without one.
 BY_ID = lambda i: (i is not None, i or "")
@@ -38,44 +41,49 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Block:
-    """Distinct windows of some items as arrays of word numbers, and their shingles."""
+    """Distinct windows of some pieces of items, as rows of word numbers, and their shingles."""
 
-    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int, shingle: int):
+    def __init__(self, pieces: list[tuple[str | None, list[bytes]]], window: int, shingle: int):
         self.vocabulary: dict[bytes, int] = {}
         windows: dict[tuple[int, ...], set[int]] = defaultdict(set)
-        self.items = sorted({i for i, w in items if w}, key=BY_ID)
+        self.items = sorted({i for i, w in pieces if w}, key=BY_ID)
         number = {v: k for k, v in enumerate(self.items)}
-        for item, words in items:
+        for item, words in pieces:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]
             for at in range(max(1, len(ids) - window + 1)) if ids else ():
                 windows[tuple(ids[at : at + window])].add(number[item])
-        self.windows = [np.array(w, np.int64) for w in windows]
-        self.owners = [np.array(sorted(o), np.int64) for o in windows.values()]
-        base = len(self.vocabulary) + 1
-        self.sizes = sorted({min(shingle, len(w)) for w in self.windows})
-        if base**max(self.sizes, default=1) >= 2**63:
-            raise ValueError("a block holds too many words for its shingles")
-        self.base = base
+        self.words = np.array([i for w in windows for i in w], np.int32)
+        self.starts = np.cumsum([0, *map(len, windows)])
+        self.owned = np.array([o for owners in windows.values() for o in sorted(owners)], np.int32)
+        self.owners = np.cumsum([0, *map(len, windows.values())])
+        self.sizes = sorted({min(shingle, len(w)) for w in windows})
         #: By shingle size: sorted codes of all shingles that any window holds.
         self.codes = {}
         for s in self.sizes:
-            own = [self.shingles(w, s)[1] for w in self.windows if min(shingle, len(w)) == s]
+            own = [self.shingles(w, s)[1] for w in map(self.window, range(len(windows))) if min(shingle, len(w)) == s]
             self.codes[s] = np.unique(np.concatenate(own))
         self.shingle = shingle
 
+    def window(self, k: int) -> np.ndarray:
+        return self.words[self.starts[k] : self.starts[k + 1]]
+
     def shingles(self, ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and codes of the shingles all of whose words the benchmark knows (number 0 and up; others are -1)."""
+        """Places and codes of the shingles all of whose words the benchmark knows (number 0 and up; others are -1).
+
+        A code is a 64-bit hash of word numbers. Two shingles of one code are searched for together: what is found is
+        compared word by word, so that costs time and changes no result.
+        """
         n = len(ids) - size + 1
         if n <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         known = ids >= 0
         fits = known[:n].copy()
         for i in range(1, size):
             fits &= known[i : n + i]
         at = np.flatnonzero(fits)
-        code = np.zeros(len(at), np.int64)
+        code = np.zeros(len(at), np.uint64)
         for i in range(size):
-            code = code * self.base + ids[at + i]
+            code = (code ^ (code >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + ids[at + i].astype(np.uint64) + np.uint64(1)
         return at, code
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
@@ -97,7 +105,8 @@ class Block:
     def choose(self, counts: dict[int, np.ndarray]) -> None:
         """Give every window the rarest of its shingles as its prefix (ties: the first in the window)."""
         self.prefix: dict[int, dict[int, list[tuple[int, int]]]] = {s: defaultdict(list) for s in self.sizes}
-        for k, w in enumerate(self.windows):
+        for k in range(len(self.starts) - 1):
+            w = self.window(k)
             s = min(self.shingle, len(w))
             place = np.searchsorted(self.codes[s], self.shingles(w, s)[1])
             offset = int(counts[s][place].argmin())
@@ -111,23 +120,37 @@ class Block:
             use = self.is_prefix[s][place]
             for a, p in zip(at[use].tolist(), place[use].tolist(), strict=True):
                 for k, offset in self.prefix[s][p]:
-                    w, start = self.windows[k], a - offset
+                    w, start = self.window(k), a - offset
                     if start >= 0 and start + len(w) <= len(ids) and np.array_equal(ids[start : start + len(w)], w):
                         hit[start : start + len(w)] = True
-                        items.update(self.owners[k].tolist())
+                        items.update(self.owned[self.owners[k] : self.owners[k + 1]].tolist())
         return items
 
 
 def blocks_of(benchmark: DataFrame, window: int, shingle: int, block_words: int) -> Iterator[Block]:
-    """The benchmark in blocks of about ``block_words`` words; an item with an id is never split over two."""
+    """The benchmark in blocks of about ``block_words`` words.
+
+    Texts are cut into pieces of PIECE words on the executors, each with the window's overlap, so that a window is in one
+    piece whole and no text is too large for a block. Pieces are dealt to blocks by a hash.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                words = words_of(text)
+                lows = range(0, max(1, len(words) - window + 1), PIECE) if words else ()
+                parts = [words[lo : lo + PIECE + window - 1] for lo in lows]
+                yield pa.record_batch({"item": pa.array([item] * len(parts), pa.string()), "words": pa.array([b" ".join(w) for w in parts], pa.binary()), "n": pa.array(map(len, parts), pa.int64())})
+
     rows = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item"), "text")
-    total = rows.select(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    n = max(1, -(-total // (6 * block_words)))
+    pieces = materialize(rows.mapInArrow(cut, "item string, words binary, n long"), "pieces")
+    n = max(1, -(-(pieces.agg(F.sum("n")).first()[0] or 0) // block_words))
     for b in range(n):
-        got = (rows.where(F.pmod(F.xxhash64("item", F.when(F.col("item").isNull(), F.col("text"))), F.lit(n)) == b) if n > 1 else rows).collect()
-        block = Block(sorted(((r["item"], words_of(r["text"])) for r in got), key=lambda x: (BY_ID(x[0]), x[1])), window, shingle)
-        if block.windows:
+        got = (pieces.where(F.pmod(F.xxhash64("item", "words"), F.lit(n)) == b) if n > 1 else pieces).collect()
+        block = Block(sorted(((r["item"], bytes(r["words"]).split()) for r in got), key=lambda x: (BY_ID(x[0]), x[1])), window, shingle)
+        if len(block.words):
             yield block
+    discard(pieces)
 
 
 def counts_over(documents: DataFrame, block: Block) -> dict[int, np.ndarray]:
@@ -195,7 +218,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     of a window counts once. items_sha256 digests the ids of the occurring items, sorted as strings, comma-joined.
     Null texts and items without words have no words and match nothing; items of one id are windows of one item. Items
     without an id hit and contaminate like others, count as one item together and are left out of items_sha256. All
-    columns of ``documents`` are kept (a column named as ``into`` is replaced); repeated rows have one result each.
+    columns of ``documents`` are kept (a column named as ``into`` is replaced); repeated rows have one result each. Texts
+    of any length are searched whole. Empty documents: no rows; empty benchmark: nothing is hit.
     """
     spark, text = documents.sparkSession, F.col("text")
     state = None

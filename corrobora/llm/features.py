@@ -40,15 +40,16 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def bounded_sample(rows: DataFrame, by: Column, most: int) -> DataFrame:
+def bounded_sample(rows: DataFrame, by: Column, most: int, values: int = 200) -> DataFrame:
     """About ``most`` rows (a tenth more at most is usual) for each value of ``by``, all of them where there are fewer.
 
-    Whether a row is in it depends on its doc_id alone, so the sample is the same at every run.
+    Only the ``values`` most frequent values take part (ties: the smaller); rows where ``by`` is null are left out.
+    Whether a row is in it depends on its doc_id alone, so the sample is the same at every run, and rows of one id are in
+    or out together.
     """
-    counted = rows.groupBy(by.alias("by")).count().collect()
-    kept = F.lit(False)
+    counted = rows.where(by.isNotNull()).groupBy(by.cast("string").alias("by")).count().orderBy(F.desc("count"), "by").limit(values).collect()
+    if not counted:
+        return rows.limit(0)
+    share = F.create_map(*[F.lit(v) for r in counted for v in (r["by"], most / r["count"])])
     place = (F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(11)) / F.lit(2.0**64)) + 0.5
-    for r in counted:
-        if r["by"] is not None:
-            kept = kept | ((by == F.lit(r["by"])) & (place < F.lit(most / r["count"])))
-    return rows.where(kept)
+    return rows.where(place < share[by.cast("string")])

@@ -93,8 +93,9 @@ class Model:
 def fit(documents: DataFrame, learn: Column, bits: int = BITS, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model | None:
     """Train on the rows where ``learn`` holds that have a lang and letters; None if there are none.
 
-    At most about ``rows_per_language`` whole texts of each language are used, chosen by doc_id. They become features
-    on the executors; the driver gathers those.
+    At most about ``rows_per_language`` whole texts of each language are used, chosen by doc_id, of the 200 most frequent
+    languages (features.bounded_sample). They become features on the executors; the driver gathers those. Repeated rows
+    count as often as they stand there. Of equal duels won, the larger sum of margins decides, then the later name.
     """
     rows = documents.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     sample = bounded_sample(rows, F.col("lang"), rows_per_language)

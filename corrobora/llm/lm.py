@@ -41,7 +41,7 @@ END_SLOT = 0
 ROWS = 2 * SLOTS + JOINT + 1
 
 #: Words of all vocabularies that are summed up together.
-RANGE_WORDS = 1_000_000
+RANGE_WORDS = 250_000
 #: Chunks whose sums one task adds up, where there are enough of them.
 CHUNKS_PER_TASK = 32
 

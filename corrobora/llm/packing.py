@@ -2,13 +2,12 @@
 
 A bucket pads its rows to its longest length. Over the global histogram of lengths, dynamic programming finds the
 boundaries with the least padding for a number of buckets; the recurrence is a minimum of lines, so each layer takes
-one sweep along a lower hull. The histogram is bounded: lengths up to GRID are exact, longer ones are rounded up in
-steps of 1/256 of their power of two, so it has under 13,000 entries for any corpus. Boundaries are optimal on that
-grid; a bucket then pads to the longest row that it really has.
+one sweep along a lower hull. The histogram holds every distinct length exactly. It is bounded by the corpus itself: D
+distinct lengths take D * D / 2 tokens at least, so 10^13 tokens have under 4.5 million of them, and usual texts far fewer.
 
 Batches hold as many rows as the budget allows at the bucket's length. A row's place in its bucket is exact and needs no
-task to see the bucket: rows fall into shards by a hash, shard sizes are summed up in order, and a row adds its number
-inside its shard. So all batches but the last of a bucket are full.
+task to see the bucket: rows are dealt to shards evenly, shard sizes are summed up in order in two levels, and a row adds
+its number inside its shard. So all batches but the last of a bucket are full.
 """
 
 from __future__ import annotations
@@ -19,10 +18,8 @@ from pyspark.sql import functions as F
 
 from corrobora.llm._shared import materialize
 
-#: Lengths up to here are exact in the histogram.
-GRID = 4_096
-#: Rows that a shard of a bucket holds on average.
-SHARD_ROWS = 512
+#: Rows that a shard of a bucket holds on average, and shards summed up together.
+SHARD_ROWS, SPAN = 512, 4_096
 #: Production parameters: buckets, and padded tokens in a batch.
 BUCKETS, TOKEN_BUDGET = 16, 65_536
 
@@ -32,12 +29,6 @@ def n_words(text: Column) -> Column:
     return (F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)) + 1).cast("long")
 
 
-def on_grid(n: Column) -> Column:
-    """The length at which ``n`` counts: itself up to GRID, then rounded up to 1/256 of its power of two."""
-    step = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.length(F.bin(n)) - 9, F.lit(0)))
-    return F.when(n <= GRID, n).otherwise(F.ceil(n / step) * step).cast("long")
-
-
 def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     """Bucket lengths, ascending, that minimise the sum of padded lengths with at most ``buckets`` buckets."""
     order = np.argsort(lengths)
@@ -80,25 +71,27 @@ def pack(documents: DataFrame, length: Column | None = None, buckets: int = BUCK
     ``length`` is a column of token counts (words and an end token if not given; null and less than 1 count as 1).
     bucket_tokens is the length to which the bucket pads, its largest n_tokens; batch numbers the batches of a bucket from
     0, place the rows of a batch. A row longer than ``budget`` is a batch of its own. Repeated rows are rows of their
-    own; null doc_ids are packed like others. Empty input: no rows. Extra columns are not carried along.
+    own; null doc_ids are packed like others. Which shard a row falls in depends on where it stands in the written table,
+    so no id or length, however frequent, makes a large shard. Empty input: no rows. Extra columns are not carried along.
     """
     n = F.greatest(F.coalesce((n_words(F.col("text")) if length is None else length).cast("long"), F.lit(1)), F.lit(1))
-    rows = materialize(documents.select(F.col("doc_id").cast("long").alias("doc_id"), n.alias("n_tokens")), "lengths")
-    seen = rows.groupBy(on_grid(F.col("n_tokens")).alias("length")).agg(F.count("*").alias("n"), F.max("n_tokens").alias("longest")).collect()
-    if not seen:
+    rows = materialize(documents.select(F.col("doc_id").cast("long").alias("doc_id"), n.alias("n_tokens"), F.monotonically_increasing_id().alias("row")), "lengths")
+    seen = rows.groupBy("n_tokens").count().toArrow()
+    if not len(seen):
         return rows.select("doc_id", "n_tokens", *[F.lit(0).cast("long").alias(c) for c in ("bucket", "bucket_tokens", "padding", "batch", "place")])
-    lengths, counts, longest = (np.array([r[i] for r in seen], np.int64) for i in range(3))
+    lengths, counts = (np.asarray(seen[c], np.int64) for c in ("n_tokens", "count"))
     tops = boundaries(lengths, counts, buckets)
-    where = np.searchsorted(tops, lengths)
-    pads = [int(longest[where == b].max()) for b in range(len(tops))]
-    shards = [int(-(-counts[where == b].sum() // SHARD_ROWS)) or 1 for b in range(len(tops))]
-    bucket = F.size(F.filter(F.array(*[F.lit(t).cast("long") for t in tops]), lambda t: t < on_grid(F.col("n_tokens"))))
-    pick = lambda values: F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), F.col("bucket") + 1)
-    dealt = rows.withColumn("bucket", bucket).withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_tokens"), pick(shards)))
-    before = F.coalesce(F.sum("count").over(Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = dealt.groupBy("bucket", "shard").count().select("bucket", "shard", before.alias("before"))
-    within = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("doc_id", "n_tokens")) - 1
+    many = np.bincount(np.searchsorted(tops, lengths), counts, len(tops)).astype(int)
+    bucket = F.size(F.filter(F.array(*[F.lit(t).cast("long") for t in tops]), lambda t: t < F.col("n_tokens")))
+    pick = lambda values: F.element_at(F.array(*[F.lit(int(v)).cast("long") for v in values]), F.col("bucket") + 1)
+    dealt = rows.withColumn("bucket", bucket).withColumn("shard", F.pmod(F.xxhash64("row"), pick(np.maximum(-(-many // SHARD_ROWS), 1))))
+    span = F.floor(F.col("shard") / SPAN).alias("span")
+    sum_before = lambda what, by, order: F.coalesce(F.sum(what).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shards = materialize(dealt.groupBy("bucket", "shard").count().select("bucket", "shard", span, "count"), "shards")
+    spans = shards.groupBy("bucket", "span").agg(F.sum("count").alias("n")).select("bucket", "span", sum_before("n", ["bucket"], "span").alias("base"))
+    sizes = shards.join(spans, ["bucket", "span"]).select("bucket", "shard", (F.col("base") + sum_before("count", ["bucket", "span"], "shard")).alias("before"))
+    within = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("doc_id", "n_tokens", "row")) - 1
     at = F.col("before") + F.col("within")
-    per_batch = pick([max(1, budget // t) for t in pads])
-    placed = dealt.withColumn("within", within).join(sizes, ["bucket", "shard"]).withColumn("bucket_tokens", pick(pads))
+    per_batch = pick([max(1, budget // t) for t in tops])
+    placed = dealt.withColumn("within", within).join(sizes, ["bucket", "shard"]).withColumn("bucket_tokens", pick(tops))
     return placed.select("doc_id", "n_tokens", F.col("bucket").cast("long").alias("bucket"), "bucket_tokens", (F.col("bucket_tokens") - F.col("n_tokens")).alias("padding"), F.floor(at / per_batch).cast("long").alias("batch"), (at % per_batch).cast("long").alias("place"))

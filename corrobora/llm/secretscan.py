@@ -10,13 +10,17 @@ candidates once; features, scores and the redacted text are computed inside its
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import reduce
+from math import log2
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corrobora.llm._shared import unused
+
 # What candidates look like.
 PRIVATE_KEY = r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----[\s\S]*?-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
 TOKEN_RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}+"
@@ -29,7 +33,8 @@ VALUE = r"[^\s\"'=:][^\s\"']{7,}+"
 ASSIGNED = f"{NAMED}{VALUE}"
 CANDIDATE = f"{PRIVATE_KEY}|{IN_URL}|{ASSIGNED}|{TOKEN_RUN}"
 
-# Words that stand next to secrets, next to other identifiers, in paths and in placeholders.
+# Words that stand next to secrets, next to other identifiers, in paths and in placeholders; common words, from whose
+# letters the transition table is learned.
 SECRET_WORDS = r"(?i)(key|token|secret|passw|pwd|auth|bearer|credential|private|signature|login)"
 OTHER_WORDS = r"(?i)(commit|sha|hash|digest|checksum|uuid|guid|etag|revision|md5|build|version|card|isbn|phone|order|ticket|serial|integrity|object)"
 QUIET_PATHS = r"(?i)(test|spec|fixture|mock|example|sample|doc|readme|lock|vendor|node_modules|changelog)"
@@ -37,7 +42,17 @@ PLACEHOLDERS = r"(?i)(example|sample|your|change_?me|dummy|placeholder|xxxx|test
 REFERENCES = r"^[$<{%\[]|\w[(\[]|^[a-z]+\.[A-Za-z_]+|^[*.#•]+$"
 PREFIXES = r"^(AKIA|ASIA|ghp_|gho_|ghs_|xox[abpr]-|sk_live_|rk_live_|AIza|eyJ|glpat-|-----BEGIN)"
 DICTIONARY = ("about after all and back base before between build case check class client close code common config content control copy count create current custom data date default delete device document each edit element enable end error event every example false field file filter find first format found from function general get global group handle header help host http image import index info input instance interface item java key label last layer left length level library like line link list load local long main make manager map master match message method model module month name need network new next node not note number object open option order other output over package page parent part path place plugin post present process project property public query read record release remote remove request reset resource response result return right root route row rule sample save schema screen script search section select server service session set show simple site size source space stage start state static status step string style system table tag target task template test text that the time title tool total track true type under update upload user value version view was window with word work write year zone").split()
-BIGRAMS = ("al an ar as at co de ed en er es ha he hi in io is it le li me nd ne ng nt of on or ou ra re ri ro se st te th ti to ur ve").split()
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def transitions(words: list[str]) -> list[float]:
+    """How much likelier than by chance each letter comes after each other one in ``words``: log2, smoothed, 26 rows of 26."""
+    seen = Counter(w[i : i + 2] for w in words for i in range(len(w) - 1))
+    first = Counter(p[0] for p in seen.elements())
+    return [log2(26 * (seen[a + b] + 0.2) / (first[a] + 5.2)) for a in LETTERS for b in LETTERS]
+
+
+TRANSITIONS = transitions(DICTIONARY)
 
 #: Characters of context on either side; trees and depth of the forest; the score from which a candidate is a secret.
 BEFORE, AFTER, TREES, DEPTH, THRESHOLD = 48, 16, 15, 6, 0.5
@@ -52,9 +67,13 @@ def features(candidate: Column, before: Column, after: Column, path: Column) ->
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     low = F.lower(candidate)
     covered = lambda words: (n - F.length(F.regexp_replace(low, "|".join(words), ""))) / n
+    table, code = F.array(*map(F.lit, TRANSITIONS)), F.transform(F.split(F.regexp_replace(low, "[^a-z]+", " "), ""), lambda x: F.ascii(x) - 97)
+    follows = F.transform(F.slice(code, 2, F.greatest(F.size(code) - 1, F.lit(0))), lambda y, i: F.when((code[i] >= 0) & (y >= 0), F.element_at(table, (26 * code[i] + y + 1).cast("int"))))
+    pairs = F.filter(follows, lambda x: x.isNotNull())
+    likely = F.when(F.size(pairs) == 0, F.lit(-2.0)).otherwise(F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x) / F.size(pairs))
     return [
         n, share("[0-9]"), share("[A-Z]"), share("[a-z]"), share("[^0-9A-Za-z]"), (F.length(kinds) - 1) / n,
-        F.size(F.array_distinct(F.split(candidate, ""))) / n, flag(candidate.rlike("^[0-9a-f]+$|^[0-9A-F]+$")), covered(BIGRAMS), covered(sorted(DICTIONARY, key=len, reverse=True)),
+        F.size(F.array_distinct(F.split(candidate, ""))) / n, flag(candidate.rlike("^[0-9a-f]+$|^[0-9A-F]+$")), likely, covered(sorted(DICTIONARY, key=len, reverse=True)),
         flag(F.right(before, F.lit(28)).rlike(SECRET_WORDS)), flag(before.rlike("[=:]\\s?[\"']?$")), flag(F.concat(F.right(before, F.lit(28)), F.lit(" "), after).rlike(OTHER_WORDS)),
         flag(path.rlike(QUIET_PATHS)), flag(candidate.rlike(PREFIXES)), flag(candidate.rlike(PLACEHOLDERS)),
         flag(before.rlike("://[^\\s/:@]*:$")), flag(candidate.rlike(REFERENCES)),
@@ -173,22 +192,23 @@ def scan(documents: DataFrame, forest: Forest, threshold: float = THRESHOLD, int
     """``documents`` with a column ``into``: struct(n_candidates, n_secrets, max_score, found array<string>, redacted).
 
     ``redacted`` is the text with every secret replaced by ``[SECRET]``; without secrets it is the text itself. A null
-    text has no candidates and stays null; a null source is an empty path. All other columns are kept (one named as
-    ``into`` is replaced); rows are independent, so repeated rows have equal results.
+    text has no candidates and stays null, an empty one stays empty; texts of any length, with any number of candidates,
+    are scanned whole, inside their row. A null source is an empty path. All other columns are kept, whatever their names
+    (one named as ``into`` is replaced); rows are independent, so repeated rows have equal results. Empty input: no rows.
     """
     text, path = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in documents.columns else F.lit("")
-    cut = F.split(text, CANDIDATE, -1)
+    got, cut, scores = (unused(documents, c) for c in ("__got", "__cut", "__scores"))
     # Only a match in a URL ends before an @: other values take it in, and other candidates hold no colon.
-    head = lambda x, i: F.when(F.startswith(F.col("__cut")[i + 1], F.lit("@")), F.regexp_extract(x, f"^{USER}", 0)).otherwise(F.regexp_extract(x, f"^{NAMED}(?={VALUE}\\z)", 0))
+    head = lambda x, i: F.when(F.startswith(F.col(cut)[i + 1], F.lit("@")), F.regexp_extract(x, f"^{USER}", 0)).otherwise(F.regexp_extract(x, f"^{NAMED}(?={VALUE}\\z)", 0))
     parts = lambda x, i: F.struct(head(x, i).alias("head"), F.substr(x, F.length(head(x, i)) + 1).alias("c"))
     # White space in a head counts as one blank, so that the name stays in view.
-    before = lambda x, i: F.right(F.concat(F.col("__cut")[i], F.regexp_replace(x["head"], r"\s+", " ")), F.lit(BEFORE))
-    told = lambda x, i: F.struct(*[f.alias(n) for f, n in zip(features(x["c"], before(x, i), F.left(F.col("__cut")[i + 1], F.lit(AFTER)), path), FEATURES, strict=True)])
-    rows = documents.withColumn("__got", F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).withColumn("__cut", F.when(F.size("__got") > 0, cut))
-    rows = rows.withColumn("__got", F.transform("__got", parts))
-    rows = rows.withColumn("__scores", F.transform(F.transform("__got", told), forest.score))
-    hits = F.filter(F.arrays_zip(F.col("__got.c").alias("c"), F.col("__scores").alias("s")), lambda x: x["s"] >= threshold)
-    after = F.transform("__got", lambda x, i: F.concat(x["head"], F.when(F.col("__scores")[i] >= threshold, F.lit("[SECRET]")).otherwise(x["c"]), F.col("__cut")[i + 1]))
-    redacted = F.when(F.col("text").isNull(), F.lit(None).cast("string")).when(F.size("__got") == 0, text).otherwise(F.concat(F.col("__cut")[0], F.array_join(after, "")))
-    out = F.struct(F.size("__got").cast("long").alias("n_candidates"), F.size(hits).cast("long").alias("n_secrets"), F.coalesce(F.array_max("__scores"), F.lit(0.0)).alias("max_score"), F.transform(hits, lambda x: x["c"]).alias("found"), redacted.alias("redacted"))
-    return rows.withColumn(into, out).drop("__got", "__cut", "__scores")
+    before = lambda x, i: F.right(F.concat(F.col(cut)[i], F.regexp_replace(x["head"], r"\s+", " ")), F.lit(BEFORE))
+    told = lambda x, i: F.struct(*[f.alias(n) for f, n in zip(features(x["c"], before(x, i), F.left(F.col(cut)[i + 1], F.lit(AFTER)), path), FEATURES, strict=True)])
+    rows = documents.withColumn(got, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).withColumn(cut, F.when(F.size(got) > 0, F.split(text, CANDIDATE, -1)))
+    rows = rows.withColumn(got, F.transform(got, parts))
+    rows = rows.withColumn(scores, F.transform(F.transform(got, told), forest.score))
+    hits = F.filter(F.arrays_zip(F.col(f"{got}.c").alias("c"), F.col(scores).alias("s")), lambda x: x["s"] >= threshold)
+    after = F.transform(got, lambda x, i: F.concat(x["head"], F.when(F.col(scores)[i] >= threshold, F.lit("[SECRET]")).otherwise(x["c"]), F.col(cut)[i + 1]))
+    redacted = F.when(F.col("text").isNull(), F.lit(None).cast("string")).when(F.size(got) == 0, text).otherwise(F.concat(F.col(cut)[0], F.array_join(after, "")))
+    out = F.struct(F.size(got).cast("long").alias("n_candidates"), F.size(hits).cast("long").alias("n_secrets"), F.coalesce(F.array_max(scores), F.lit(0.0)).alias("max_score"), F.transform(hits, lambda x: x["c"]).alias("found"), redacted.alias("redacted"))
+    return rows.withColumn(into, out).drop(got, cut, scores)

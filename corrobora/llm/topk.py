@@ -4,7 +4,8 @@ A vector is cut into segments; each segment of length L is summed up by its mean
 a = sqrt(L) m and b = sqrt(L) s per segment, the squared distance of two vectors is at least the squared distance of
 their (a, b) rows, and the squares of a row sum to the squared length of its vector. So the lower bound on the
 distance is an upper bound on the inner product: the product of the two rows. Bounds are taken coarse to fine (2, 4, 8
-and 16 segments); what no level rules out gets its exact score.
+16 and 32 segments), pair by pair: a candidate that one query of a batch still needs is not scored for the others. What no
+level rules out gets its exact score.
 
 Plan: queries go out in passes of a bounded size, each broadcast to one scan of the candidates. Every pass starts from
 thresholds found on a bounded sample of candidates (any subset gives a valid threshold), so a task emits only what can
@@ -23,9 +24,11 @@ from pyspark.sql import functions as F
 from corrobora.llm._shared import materialize
 
 #: Segments of a vector at each level, coarse to fine.
-LEVELS = (2, 4, 8, 16)
-#: Queries broadcast in one pass, and scored together inside a task.
-QUERIES_PER_PASS, QUERIES_AT_ONCE = 65_536, 256
+LEVELS = (2, 4, 8, 16, 32)
+#: Queries broadcast in one pass (fewer, if their components take more than QUERY_BYTES), and scored together inside a task.
+QUERIES_PER_PASS, QUERY_BYTES, QUERIES_AT_ONCE = 65_536, 64_000_000, 256
+#: Share of surviving pairs under which they are scored one by one rather than as a block; pairs at once.
+SPARSE, PAIRS_AT_ONCE = 0.05, 200_000
 #: Candidates of the sample that sets the first thresholds.
 SEEDS = 4_096
 #: Sums of products stay whole numbers in a double up to here.
@@ -52,6 +55,13 @@ def inner(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.clip(whole(q) @ whole(x).T, -(2**63), 2**63 - 1).astype(np.int64)
 
 
+def pairwise(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Exact inner products of rows, one by one."""
+    if not q.size or np.abs(q).max() * np.abs(x).max() * q.shape[1] < EXACT:
+        return (q * x).sum(axis=1).astype(np.int64)
+    return np.array([int(np.clip(sum(int(a) * int(b) for a, b in zip(u, v, strict=True)), -(2**63), 2**63 - 1)) for u, v in zip(q, x, strict=True)], np.int64)
+
+
 class Best:
     """The best k candidates so far of each query of one dimension."""
 
@@ -61,25 +71,38 @@ class Best:
         self.floor = np.full(len(q), -np.inf) if floor is None else floor[order]
         self.levels = [segment_rows(self.q, s) for s in LEVELS]
         self.at, self.ref, self.score = (np.zeros(0, np.int64) for _ in range(3))
+        #: Pairs of query and candidate offered, and left after each level.
+        self.offered, self.left = 0, np.zeros(len(LEVELS), np.int64)
 
     def offer(self, ids: np.ndarray, x: np.ndarray) -> None:
         rows = [segment_rows(x, s) for s in LEVELS]
         for lo in range(0, len(self.ids), QUERIES_AT_ONCE):
             part = slice(lo, lo + QUERIES_AT_ONCE)
             least = self.floor[part, None]
-            alive, fits = np.arange(len(ids)), np.ones((len(self.ids[part]), len(ids)), bool)
-            for mine, theirs in zip(self.levels, rows, strict=True):
-                bound = mine[part] @ theirs[alive].T
-                fits &= bound + np.abs(bound) * 1e-9 + 1e-3 >= least
+            alive, fits = np.arange(len(ids)), self.ids[part, None] != ids[None, :]
+            self.offered += int(fits.sum())
+            for level, (mine, theirs) in enumerate(zip(self.levels, rows, strict=True)):
+                if fits.mean() < SPARSE:
+                    at, col = np.nonzero(fits)
+                    stays = np.concatenate([np.zeros(0, bool), *[(bound := (mine[part][at[i : i + PAIRS_AT_ONCE]] * theirs[alive[col[i : i + PAIRS_AT_ONCE]]]).sum(axis=1)) + np.abs(bound) * 1e-9 + 1e-3 >= least[at[i : i + PAIRS_AT_ONCE], 0] for i in range(0, len(at), PAIRS_AT_ONCE)]])
+                    fits[at[~stays], col[~stays]] = False
+                else:
+                    bound = mine[part] @ theirs[alive].T
+                    fits &= bound + np.abs(bound) * 1e-9 + 1e-3 >= least
                 stay = fits.any(axis=0)
                 alive, fits = alive[stay], fits[:, stay]
+                self.left[level] += int(fits.sum())
                 if not len(alive):
                     break
             if not len(alive):
                 continue
-            score = inner(self.q[part], x[alive])
-            at, col = np.nonzero(fits & (score >= least) & (self.ids[part, None] != ids[alive][None, :]))
-            self.merge(at + lo, ids[alive[col]], score[at, col])
+            at, col = np.nonzero(fits)
+            if fits.mean() < SPARSE:
+                score = np.concatenate([pairwise(self.q[part][at[i : i + PAIRS_AT_ONCE]], x[alive[col[i : i + PAIRS_AT_ONCE]]]) for i in range(0, len(at), PAIRS_AT_ONCE)])
+            else:
+                score = inner(self.q[part], x[alive])[at, col]
+            good = score >= least[at, 0]
+            self.merge(at[good] + lo, ids[alive[col[good]]], score[good])
 
     def merge(self, at: np.ndarray, ref: np.ndarray, score: np.ndarray) -> None:
         """Take in rows; of an id offered twice, its best score stays."""
@@ -122,20 +145,23 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5, scale: float =
     rows = vectors.where(F.coalesce(sound, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), value.cast("array<double>").alias("x"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     spark = vectors.sparkSession
     queries = rows.where("asks").groupBy("id").agg(F.max(F.struct(F.size("x").alias("d"), "x")).alias("v")).select("id", "v.x")
-    passes = -(-max(queries.count(), 1) // queries_per_pass)
+    asked = queries.agg(F.count("*").alias("n"), F.sum(8 * F.size("x")).alias("bytes")).first()
+    passes = max(1, -(-asked["n"] // queries_per_pass), -(-(asked["bytes"] or 0) // QUERY_BYTES))
+    if passes > 1:
+        queries = materialize(queries, "queries")
     seeds = rows.select("id", "x").orderBy(F.xxhash64("id"), "id").limit(SEEDS).toPandas()
     seeds = {d: (ids, x) for d, ids, x in matrices(seeds["id"], seeds["x"], scale)}
 
     found: list[DataFrame] = []
     for p in range(passes):
         own = (queries.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == p) if passes > 1 else queries).toPandas()
-        asked = {}
+        of_size = {}
         for d, ids, q in matrices(own["id"], own["x"], scale):
             start = Best(ids, q, k)
             if d in seeds:
                 start.offer(*seeds[d])
-            asked[d] = (start.ids, start.q, start.floor)
-        sent = spark.sparkContext.broadcast(asked)
+            of_size[d] = (start.ids, start.q, start.floor)
+        sent = spark.sparkContext.broadcast(of_size)
 
         def scan(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             best = {d: Best(ids, q, k, floor) for d, (ids, q, floor) in sent.value.items()}

@@ -11,6 +11,7 @@ is reversed (Kiryo et al., 2017). Trained in numpy on bounded samples; scoring r
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,10 +21,20 @@ from pyspark.sql import functions as F
 
 from corrobora.llm.features import bounded_sample, word_ids
 
-#: log2 of the number of features; rows of the samples of confirmed and of unlabelled text (about 1 kB each).
+#: log2 of the number of features; rows of the samples of confirmed and of unlabelled text (about 1 kB each, so that the
+#: driver gathers some 24 MB; very long texts have at most one feature for each of their distinct words and stems).
 BITS, CONFIRMED, UNLABELLED = 20, 6_000, 18_000
 
 
+def packed(ids: np.ndarray) -> bytes:
+    """Ascending ids as compressed differences, byte plane by byte plane: about 1.5 bytes each."""
+    return zlib.compress(np.diff(ids, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 6)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T.tobytes(), "<u4"), dtype=np.int64)
+
+
 class Model:
     """Weights of the features that occur often enough in the samples, and a bias."""
 
@@ -43,8 +54,8 @@ def nonnegative_pu(positive: list[np.ndarray], unlabelled: list[np.ndarray], pri
     width = 1 + max([0, *(int(p[-1]) for p in positive + unlabelled if len(p))])
     blocks = lambda rows: (rows[lo : lo + 1000] for lo in range(0, len(rows), 1000))
     count = lambda rows: sum((np.bincount(np.concatenate(b), minlength=width) for b in blocks(rows)), np.zeros(width, np.int64))
-    # Copies of one example would vouch for all of its words: of those that share their least features, one counts.
-    apart = lambda rows: list({x[:4].tobytes(): x for x in rows}.values())
+    # Copies of one example would vouch for all of its words: of those that have the same features, one counts.
+    apart = lambda rows: list({x.tobytes(): x for x in rows}.values())
     distinct, others = apart(positive), apart(unlabelled)
     cp, cu = count(distinct), count(others)
     rp, ru = (cp + 0.5) / (len(distinct) + 1), (cu + 0.5) / (len(others) + 1)
@@ -91,7 +102,9 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column, confirmed: int =
 
     Confirmed examples are those with labels.toxic = 1; the class prior is their share among the labelled rows. A doc_id
     with several labels counts as toxic if any of them is. Without confirmed examples every score is the prior's floor.
-    The samples hold about ``confirmed`` and ``unlabelled`` whole texts, chosen by doc_id.
+    The samples hold about ``confirmed`` and ``unlabelled`` whole texts, chosen by doc_id: rows of one doc_id are in or out
+    together, and each counts. Examples with the same features count once where features are chosen. Null and empty
+    texts are examples without features. Rows without an id, and labels without an id or a mark, are not learned from.
     """
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     texts = documents.where(learn & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -107,7 +120,7 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column, confirmed: int =
         for pdf in batches:
             for lo in range(0, len(pdf), 500):
                 part = pdf.iloc[lo : lo + 500]
-                yield pd.DataFrame({"doc": part["doc_id"], "kind": part["kind"], "at": [word_ids(t, bits).astype(np.uint32).tobytes() for t in part["text"]]})
+                yield pd.DataFrame({"doc": part["doc_id"], "kind": part["kind"], "at": [packed(word_ids(t, bits)) for t in part["text"]]})
 
     # Unlabelled text is all text that is not confirmed; of the labelled, the confirmed are both.
     total = sum(seen.values())
@@ -115,7 +128,7 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column, confirmed: int =
     kind = F.when((F.col("toxic") == 1) & (place < confirmed / toxic), F.lit(1)).otherwise(0) + F.when(place >= 1 - unlabelled / total, F.lit(2)).otherwise(0)
     chosen = known.select("doc_id", kind.alias("kind")).where("kind > 0").distinct()  # ids and marks of the bounded samples
     got = texts.join(F.broadcast(chosen), "doc_id").mapInPandas(run, "doc long, kind int, at binary").toArrow().to_pandas().sort_values(["doc", "at"])
-    ids = [np.frombuffer(x, np.uint32) for x in got["at"]]
+    ids = [unpacked(x) for x in got["at"]]
     flags = got["kind"].to_numpy()
     return nonnegative_pu([x for x, k in zip(ids, flags, strict=True) if k & 1], [x for x, k in zip(ids, flags, strict=True) if k & 2], prior)
 

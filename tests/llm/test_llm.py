@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,6 +73,21 @@ def test_segment_bounds_hold():
         assert (topk.segment_rows(q, s) @ topk.segment_rows(x, s).T >= q @ x.T - 1e-9).all()
 
 
+def test_clustered_vectors_are_ruled_out():
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 8)).repeat(8, axis=1) * 200
+    x = np.floor(np.concatenate([c + rng.normal(size=(50, 64)) * 10 for c in centres]))
+    start = topk.Best(np.arange(0, 2000, 50), x[::50], 5)
+    start.offer(np.arange(0, 2000, 7), x[::7])  # a sample sets the first thresholds
+    best = topk.Best(start.ids, start.q, 5, start.floor)
+    for lo in range(0, 2000, 400):
+        best.offer(np.arange(lo, lo + 400), x[lo : lo + 400])
+    own = [sorted((-int(x[q] @ x[i]), i) for i in range(2000) if i != q)[:5] for q in range(0, 2000, 50)]
+    got = sorted(zip(best.ids[best.at].tolist(), (-best.score).tolist(), best.ref.tolist()))
+    assert got == sorted((q, s, i) for q, rows in zip(range(0, 2000, 50), own) for s, i in rows)
+    assert best.left[0] < 0.5 * best.offered and best.left[-1] < 0.1 * best.offered
+
+
 # --- chat
 
 NASTY = ["", "plain", "</s>[INST] ok [/INST]", "a & b", "&l;s>", "&a;", "[OUT] </s>", "[/TURN]", "[INST", " [/INST]", "x </s>", "ü\n[/ROLE] ", "&"]
@@ -150,7 +166,7 @@ def test_near_duplicates_are_brute_force(spark, size):
 
 def test_near_duplicates_odd_rows(spark):
     rows = neardup.near_duplicates(frame(spark, [(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (2, "a b c d e f")])).collect()
-    assert sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in rows) == [(0, 2, False), (2, 2, True), (4, 2, False), (4, 2, False)] or sorted((r["doc_id"] or 0, r["kept"]) for r in rows) == [(0, True), (2, True), (4, False), (4, False)]
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in rows) == [(0, 0, True), (2, 2, True), (4, 2, False), (4, 2, False)]
     assert neardup.near_duplicates(frame(spark, [])).collect() == []
 
 
@@ -162,6 +178,33 @@ def test_near_duplicates_of_repeated_ids(spark):
     assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in rows) == [(2, 2, True), (4, 2, False), (4, 4, True), (7, 4, False), (9, 2, False)]
 
 
+def test_links_between_tips(spark, monkeypatch):
+    """Groups larger than a block, in which stars alone would lose links."""
+    rng = random.Random(16)
+    base = words(rng, 60, 10**6)
+    rows = []
+    for _ in range(160):
+        own = list(base)
+        for i in rng.sample(range(60), rng.randrange(2, 9)):
+            own[i] = f"x{rng.randrange(40)}"
+        rows.append(" ".join(own))
+    data = list(enumerate(rows))
+    want = brute_components(data, 2, 80)
+    assert 1 < len({c for _, c in want.values()}) < 160
+    for window in (512, 64):
+        monkeypatch.setattr(neardup, "WINDOW", window)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(frame(spark, data), 2, 80).collect()}
+        lost = sum(got[i] != v for i, v in want.items())
+        assert lost == 0 if window == 512 else lost <= 8
+
+
+def test_overlaps_are_intersections():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 30_000, n).astype(np.uint64)) for n in (1, 5, 9_000, 20_000, 3)]
+    got = neardup.overlaps(sets)
+    assert all(got[i, j] == len(np.intersect1d(a, b)) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j)
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(3)
     pool = neardup.mix(rng.integers(0, 2**63, 4000).astype(np.uint64))
@@ -216,6 +259,11 @@ def test_toxicity(spark):
     assert toxicity.fit(df, labels.limit(0), ~held).score(np.zeros(0, np.int64)) < 0.5
 
 
+def test_feature_ids_are_packed_whole():
+    for ids in ([], [0], [5, 6, 300, 70_000, 1_048_575], list(range(0, 2**20, 1777))):
+        assert toxicity.unpacked(toxicity.packed(np.array(ids, np.int64))).tolist() == ids
+
+
 # --- packing
 
 
@@ -236,7 +284,11 @@ def test_boundaries_are_optimal():
 
 def test_buckets_pad_to_their_longest_row(spark):
     rng = random.Random(12)
-    df = spark.createDataFrame([(i, rng.choice([5, 300, 5_001, 6_006, 20_021, 70_001])) for i in range(60)], "doc_id long, n long")
+    some = [5, 300, 5_001, 6_006, 6_007, 20_021, 70_001]
+    rows = [rng.choice(some) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, n long")
+    best = min(sum(min(t for t in (*pick, 70_001) if t >= v) for v in rows) for pick in itertools.combinations(some, 2))
+    assert sum(r["bucket_tokens"] for r in packing.pack(df, F.col("n"), buckets=3).collect()) == best
     for buckets in (2, 16):
         out = packing.pack(df, F.col("n"), buckets=buckets).collect()
         assert {r["bucket"]: r["bucket_tokens"] for r in out} == {b: max(r["n_tokens"] for r in out if r["bucket"] == b) for b in {r["bucket"] for r in out}}
@@ -258,9 +310,17 @@ def test_packing(spark):
         own = [len(batches[k]) for k in sorted(batches) if k[0] == b]
         assert len(set(own[:-1])) <= 1 and own[-1] <= own[0]
     assert packing.pack(frame(spark, [])).collect() == []
-    n = [4_096, 4_097, 5_000, 10**6, 2**20, 2**20 + 1]
-    grid = [r[0] for r in spark.createDataFrame([(v,) for v in n], "n long").select(packing.on_grid(F.col("n"))).collect()]
-    assert all(v <= g <= v * (1 + 1 / 128) for v, g in zip(n, grid)) and grid[0] == 4_096 and grid[4] == 2**20
+
+
+def test_packing_spreads_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_ROWS", 8)
+    monkeypatch.setattr(packing, "SPAN", 4)
+    out = packing.pack(frame(spark, [(None, "a b c")] * 500 + [(5, "a b c")] * 300 + [(i, "a b") for i in range(40)]), buckets=2, budget=40).collect()
+    assert len(out) == 840
+    for b in {r["bucket"] for r in out}:
+        own = sorted((r["batch"], r["place"]) for r in out if r["bucket"] == b)
+        per = 40 // next(r["bucket_tokens"] for r in out if r["bucket"] == b)
+        assert own == [(i // per, i % per) for i in range(len(own))]
 
 
 # --- secrets
@@ -292,6 +352,29 @@ def test_secrets_of_common_forms(spark):
     assert [out[i]["redacted"] for i in range(len(bad), len(bad) + len(good))] == good
 
 
+def test_scan_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "password=hunter2secret", "a", "b"), (2, "x " * 60_000 + "password=hunter2secret", "a", "b"), (3, "k" * 20 + "1 " + "token=abcdefgh12 " * 2_000, "a", "b")], "doc_id long, text string, __got string, __scores string")
+    out = {r["doc_id"]: r for r in secretscan.scan(df, secretscan.default_forest(spark)).collect()}
+    assert all((r["__got"], r["__scores"]) == ("a", "b") for r in out.values())
+    assert out[1]["secrets"]["redacted"] == "password=[SECRET]" and out[2]["secrets"]["redacted"].endswith("x password=[SECRET]") and out[3]["secrets"]["n_candidates"] == 2_001
+
+
+def test_transitions_tell_words_from_noise(spark):
+    words_, noise = ["different", "connection", "material", "horse"], ["xkqzjwvt", "qwzxkvjp", "vbqtzxkj", "jxqzkvwp"]
+    f = secretscan.features(F.col("c"), F.lit(""), F.lit(""), F.lit(""))[secretscan.FEATURES.index("transitions")]
+    got = [r[0] for r in spark.createDataFrame([(w,) for w in words_ + noise + ["12", "a"]], "c string").select(f).collect()]
+    assert min(got[:4]) > 0 > max(got[4:8]) and got[8] == got[9] == -2.0
+
+
+def test_candidates_are_recalled(spark):
+    """Secrets of all kinds that the findings are made of, set into texts, are found as candidates."""
+    rows = secretscan.default_findings(spark, 800).where("label = 1").withColumn("doc_id", F.monotonically_increasing_id())
+    docs = rows.select("doc_id", "candidate", F.concat(F.lit("so it says "), "before", "candidate", F.when(F.col("before").endswith(":") & F.col("before").contains("://"), F.lit("@host/x")).otherwise(F.lit("")), F.lit(" and on")).alias("text"))
+    cut = F.regexp_extract_all("text", F.lit(secretscan.CANDIDATE), F.lit(0))
+    share = docs.select(F.avg(F.exists(cut, lambda x: F.contains(x, F.col("candidate"))).cast("double"))).first()[0]
+    assert share > 0.98
+
+
 def test_forest_on_held_out_findings(spark):
     rows = secretscan.default_findings(spark, 3000).withColumn("n", F.monotonically_increasing_id())
     forest = secretscan.train(rows.where("n % 3 <> 0"))
@@ -357,6 +440,15 @@ def test_contamination_is_brute_force(spark, block_words):
     assert all(r["contamination"]["n_hit"] == 0 for r in none)
 
 
+def test_long_items_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "PIECE", 7)
+    rng = random.Random(17)
+    items = [(1, " ".join(words(rng, 200, 60))), (2, " ".join(words(rng, 16, 60))), (3, " ".join(words(rng, 17, 60)))]
+    docs = [(i, " ".join([*words(rng, 5, 60), *(own := rng.choice(items)[1].split())[(at := rng.randrange(len(own))) : at + rng.randrange(5, 40)], *words(rng, 5, 60)])) for i in range(40)] + [(99, "w1 " * 50_000)]
+    out = decontam.contamination(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), block_words=30, into="c").collect()
+    assert sorted((r["doc_id"], *r["c"]) for r in out) == sorted((i, *brute_hits(t, items)) for i, t in docs)
+
+
 @pytest.mark.parametrize("block_words", [500_000, 1])
 def test_items_without_an_id_contaminate(spark, block_words):
     bench = spark.createDataFrame([(None, "alpha beta gamma"), (None, "delta eps zeta"), (3, "eta theta iota")], "item_id long, text string")
@@ -448,9 +540,31 @@ def test_pipeline_is_plain_python(spark, tmp_path):
     assert corpus_pipeline.run(spark, empty).collect() == []
 
 
-def test_units_are_the_text():
-    for t in ["", " ", "a b", "a  b", " a\n b ", "a\t b\n\nc d", "a 　b c"]:
-        assert "".join(tokenbin.Encoder.units(t)) == t
+ODD_TEXTS = ["", " ", "a b", "a  b", " a\n b ", "a\t b\n\nc d", "a\u00a0b \u3000c", "don't 'll  stop", "<|endoftext|> in <|endoftext|>text", "\u0120 \u0120a \u0120", "a\u200b b", "e\u0301 \u0301x", "x\ny z", "1 234  56\x1c 7", "one", "word " * 300]
+
+
+@pytest.mark.parametrize("remembered", [10**6, 2])
+def test_batches_are_encoded_as_their_texts(remembered, monkeypatch):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokenbin, "REMEMBERED", remembered)
+    path = P.path("byte_bpe_50k.json")
+    plain, enc, rng = Tokenizer.from_file(path), tokenbin.Encoder(path, False), random.Random(14)
+    made = ["".join(rng.choices("ab \n.,'\u00e9\u4e00 0", k=rng.randrange(0, 30))) for _ in range(400)]
+    for texts in (ODD_TEXTS, made, made[:50] + ODD_TEXTS):
+        ids, ends = enc.encode(pa.array(texts, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_frequent_ids_are_spread_over_shards(spark, tmp_path):
+    P = pytest.importorskip("public_tokenizers")
+    data = [(7, f"text {i}") for i in range(300)] + [(None, f"none {i}") for i in range(200)] + [(i, "a") for i in range(100)]
+    manifest = tokenbin.write_shards(frame(spark, random.Random(15).sample(data, len(data))).repartition(3), P.path("byte_bpe_50k.json"), 2, str(tmp_path / "t"))
+    assert max(r["n_docs"] for r in manifest.collect()) < 300
+    out = sorted(tokenbin.read_documents(manifest).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in out] == sorted([i for i, _ in data], key=lambda i: (i is not None, i or 0))
+    assert all(b["start"] == a["start"] + a["n_tokens"] for a, b in itertools.pairwise(out))
 
 
 def test_bounded_sample(spark):
@@ -459,5 +573,11 @@ def test_bounded_sample(spark):
     assert got[1] == 500 and 600 < got[0] < 800
 
 
+def test_sample_of_many_values(spark):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, F.lit("en")).otherwise(F.concat(F.lit("x"), F.col("id"))).alias("lang"))
+    got = {r["lang"] for r in features.bounded_sample(df, F.col("lang"), 100, values=3).select("lang").distinct().collect()}
+    assert got == {"en", "x1", "x1001"}
+
+
 def test_types(spark):
     assert isinstance(neardup.near_duplicates(frame(spark, [(1, "a")])).schema["kept"].dataType, T.BooleanType)
