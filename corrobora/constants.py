@@ -19,6 +19,34 @@ ADDRESS_NOISE = ["THE", "AND", "NEAR", "POST", "OFFICE", "HOUSE", "ROAD", "STREE
 MONTHS = ["JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC"]
 MONTH_NAMES = ["JANUARY", "FEBRUARY", "MARCH", "APRIL", "MAY", "JUNE", "JULY", "AUGUST", "SEPTEMBER", "OCTOBER", "NOVEMBER", "DECEMBER"]
 
+# Forms of dates, of the start and end of an address, of a postal code. Fixed values.
+DATE_SEPARATORS = r"\s*([/.\-])\s*"
+DATE_ISO = r"^(\d{4})[/.\-](\d{1,2})[/.\-](\d{1,2})$"
+DATE_NAMED = r"^(\d{1,2})[\s.\-/]*([A-Z]{3,9})[\s.\-/]*(\d{2,4})$"
+DATE_NAMED_FIRST = r"^([A-Z]{3,9})[\s.\-/]*(\d{1,2})[,\s.\-/]*(\d{2,4})$"
+DATE_NUMERIC = r"^(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{2,4})$"
+DATE_YEAR = r"^(\d{4})$"
+ADDRESS_COMMAS = r"(?:\s*,\s*)+"
+ADDRESS_EDGES = r"^[\s,.\-]+|[\s,.\-]+$"
+POSTAL_CODE = r"\b(\d{6})\b"
+
+# What stands on the text of a page: labels by field in order, dates, genders, numbers, words that declare a type, lines that are no name. Fixed values.
+PAGE_LABELS = {
+    "holder_name": [r"name of (?:the )?(?:card ?)?holder", r"holder'?s name", r"\bname\b(?! of father)"],
+    "father_name": [r"father'?s? name", r"father", r"पिता"],
+    "mother_name": [r"mother'?s? name", r"mother", r"माता"],
+    "spouse_name": [r"husband'?s? name", r"wife'?s? name", r"spouse'?s? name"],
+    "address": [r"address", r"पता"],
+}
+PAGE_DATE = r"(?:\d{4}[/.\-]\d{1,2}[/.\-]\d{1,2}|\d{1,2}[/.\-]\d{1,2}[/.\-]\d{2,4})"
+PAGE_BIRTH = r"dob|date of birth|birth|जन्म"
+PAGE_GENDERS = [r"(?<![A-Za-z0-9_])(?:sex|gender)\s*[:=-]\s*(male|female|other|m|f|o)\b", r"\b(male|female)\b"]
+PAGE_NUMBERS = [r"\b([A-Z]{5}\s?\d{4}\s?[A-Z])\b", r"\b(\d{4}\s?\d{4}\s?\d{4})\b", r"\b([A-Z]{3}\s?\d{7})\b", r"\b([A-Z]\d{7})\b"]
+PAGE_TYPES = [("income tax", "pan"), ("permanent account", "pan"), ("aadhaar", "aadhaar"), ("passport", "passport"), ("election commission", "voter"), ("elector", "voter"), ("birth certificate", "birth_certificate"), ("certificate of birth", "birth_certificate"), ("registration of birth", "birth_certificate")]
+PAGE_BIRTH_LINE = r"dob|date of birth|जन्म"
+PAGE_NAME_LINE = r"^[A-Za-z][A-Za-z .]{2,50}$"
+PAGE_HEADERS = r"government|india|भारत|सरकार|unique|identification|authority|aadhaar|आधार|male|female|year of birth|address|आम आदमी"
+
 # Document numbers: pattern, length, checksum. Fixed values.
 FORMATS = {"pan": ("^[A-Z]{5}[0-9]{4}[A-Z]$", 10, False), "aadhaar": ("^[2-9][0-9]{11}$", 12, True), "passport": ("^[A-Z][0-9]{7}$", 8, False), "voter": ("^[A-Z]{3}[0-9]{7}$", 10, False), "birth_certificate": (None, None, False)}
 SLOTS = {"pan": "AAAAA0000A", "passport": "A0000000", "voter": "AAA0000000", "aadhaar": "000000000000"}
@@ -38,6 +66,7 @@ ISSUABLE = ["verified_match", "verified_with_partial_overlap", "verified_no_conf
 # Fields and what each page of a document prints. Fixed values.
 FIELDS = ["holder_name", "surname", "given_names", "father_name", "mother_name", "spouse_name", "dob", "year_of_birth", "age", "gender", "address", "place_of_birth", "document_number", "issue_date", "expiry_date", "nationality", "issuing_authority", "mrz"]
 GROUPS = {"guardian_name": ["father_name", "spouse_name"]}
+COMPARED = ["holder_name", "dob", "gender", "father_name", "mother_name", "spouse_name", "address"]
 NEVER_COMPARED = ["document_number", "issue_date", "expiry_date", "mrz", "issuing_authority", "nationality", "surname", "given_names", "place_of_birth"]
 #: (type, page): allowed, required, impossible, conditional
 CAPABILITIES = {
@@ -50,6 +79,9 @@ CAPABILITIES = {
     ("voter", "back"): ("address issue_date", "", "mrz", {}),
     ("driving_licence", "front"): ("holder_name father_name dob gender address document_number issue_date expiry_date issuing_authority", "holder_name document_number", "mrz mother_name", {}),
     ("birth_certificate", "front"): ("holder_name father_name mother_name dob gender place_of_birth document_number issue_date issuing_authority address", "dob", "mrz expiry_date spouse_name", {}),
+    ("national_id", "front"): ("holder_name dob year_of_birth gender document_number address", "holder_name document_number", "mrz expiry_date", {}),
+    ("national_id", "back"): ("address document_number father_name", "", "mrz", {}),
+    ("tax_id", "front"): ("holder_name father_name mother_name dob document_number", "holder_name document_number", "gender address mrz expiry_date", {}),
     ("unknown", "front"): (" ".join(FIELDS), "", "", {}),
 }
 #: Fields that some layouts print and others don't.
@@ -58,6 +90,9 @@ PARTIAL = {"dob": ["voter"], "mother_name": ["pan"], "address": ["passport", "aa
 # Words that stand for no value, names of fields and of types. Fixed values.
 NULLISH = ["", "NULL", "NONE", "N/A", "NA", "NIL", "NOT AVAILABLE", "NOT FOUND", "NOT PRESENT", "NOT VISIBLE", "UNKNOWN", "UNDEFINED", "-", "--", "NOT APPLICABLE", "NOT SPECIFIED", "NOT MENTIONED", "ABSENT", "BLANK", "EMPTY"]
 ALIASES = {"name": "holder_name", "full_name": "holder_name", "holder": "holder_name", "sex": "gender", "dateofbirth": "dob", "date_of_birth": "dob", "residential_address": "address", "pob": "place_of_birth"}
+#: The fields of a card's compressed code, in order, and those that make its address.
+CODE_FIELDS = ["email_mobile_flag", "reference_id", "name", "dob", "gender", "careof", "district", "landmark", "house", "location", "pincode", "postoffice", "state", "street", "subdistrict", "vtc"]
+CODE_ADDRESS = ["house", "street", "landmark", "location", "vtc", "postoffice", "subdistrict", "district", "state", "pincode"]
 TYPES = ["pan", "aadhaar", "passport", "voter", "birth_certificate", "driving_licence"]
 TYPE_HINTS = [("birth", "birth_certificate"), ("aadhaar", "aadhaar"), ("aadhar", "aadhaar"), ("pan", "pan"), ("permanent_account", "pan"), ("passport", "passport"), ("voter", "voter"), ("epic", "voter"), ("election", "voter"), ("driv", "driving_licence"), ("licence", "driving_licence"), ("license", "driving_licence")]
 
@@ -68,3 +103,17 @@ SELF_EVIDENT = ["mrz", "barcode", "deterministic"]
 
 # Image quality: sharpness, contrast, glare, darkness below or above which a page is unusable or marginal. Fixed values.
 QUALITY = {"sharpness": (22, 55), "contrast": (10, 18), "glare": (0.22, 0.10), "dark": (0.70, 0.55), "width": 480, "height": 300}
+
+# Pages: fields that mark a front or a back. Fixed values.
+FRONT_MARKERS, BACK_MARKERS = ["holder_name", "dob", "gender", "mrz"], ["address", "father_name", "mother_name", "spouse_name"]
+
+# Statuses of a document in which nothing works on it any more; fields of a record; what a share may hold. Fixed values.
+FINAL_STATUSES = ["ready", "unreadable", "retake_required", "rejected_file", "removed_by_user"]
+RECORD_FIELDS = ["holder_name", "dob", "gender", "guardian_name", "mother_name", "address"]
+SHARE_FIELDS = ["holder_name", "dob", "gender", "guardian_name", "mother_name", "address", "documents", "photo"]
+
+# Uploads: files of an application, seconds after which work counts as stale, uploads and sessions live, one-time codes. Fixed values.
+MAX_FILES, STALE_SECONDS, UPLOAD_SECONDS, SESSION_SECONDS, CODE_SECONDS, CODE_ATTEMPTS = 50, 600, 1_800, 3_600, 300, 5
+
+# Faces: least side in pixels, share of the page, detection score. Fixed values.
+FACE = {"side": 48, "share": 0.006, "score": 0.4}

@@ -6,11 +6,18 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Digraphs and letters of the phonetic key, in order.
 PHONETIC = [("PH", "F"), ("GH", "G"), ("KH", "K"), ("BH", "B"), ("DH", "D"), ("TH", "T"), ("CH", "C"), ("SH", "S"), ("CK", "K"), ("Q", "K"), ("X", "KS"), ("W", "V"), ("Y", "I"), ("J", "Z")]
 
 
+def struct_of(columns: str) -> T.StructType:
+    """The type of "name kind, ..." without a session."""
+    kinds = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
+    return T.StructType([T.StructField(n, kinds[k]) for n, k in map(str.split, columns.split(", "))])
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once, however often the body uses it; keeps generated code small."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -82,6 +89,11 @@ def redact(text: Column, numbers: Column) -> Column:
     return F.aggregate(longest, blank(text), lambda s, n: F.replace(s, n, mask(n)))
 
 
+def redact_all(value: Column, schema: str, numbers: Column) -> Column:
+    """Every string inside a nested value with ``numbers`` masked; the value keeps its shape."""
+    return F.from_json(redact(F.to_json(value), numbers), schema)
+
+
 def extraction_key(content_hash: Column, extractor: str, prompt: str, schema: str, models: list[str]) -> Column:
     return F.sha2(F.concat_ws("|", blank(content_hash), *map(F.lit, (extractor, prompt, schema, ",".join(models)))), 256)
 

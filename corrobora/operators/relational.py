@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def latest(df: DataFrame, keys: list[str], *order: Column, k: int = 1) -> DataFrame:
@@ -59,9 +63,37 @@ def get_or_create(table: DataFrame, rows: DataFrame, key: str, make: Column, id_
 
 
 def soft_delete(table: DataFrame, removed: DataFrame, keys: list[str], at: Column) -> DataFrame:
-    """Marks rows as removed_by_user; nothing goes away, and a later patch can bring a row back."""
+    """Marks rows as removed_by_user; nothing goes away, and reactivate() can bring a row back."""
     hit = removed.select(*keys).distinct().withColumn("__hit", F.lit(True))
-    return table.join(hit, keys, "left").withColumn("status", F.when(F.col("__hit"), F.lit("removed_by_user")).otherwise(F.col("status"))).withColumn("removed_at", F.when(F.col("__hit"), at).otherwise(F.col("removed_at"))).drop("__hit")
+    return table.join(hit, keys, "left").withColumn("status", F.when(F.col("__hit"), F.lit("removed_by_user")).otherwise(F.col("status"))).withColumn("removed_at", F.when(F.col("__hit"), at).otherwise(F.col("removed_at"))).drop("__hit").select(*table.columns)
+
+
+def reactivate(table: DataFrame, back: DataFrame, keys: list[str], status: Column) -> DataFrame:
+    """Rows that were removed and are uploaded again live on as the same rows, with ``status``."""
+    hit = back.select(*keys).distinct().withColumn("__hit", F.lit(True))
+    gone = F.coalesce("__hit", F.lit(False)) & (F.col("status") == "removed_by_user")
+    rows = table.join(hit, keys, "left").withColumn("removed_at", F.when(~gone, F.col("removed_at"))).withColumn("status", F.when(gone, status).otherwise(F.col("status")))
+    return rows.select(*table.columns)
+
+
+def revoke(records: DataFrame, requests: DataFrame, key: str, at: Column) -> DataFrame:
+    """Records named in ``requests`` (key, reason) are revoked; one that is revoked already keeps its time and reason."""
+    asked = requests.groupBy(key).agg(F.min("reason").alias("__reason")).withColumn("__hit", F.lit(True))
+    now = F.coalesce("__hit", F.lit(False)) & (F.col("revoked") == 0)
+    out = records.join(asked, key, "left")
+    return out.withColumns({"revoked_at": F.when(now, at).otherwise(F.col("revoked_at")), "revoke_reason": F.when(now, F.col("__reason")).otherwise(F.col("revoke_reason")), "revoked": F.when(now, F.lit(1)).otherwise(F.col("revoked"))}).select(*records.columns)
+
+
+def append(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """An append-only table with more rows; columns that the new rows lack are null."""
+    missing = [c for c in table.columns if c not in rows.columns]
+    return table.unionByName(rows.withColumns({c: F.lit(None).cast(table.schema[c].dataType) for c in missing}).select(*table.columns) if missing else rows.select(*table.columns))
+
+
+def blobs(store: DataFrame, rows: DataFrame, content: str = "content") -> DataFrame:
+    """A store of contents by their SHA-256: putting one twice changes nothing."""
+    new = rows.select(F.sha2(F.col(content).cast("binary"), 256).alias("hash"), content).dropDuplicates(["hash"])
+    return store.select("hash", content).unionByName(new.join(store.select("hash"), "hash", "left_anti").select("hash", content))
 
 
 def replace_partitions(rows: DataFrame, path: str, by: str) -> None:
@@ -69,17 +101,42 @@ def replace_partitions(rows: DataFrame, path: str, by: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
-def audit(table: DataFrame, events: DataFrame, *order: Column) -> DataFrame:
-    """Appends events, numbered on from the last; the number of new events per batch is small."""
+def audit(table: DataFrame, events: DataFrame, *order: str) -> DataFrame:
+    """Appends events, numbered on from the last in the order of columns, which has to be total.
+
+    Days are numbered apart and summed up, so no task sorts more than a day's events: ``order`` begins with a time.
+    """
     last = table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__last"))
-    numbered = events.withColumn("__n", F.row_number().over(Window.orderBy(*order))).crossJoin(F.broadcast(last)).withColumn("id", F.col("__n") + F.col("__last"))
+    rows = events.withColumn("__day", F.to_date(order[0]))
+    days = rows.groupBy("__day").agg(F.count("*").alias("__n")).select("__day", F.coalesce(F.sum("__n").over(Window.orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
+    place = F.row_number().over(Window.partitionBy("__day").orderBy(*order))
+    days = days.withColumnRenamed("__day", "__of")
+    numbered = rows.withColumn("__place", place).join(F.broadcast(days), F.col("__day").eqNullSafe(F.col("__of"))).crossJoin(F.broadcast(last)).withColumn("id", F.col("__place") + F.col("__base") + F.col("__last"))
     return table.unionByName(numbered.select(*table.columns))
 
 
-def within_budget(df: DataFrame, keys: list[str], size: str, most: float, files: int, *order: Column) -> DataFrame:
-    """Running totals in order, and whether a row still fits both limits."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("total", F.sum(size).over(w)).withColumn("n", F.count("*").over(w)).withColumn("fits", (F.col("total") <= most) & (F.col("n") <= files))
+def within_budget(df: DataFrame, keys: list[str], size: str, most: float, files: int, *order: str) -> DataFrame:
+    """``df`` with ``fits``: items of each key in order, each taken if it and all taken before it stay within both limits.
+
+    An item that does not fit takes no room, so smaller ones after it may. Rows are sorted by the columns in ``order`` and
+    streamed, with two numbers held for the key at hand.
+    """
+    names = [*df.columns, "fits"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, total, n = None, 0, 0
+        for pdf in batches:
+            fits = []
+            for k, v in zip(pdf[keys].itertuples(index=False, name=None), pdf[size].tolist(), strict=True):
+                if k != key:
+                    key, total, n = k, 0, 0
+                ok = n < files and total + v <= most
+                total, n = (total + v, n + 1) if ok else (total, n)
+                fits.append(ok)
+            yield pdf.assign(fits=fits)[names]
+
+    schema = T.StructType([*df.schema.fields, T.StructField("fits", T.BooleanType())])
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
 def merge_readings(primary: DataFrame, secondary: DataFrame, keys: list[str]) -> DataFrame:

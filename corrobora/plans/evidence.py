@@ -8,49 +8,76 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corrobora import constants as C
-from corrobora.functions import numbers
+from corrobora.functions import fields, numbers
+
+
+def sheet(kind: str, page: str) -> tuple[str, str, str, dict[str, str]]:
+    """allowed, required, impossible and conditional fields of a page; a page that nobody describes may hold anything."""
+    return C.CAPABILITIES.get((kind, page), C.CAPABILITIES["unknown", "front"])
 
 
 def registry(spark: SparkSession) -> DataFrame:
-    """(doc_type, page_role, field, capability, expected, condition): a fixed table of some 200 rows; broadcast it."""
+    """(doc_type, page_role, field, capability, carries, condition): a fixed table of some 400 rows; broadcast it.
+
+    A pool of fields (GROUPS) carries what the strongest of its members does; what only some layouts print is looked up
+    by the field's own name, so it does not weaken a pool.
+    """
     rows = []
-    for (kind, page), (allowed, required, impossible, conditional) in C.CAPABILITIES.items():
+    for kind, page in sorted({(k, p) for k in {k for k, _ in C.CAPABILITIES} for p in ("front", "back")}):
+        allowed, required, impossible, conditional = sheet(kind, page)
+        level = {}
         for f in C.FIELDS:
             c = "impossible" if f in impossible.split() else "required" if f in required.split() else "allowed" if f in allowed.split() else "conditional" if f in conditional else "none"
-            carries = {"required": "yes", "allowed": "yes", "conditional": "partial"}.get(c, "no")
-            carries = "partial" if carries == "yes" and kind in C.PARTIAL.get(f, []) and c != "required" else carries
-            rows.append((kind, page, f, c, carries, conditional.get(f)))
+            level[f] = {"required": "yes", "allowed": "yes", "conditional": "partial"}.get(c, "no")
+            partial = level[f] == "yes" and c != "required" and kind in C.PARTIAL.get(f, [])
+            rows.append((kind, page, f, c, "partial" if partial else level[f], conditional.get(f)))
+        for group, members in C.GROUPS.items():
+            rows.append((kind, page, group, "none", max((level[m] for m in members), key=["no", "partial", "yes"].index), None))
     return spark.createDataFrame(rows, "doc_type string, page_role string, field string, capability string, carries string, condition string")
 
 
-def field_status(value: Column, source: Column, number_valid: Column, in_page: Column, in_evidence: Column, label: Column, witness: Column, self_identifying: Column, required: Column) -> Column:
-    """struct(status, reason): the first rule that decides how a reading is trusted."""
+def field_status(value: Column, source: Column, number_valid: Column, in_page: Column, in_evidence: Column, label: Column, witness: Column, self_identifying: Column, required: Column, confirmed: Column | None = None) -> Column:
+    """struct(status, reason): the first rule that decides how a reading is trusted. ``confirmed``: a second model read the same."""
     told = lambda s, r: F.struct(F.lit(s).alias("status"), F.lit(r).alias("reason"))
+    verified = lambda r: told("present_verified", r)
     return (
-        F.when(F.trim(F.coalesce(value, F.lit(""))) == "", told("not_present", "no_value"))
-        .when(source.isin(*C.SELF_EVIDENT), told("present_verified", "machine_readable"))
-        .when(source == "user", told("present_uncertain", "holder_supplied"))
-        .when(number_valid, told("present_verified", "format_validated"))
-        .when(in_page & label, told("present_verified", "on_page_with_label"))
-        .when(in_evidence & label & witness & ~in_page & ~self_identifying, told("present_uncertain", "page_text_disagrees"))
-        .when(in_evidence & label, told("present_verified", "in_evidence_with_label"))
-        .when(required & self_identifying, told("present_verified", "required_self_identifying"))
-        .when(~label & ~witness, told("present_uncertain", "no_page_text"))
-        .when(~label, told("not_present", "label_absent"))
-        .otherwise(told("present_uncertain", "not_located"))
+        F.when(F.trim(F.coalesce(value, F.lit(""))) == "", told("not_present", "no_value_returned"))
+        .when(source.isin(*C.SELF_EVIDENT), F.struct(F.lit("present_verified").alias("status"), F.concat(F.lit("self_evident_source:"), source).alias("reason")))
+        .when(source == "user", verified("user_confirmed"))
+        .when(number_valid, verified("format_and_checksum_valid"))
+        .when(in_page & label, verified("corroborated_by_page_text"))
+        .when((F.lit(False) if confirmed is None else confirmed) & label, verified("confirmed_by_second_model"))
+        .when(in_evidence & label & witness & ~in_page & ~self_identifying, told("present_uncertain", "evidence_not_found_in_page_text"))
+        .when(in_evidence & label, verified("evidence_supports_value"))
+        .when(required & self_identifying, F.struct(F.lit("present_verified").alias("status"), F.when(in_page, F.lit("corroborated_by_page_text")).otherwise(F.lit("required_field_read_from_document")).alias("reason")))
+        .when(~label & ~witness, told("present_uncertain", "no_local_corroboration_available"))
+        .when(~label, told("not_present", "no_label_for_field_on_page"))
+        .otherwise(told("present_uncertain", "value_without_supporting_evidence"))
     )
 
 
-def label_present(field: str, text: Column) -> Column:
-    if field in C.SELF_IDENTIFYING or field not in C.LABELS:
-        return F.lit(True)
-    return F.coalesce(text, F.lit("")).rlike(rf"(?i)(?<![A-Za-z0-9_])({C.LABELS[field]})(?![A-Za-z0-9_])")
+def labelled_by(pattern: str, text: Column) -> Column:
+    return F.coalesce(text, F.lit("")).rlike(rf"(?i)(?<![A-Za-z0-9_])(?:{pattern})(?![A-Za-z0-9_])")
+
+
+def label_present(field: Column, text: Column) -> Column:
+    """Whether a label of the field stands in the text; fields that identify themselves, or have no label, need none."""
+    out = F.when(field.isin(*C.SELF_IDENTIFYING), F.lit(True))
+    for name, pattern in C.LABELS.items():
+        if name not in C.SELF_IDENTIFYING:
+            out = out.when(field == name, labelled_by(pattern, text))
+    return out.otherwise(F.lit(True))
+
+
+def shows(field: Column, value: Column, text: Column, pivot: int) -> Column:
+    """Whether the text shows the value of the field, by the field's own rule."""
+    is_date, is_name = (field == "dob") | field.endswith("date"), field.endswith("name")
+    return F.when(is_date, fields.evidence_contains("dob", value, text, pivot)).when(is_name, fields.evidence_contains("holder_name", value, text, pivot)).otherwise(fields.evidence_contains("", value, text, pivot))
 
 
 def witnesses(text: Column) -> Column:
     """Whether a page's text is rich enough that an absent label means an absent field."""
-    any_label = "|".join(p for f, p in C.LABELS.items())
-    return (F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", "")) >= 30) & F.coalesce(text, F.lit("")).rlike(rf"(?i)(?<![A-Za-z0-9_])({any_label}|name)(?![A-Za-z0-9_])")
+    return (F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", "")) >= 30) & labelled_by("|".join([*C.LABELS.values(), r"name|holder|surname|given\s*name"]), text)
 
 
 def tier(sharpness: Column, contrast: Column, glare: Column, dark: Column, width: Column, height: Column) -> Column:

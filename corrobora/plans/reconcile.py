@@ -1,12 +1,13 @@
 """Reconciliation: readings of one field across documents become a value with support, dissent and abstention; fields become a decision.
 
 Readings are rows (application_id, field, document_id, logical_id, ord, doc_type, page_role, value, source, status,
-raw_value). Gates and keys are columns; merging the few values of one field of one application is a grouped function.
+raw_value). Pools, gates and keys are columns; comparing the few different values of one field is a vectorised function.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,9 +15,12 @@ from pyspark.sql import functions as F
 
 from corrobora import constants as C
 from corrobora.functions import alignment, fields
-from corrobora.functions.text import blank
+from corrobora.functions.text import blank, let, struct_of
 
-CLUSTERS = "application_id long, field string, value string, agreeing string, dissenting string, n_agree int, n_dissent int, confirmable int, corroboration int, support int, confidence double, strong boolean, sources string, status string, severity string, holder boolean"
+CLUSTERS = "application_id long, field string, value string, agreeing string, dissenting string, n_agree int, n_dissent int, confirmable int, corroboration int, support int, confidence double, strong boolean, sources string, status string, severity string, holder boolean, unreadable string, abstained string, asserted string, confirmed int"
+#: What a cluster's own columns are, without its application.
+CLUSTER = CLUSTERS.partition(", ")[2]
+NAMES = [c.split()[0] for c in CLUSTER.split(", ")]
 
 
 def weight(source: Column) -> Column:
@@ -25,19 +29,53 @@ def weight(source: Column) -> Column:
 
 
 def keyed(readings: DataFrame, pivot: int) -> DataFrame:
-    """Adds key and display: equal keys are one value."""
+    """Adds key and display: equal keys are one value. Each value is normalised once, by the rule of its field."""
     v, f = F.col("value"), F.col("field")
-    n, d, a = fields.name(v), fields.date(v, pivot), fields.address(v)
+    both = lambda key, display: F.struct(key.alias("key"), display.alias("display"))
     other = F.upper(F.regexp_replace(F.trim(blank(v)), r"\s+", " "))
-    is_name, is_date = f.endswith("name"), (f == "dob") | f.endswith("date")
-    pick = lambda name, day: F.when(is_name, name).when(is_date, day).when(f == "gender", fields.gender(v)).when(f == "address", a["text"]).otherwise(other)
-    return readings.withColumn("key", pick(n["sorted"], F.coalesce(d["iso"], F.lit("")))).withColumn("display", pick(n["ordered"], F.coalesce(d["iso"], F.trim(blank(v)))))
+    told = (
+        F.when(f.endswith("name"), let(fields.name(v), lambda n: both(n["sorted"], n["ordered"])))
+        .when((f == "dob") | f.endswith("date"), let(fields.date(v, pivot)["iso"], lambda d: both(F.coalesce(d, F.lit("")), F.coalesce(d, F.trim(blank(v))))))
+        .when(f == "gender", let(fields.gender(v), lambda g: both(g, g)))
+        .when(f == "address", let(fields.address(v)["text"], lambda a: both(a, a)))
+        .otherwise(both(other, F.trim(blank(v))))
+    )
+    return readings.withColumn("__k", told).withColumn("key", F.col("__k.key")).withColumn("display", F.col("__k.display")).drop("__k")
+
+
+def pooled(readings: DataFrame, registry: DataFrame) -> DataFrame:
+    """One reading for each compared field of each document.
+
+    Facts of a single card are not compared. Fields of a pool (a father's or a spouse's name) become one: the first member,
+    in the pool's order, that the page can carry and that is verified; else the first that was read but not verified; else
+    none, so that the document abstains.
+    """
+    pool = {m: g for g, members in C.GROUPS.items() for m in members}
+    rows = readings.where(F.col("field").isin(*C.COMPARED))
+    alone = rows.where(~F.col("field").isin(*pool))
+    own = F.broadcast(registry.where(F.col("field").isin(*pool)).select("doc_type", "page_role", "field", F.col("carries").alias("__carries")))
+    many = rows.where(F.col("field").isin(*pool)).join(own, ["doc_type", "page_role", "field"], "left")
+    group = F.coalesce(*[F.when(F.col("field") == m, F.lit(g)) for m, g in pool.items()])
+    carried, verified = F.coalesce("__carries", F.lit("yes")) != "no", F.coalesce("status", F.lit("present_verified")) == "present_verified"
+    full = F.trim(blank(F.col("value"))) != ""
+    rank = F.when(carried & verified & full, 0).when(carried & ~verified & (full | F.col("raw_value").isNotNull()), 1).when(carried, 2).otherwise(3)
+    member = F.array_position(F.array(*[F.lit(m) for m in pool]), F.col("field"))
+    best = many.withColumn("__rank", rank).withColumn("__member", member)
+    rest = [c for c in readings.columns if c not in ("application_id", "document_id", "field", "value", "source", "status", "raw_value")]
+    row = F.min(F.struct("__rank", "__member", "value", "source", "status", "raw_value", *rest)).alias("x")
+    one = best.groupBy("application_id", "document_id", group.alias("field")).agg(row)
+    shown = lambda c: F.when(F.col("x.__rank") < 2, F.col(f"x.{c}"))
+    one = one.select("application_id", "document_id", "field", *[shown(c).alias(c) for c in ("value", "status", "raw_value")], F.col("x.source").alias("source"), *[F.col(f"x.{c}").alias(c) for c in rest])
+    return alone.unionByName(one.select(*alone.columns))
 
 
 def gated(readings: DataFrame, registry: DataFrame) -> DataFrame:
-    """Adds bucket: abstained (not carried, or not evidenced), unreadable (expected, no usable value) or present."""
+    """Adds bucket: abstained (not carried, or not evidenced), unreadable (expected, no usable value) or present.
+
+    A page that the registry does not describe may carry anything.
+    """
     own = F.broadcast(registry.select("doc_type", "page_role", "field", "carries"))
-    carries, status = F.coalesce("carries", F.lit("no")), F.coalesce("status", F.lit("present_verified"))
+    carries, status = F.coalesce("carries", F.lit("yes")), F.coalesce("status", F.lit("present_verified"))
     expected = carries == "yes"
     bucket = (
         F.when(carries == "no", F.lit("abstained"))
@@ -50,6 +88,7 @@ def gated(readings: DataFrame, registry: DataFrame) -> DataFrame:
     return readings.join(own, ["doc_type", "page_role", "field"], "left").withColumn("bucket", bucket)
 
 
+@lru_cache(maxsize=200_000)
 def alike(field: str, a: str, b: str) -> tuple[bool, bool]:
     """(same value seen twice, close enough to ask)."""
     if field.endswith("name"):
@@ -62,18 +101,15 @@ def alike(field: str, a: str, b: str) -> tuple[bool, bool]:
     return d == 0, 0 < d <= 2
 
 
-NAMES = [c.split()[0] for c in CLUSTERS.split(", ")]
+def two_places(x: float) -> float:
+    """Rounded to two places; what is between goes up, whatever a sum of weights like 0.6 lacks in its last bits."""
+    return float(Decimal(str(round(x, 6))).quantize(Decimal("0.01"), ROUND_HALF_UP))
 
 
-def cluster(rows: list[dict]) -> tuple:
-    """One field of one application, its readings in document order."""
-    app, field = rows[0]["application_id"], rows[0]["field"]
+def cluster(field: str, rows: list[dict], settled: list[list[str]]) -> tuple:
+    """The columns of CLUSTER but the lists of abstentions, for readings in document order of which two differ at least."""
     present = [r for r in rows if r["bucket"] == "present"]
-    holder = any(r["status"] == "holder_asserted" for r in rows)
     severity = C.SEVERITY.get(field, "warn")
-    if not present:
-        status = "not_extracted" if holder or any(r["bucket"] == "unreadable" for r in rows) else "not_applicable"
-        return (app, field, "", "", "", 0, 0, 0, 0, 0, 0.0, False, "", status, "info" if status == "not_extracted" else "none", holder)
     groups: list[list[dict]] = []
     for r in present:
         mine = next((g for g in groups if g[0]["key"] == r["key"]), None)
@@ -86,16 +122,19 @@ def cluster(rows: list[dict]) -> tuple:
         i, j = pair if heavy(groups[pair[0]]) >= heavy(groups[pair[1]]) else pair[::-1]
         groups[i] += groups[j]  # the heavier group keeps its face
         del groups[j]
-    groups.sort(key=lambda g: (-(max(r["weight"] for r in g) >= C.STRONG), -heavy(g), -len(g), g[0]["display"]))
+    groups.sort(key=lambda g: (-(max(r["weight"] for r in g) >= C.STRONG), -round(heavy(g), 6), -len(g), g[0]["display"]))
     spelt: dict[str, float] = {}
     for r in groups[0]:
         spelt[r["display"]] = spelt.get(r["display"], 0) + r["weight"]
-    value = min(spelt, key=lambda s: (-spelt[s], s))
-    agree, dissent = [], []
+    value = min(spelt, key=lambda s: (-round(spelt[s], 6), s))
+    face = next(r["key"] for r in groups[0] if r["display"] == value)
+    agree, dissent, confirmed = [], [], 0
     for n, g in enumerate(groups):
         for r in g:
             same, ask = (True, False) if r["display"] == value else alike(field, value, r["display"])
-            (agree if n == 0 and same else dissent).append(r | {"ask": ask or n == 0})
+            held = not (n == 0 and same) and (n == 0 or ask) and any(face in keys and r["key"] in keys for keys in settled)
+            confirmed += held
+            (agree if n == 0 and same or held else dissent).append(r | {"ask": ask or n == 0})
     own = lambda r: r["source"] in C.HOLDER_SOURCES
     backed = {r["logical_id"] for r in agree if not own(r)}
     ask = [r for r in dissent if r["ask"]]
@@ -103,31 +142,56 @@ def cluster(rows: list[dict]) -> tuple:
     share = sum(r["weight"] for r in groups[0] if r["doc_type"] in kinds) / heavy(present)
     level = "none" if not dissent else severity if severity in ("info", "warn") else "needs_confirmation" if len(ask) == len(dissent) else "reject"
     hard = sum(not r["ask"] and not own(r) for r in dissent)
-    return (app, field, value, ",".join(r["doc_type"] for r in agree), ",".join(f"{r['doc_type']}={r['display']}" for r in dissent), len(agree), hard, len(dissent) - hard, len(backed), len(backed | {r["logical_id"] for r in ask if not own(r)}), round(share, 2), any(r["weight"] >= C.STRONG for r in groups[0]), ",".join(sorted({r["source"] for r in groups[0]})), "disagreement" if dissent else "agreement" if len(backed) >= 2 else "single_source", level, holder)
+    return (value, ",".join(r["doc_type"] for r in agree), ",".join(f"{r['doc_type']}={r['display']}" for r in dissent), len(agree), hard, len(dissent) - hard, len(backed), len(backed | {r["logical_id"] for r in ask if not own(r)}), two_places(share), any(r["weight"] >= C.STRONG for r in groups[0]), ",".join(sorted({r["source"] for r in groups[0]})), "disagreement" if dissent else "agreement" if len(backed) >= 2 else "single_source", level, confirmed)
 
 
-def compare(readings: DataFrame, registry: DataFrame, pivot: int) -> DataFrame:
-    """One row for each field of each application, 50 documents at most in each.
+MERGED = "value string, agreeing string, dissenting string, n_agree int, n_dissent int, confirmable int, corroboration int, support int, confidence double, strong boolean, sources string, status string, severity string, confirmed int"
 
-    Readings are dealt by application and streamed in order, so small groups cost no call of their own.
-    """
-    rows = gated(keyed(readings, pivot), registry).withColumn("weight", weight(F.col("source")))
-    rows = rows.select("application_id", "field", "ord", "document_id", "logical_id", "doc_type", "source", "status", "key", "display", "bucket", "weight")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_rows: list[dict] = []
-        for pdf in batches:
-            done = []
-            for r in pdf.to_dict("records"):
-                if open_rows and (open_rows[0]["application_id"], open_rows[0]["field"]) != (r["application_id"], r["field"]):
-                    done.append(cluster(open_rows))
-                    open_rows = []
-                open_rows.append(r)
-            yield pd.DataFrame(done, columns=NAMES)
-        if open_rows:
-            yield pd.DataFrame([cluster(open_rows)], columns=NAMES)
+@F.pandas_udf(struct_of(MERGED))
+def merged(field: pd.Series, rows: pd.Series, settled: pd.Series) -> pd.DataFrame:
+    """cluster() of the groups that are given; null ones are passed over."""
+    none = (None,) * len(MERGED.split(", "))
+    return pd.DataFrame([none if r is None else cluster(f, list(r), [] if s is None else [list(k) for k in s]) for f, r, s in zip(field, rows, settled, strict=True)], columns=[c.split()[0] for c in MERGED.split(", ")])
 
-    return rows.repartition("application_id").sortWithinPartitions("application_id", "field", "ord", "document_id").mapInPandas(run, CLUSTERS)
+
+def compare(readings: DataFrame, registry: DataFrame, pivot: int, confirmations: DataFrame | None = None) -> DataFrame:
+    """One row of CLUSTERS for each compared field of each application; an application has MAX_FILES documents at most.
+
+    ``confirmations`` (application_id, field, values): values that the holder said to be one; they settle differences that
+    may be asked about, never others. Readings of a field meet in one exchange. Where all that was read is one value,
+    built-in functions say the rest; only fields with two values at least go to Python, which compares spellings.
+    """
+    rows = gated(keyed(pooled(readings, registry), pivot), registry)
+    row = F.struct("ord", "document_id", "logical_id", "doc_type", "source", "status", "key", "display", "bucket", weight(F.col("source")).alias("weight"), "raw_value")
+    per = rows.groupBy("application_id", "field").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    if confirmations is not None:
+        said = keyed(confirmations.withColumn("__id", F.monotonically_increasing_id()).select("application_id", "field", "__id", F.explode("values").alias("value")), pivot)
+        keys = said.groupBy("application_id", "field", "__id").agg(F.collect_set("key").alias("keys")).groupBy("application_id", "field").agg(F.collect_list("keys").alias("settled"))
+        per = per.join(keys, ["application_id", "field"], "left")
+    else:
+        per = per.withColumn("settled", F.lit(None).cast("array<array<string>>"))
+    of = lambda b: F.filter("rows", lambda r: r["bucket"] == b)
+    per = per.withColumn("present", of("present"))
+    per = per.withColumn("mixed", F.size(F.array_distinct(F.col("present.key"))) > 1)
+    per = per.withColumn("m", merged("field", F.when(F.col("mixed"), F.col("rows")), F.col("settled")))
+    p, none = F.col("present"), F.size("present") == 0
+    types = lambda a: F.array_join(F.array_sort(F.transform(a, lambda r: r["doc_type"])), ",")
+    holder = F.exists("rows", lambda r: F.coalesce(r["status"] == "holder_asserted", F.lit(False)))
+    asserted = F.get(F.filter(of("abstained"), lambda r: (r["status"] == "holder_asserted") & r["raw_value"].isNotNull()), F.lit(0))["raw_value"]
+    spelt = F.transform(F.array_distinct(F.transform(p, lambda r: r["display"])), lambda d: F.struct(F.round(-F.aggregate(F.filter(p, lambda r: r["display"] == d), F.lit(0.0), lambda t, r: t + r["weight"]), 6).alias("w"), d.alias("d")))
+    backed = F.size(F.array_distinct(F.transform(F.filter(p, lambda r: ~r["source"].isin(*C.HOLDER_SOURCES)), lambda r: r["logical_id"])))
+    unread = none & (holder | (F.size(of("unreadable")) > 0))
+    zero, no = F.lit(0), F.lit("")
+    one = {
+        "value": F.when(none, no).otherwise(F.array_min(spelt)["d"]), "agreeing": F.array_join(F.transform(p, lambda r: r["doc_type"]), ","), "dissenting": no, "n_agree": F.size(p), "n_dissent": zero, "confirmable": zero,
+        "corroboration": backed, "support": backed, "confidence": F.when(none, 0.0).otherwise(1.0), "strong": F.exists(p, lambda r: r["weight"] >= C.STRONG), "sources": F.array_join(F.array_sort(F.array_distinct(F.transform(p, lambda r: r["source"]))), ","),
+        "status": F.when(unread, "not_extracted").when(none, "not_applicable").when(backed >= 2, "agreement").otherwise("single_source"), "severity": F.when(unread, "info").otherwise("none"), "confirmed": zero,
+    }
+    more = {"holder": holder, "unreadable": types(of("unreadable")), "abstained": types(of("abstained")), "asserted": F.coalesce(asserted, no)}
+    made = {c: F.when(F.col("mixed"), F.col(f"m.{c}")).otherwise(v) for c, v in one.items()} | more
+    kinds = dict(x.split() for x in CLUSTER.split(", "))
+    return per.select("application_id", "field", *[made[c].cast(kinds[c]).alias(c) for c in NAMES if c != "field"])
 
 
 def decide(clusters: DataFrame, integrity: DataFrame | None = None, documents: DataFrame | None = None) -> DataFrame:
@@ -169,6 +233,45 @@ def decide(clusters: DataFrame, integrity: DataFrame | None = None, documents: D
     return per.select("application_id", decision.alias("decision"), decision.isin(*C.ISSUABLE).alias("issuable"), decision.isin("blocked_security_integrity", "suspected_cross_identity", "document_conflict").alias("needs_review"), severity.alias("severity"))
 
 
+def verdict(clusters: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Decisions with a status and the fields by severity: blocking, confirmations, warnings, notes; confirmable, multi and single sourced."""
+    listed = lambda c: F.array_join(F.array_sort(F.collect_list(F.when(c, F.col("field")))), ",")
+    shown = clusters.where("status <> 'not_applicable' OR unreadable <> ''")
+    is_ = lambda s: F.col("severity") == s
+    valued = F.col("value") != ""
+    per = shown.groupBy("application_id").agg(
+        listed(is_("reject")).alias("blocking"), listed(is_("needs_confirmation")).alias("confirmations"), listed(is_("warn")).alias("warnings"), listed(is_("info")).alias("notes"),
+        listed(is_("needs_confirmation") & F.col("field").isin(*C.IDENTITY_FIELDS)).alias("confirmable"), listed(valued & (F.col("corroboration") >= 2)).alias("multi_sourced"), listed(valued & (F.col("corroboration") <= 1)).alias("single_sourced"),
+    )
+    status = F.when(F.col("issuable"), F.lit("match")).when(F.col("decision") == "likely_match_needs_confirmation", F.lit("needs_confirmation")).otherwise(F.lit("rejected"))
+    lists = [c for c in per.columns if c != "application_id"]
+    return decisions.join(per, "application_id", "left").withColumn("status", status).withColumns({c: F.coalesce(c, F.lit("")) for c in lists})
+
+
+def confirmation_errors(requests: DataFrame, latest: DataFrame) -> DataFrame:
+    """``requests`` (request_id, application_id, comparison_id, field, decision) with error, '' where the holder may say that two spellings
+    are one person's. ``latest`` (application_id, comparison_id, verdict, confirmable, severities map): each application's last comparison."""
+    last = latest.select("application_id", F.col("comparison_id").alias("__last"), F.col("verdict").alias("__verdict"), F.col("confirmable").alias("__ask"), F.col("severities").alias("__severities"))
+    soft = (F.col("__verdict") == "likely_match_needs_confirmation") & F.array_contains("__ask", F.col("field")) & (F.try_element_at("__severities", F.col("field")) == "needs_confirmation")
+    error = (
+        F.when(F.coalesce("decision", F.lit("")) != "same_person", F.lit("unsupported_confirmation_decision"))
+        .when(F.coalesce("field", F.lit("")) == "", F.lit("field_required"))
+        .when(F.col("__last").isNull(), F.lit("no_comparison"))
+        .when(~F.coalesce(F.col("comparison_id") == F.col("__last"), F.lit(False)), F.lit("comparison_superseded"))
+        .when(~F.coalesce(soft, F.lit(False)), F.lit("field_not_confirmable"))
+        .otherwise(F.lit(""))
+    )
+    return requests.join(last, "application_id", "left").withColumn("error", error).select(*requests.columns, "error")
+
+
+def face_field(pairs: DataFrame, group: str) -> DataFrame:
+    """The face as a field of each group of ``pairs`` (group, a_id, b_id, similarity): advisory, so a mismatch warns and never rejects."""
+    hit = F.col("similarity") >= 0.5
+    name = F.concat_ws(" ↔ ", F.col("a_id").cast("string"), F.col("b_id").cast("string"))
+    per = pairs.where("similarity IS NOT NULL").groupBy(group).agg(F.count("*").alias("compared"), F.array_join(F.array_sort(F.collect_list(F.when(hit, name))), ",").alias("agreeing"), F.count_if(~hit).alias("n_dissent"), F.round(F.avg(hit.cast("double")), 2).alias("confidence"))
+    return per.select(group, F.lit("face").alias("field"), F.concat(F.col("compared").cast("string"), F.lit(" photo pair(s) compared")).alias("value"), "agreeing", "n_dissent", "confidence", F.when(F.col("n_dissent") > 0, F.lit("disagreement")).otherwise(F.lit("agreement")).alias("status"), F.when(F.col("n_dissent") > 0, F.lit("warn")).otherwise(F.lit("none")).alias("severity"))
+
+
 def consensus_by_key(readings: DataFrame) -> DataFrame:
     """Fields whose values merge only when equal (dates, genders, numbers): consensus in built-in aggregates alone.
 

@@ -6,7 +6,7 @@ import io
 import posixpath
 import stat
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 MAGIC = {"FFD8FF": "image/jpeg", "89504E47": "image/png", "25504446": "application/pdf", "504B0304": "application/zip", "47494638": "image/gif", "52494646": "image/webp"}
 REFUSED = {"4D5A": "executable", "7F454C46": "executable"}
 LIMITS = {"files": 50, "total": 200_000_000, "file": 25_000_000, "ratio": 100, "ratio_from": 1_048_576, "depth": 1}
+PDF_PAGES = 20
 
 
 def data_uri(x: Column) -> Column:
@@ -25,13 +26,32 @@ def data_uri(x: Column) -> Column:
 
 
 def sniff(content: Column) -> Column:
+    """struct(mime, safe, reason) by the bytes alone: magic first, then text."""
     head = F.hex(F.substring(content, 1, 8))
-    out: object = F
+    told = lambda mime, why: F.struct((F.lit(mime) if mime else F.lit(None).cast("string")).alias("mime"), F.lit(bool(mime)).alias("safe"), F.lit(why).alias("reason"))
+    out = F
     for magic, why in REFUSED.items():
-        out = out.when(head.startswith(magic), F.struct(F.lit(None).cast("string").alias("mime"), F.lit(False).alias("safe"), F.lit(why).alias("reason")))
+        out = out.when(head.startswith(magic), told(None, why))
     for magic, mime in MAGIC.items():
-        out = out.when(head.startswith(magic), F.struct(F.lit(mime).alias("mime"), F.lit(True).alias("safe"), F.lit("").alias("reason")))
-    return out.otherwise(F.struct(F.lit(None).cast("string").alias("mime"), F.lit(False).alias("safe"), F.lit("unsupported").alias("reason")))
+        out = out.when(head.startswith(magic), told(mime, ""))
+    is_text = F.is_valid_utf8(content.cast("string")) & ~content.cast("string").rlike(r"[\x00-\x08\x0E-\x1F]")
+    return out.when(F.coalesce(is_text, F.lit(False)), told("text/plain", "")).otherwise(told(None, "unsupported_type"))
+
+
+def kind_of(content: bytes) -> tuple[str, str]:
+    """(mime, reason) of bytes, as sniff() has it."""
+    head = content[:8].hex().upper()
+    for magic, why in REFUSED.items():
+        if head.startswith(magic):
+            return "", why
+    for magic, mime in MAGIC.items():
+        if head.startswith(magic):
+            return mime, ""
+    try:
+        bad = any(c < 9 or 13 < c < 32 for c in content.decode("utf-8").encode("latin-1", "replace"))
+    except UnicodeDecodeError:
+        bad = True
+    return ("", "unsupported_type") if bad else ("text/plain", "")
 
 
 def unsafe_path(name: str) -> str:
@@ -74,8 +94,7 @@ def entries(content: bytes, limits: dict = LIMITS) -> Iterator[tuple[str, bytes
         if data is not None and data[:4] == b"PK\x03\x04":
             why, data = "nested_archive", None
         if data is not None:
-            head = data[:8].hex().upper()
-            why = "" if any(head.startswith(m) for m in MAGIC) else "unsupported_type"
+            why = kind_of(data)[1] and "unsupported_type"
             total, files = total + len(data), files + 1
         yield e.filename, data if not why else None, why
 
@@ -89,3 +108,69 @@ def expand(files: DataFrame, path: str = "path", content: str = "content") -> Da
                 yield pd.DataFrame([(p, *x) for x in entries(bytes(c))], columns=["path", "entry", "content", "reason"])
 
     return files.select(F.col(path).alias("path"), F.col(content).alias("content")).mapInPandas(run, "path string, entry string, content binary, reason string")
+
+
+FOUND = "upload_id long, ord long, name string, entry string, page int, mime string, bytes long, content binary, reason string"
+
+
+def discover(inputs: DataFrame, limits: dict = LIMITS, pages: Callable[[bytes], list[bytes]] | None = None) -> DataFrame:
+    """FOUND: the files of each upload, accepted (reason '') and refused, from ``inputs`` (upload_id, ord, name, content).
+
+    Archives are opened, and the pages of a PDF are files of their own if ``pages`` renders them. Limits run over all files of
+    an upload in order: one that is too much is refused and later ones may still fit, but an archive or a PDF ends there.
+    An upload's inputs are streamed one after another.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        upload, total, files = None, 0, 0
+
+        def room(data: bytes) -> str:
+            nonlocal total, files
+            if files >= limits["files"]:
+                return "max_files"
+            if total + len(data) > limits["total"]:
+                return "max_total_bytes"
+            total, files = total + len(data), files + 1
+            return ""
+
+        def rendered(entry: str, data: bytes) -> Iterator[tuple]:
+            if pages is None:
+                yield entry, 0, "application/pdf", None, "pdf_not_rendered"
+                return
+            for n, image in enumerate(pages(data)[:PDF_PAGES], 1):
+                why = room(image)
+                yield f"{entry}#page={n}", n, "image/jpeg", None if why else image, why
+                if why:
+                    return
+
+        def found(name: str, data: bytes) -> Iterator[tuple]:
+            mime, why = kind_of(data)
+            if not data or len(data) > limits["file"] or why:
+                yield "", 0, mime, None, "empty_file" if not data else "file_too_large" if len(data) > limits["file"] else why
+            elif mime == "application/zip":
+                for entry, inner, refused in entries(data, limits):
+                    kind = kind_of(inner)[0] if inner is not None else ""
+                    if inner is None:
+                        yield entry, 0, "", None, refused
+                    elif kind == "application/pdf":
+                        yield from rendered(entry, inner)
+                    else:
+                        why = room(inner)
+                        yield entry, 1, kind, None if why else inner, why
+                        if why:
+                            return
+            elif mime == "application/pdf":
+                yield from rendered(name, data)
+            else:
+                why = room(data)
+                yield "", 1, mime, None if why else data, why
+
+        for pdf in batches:
+            for r in pdf.itertuples():
+                if r.upload_id != upload:
+                    upload, total, files = r.upload_id, 0, 0
+                data = bytes(r.content) if r.content is not None else b""
+                rows = [(r.upload_id, r.ord, r.name, e, p, m or None, len(d) if d is not None else len(data), d, why) for e, p, m, d, why in found(r.name, data)]
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in FOUND.split(", ")])
+
+    return inputs.select("upload_id", "ord", "name", "content").repartition("upload_id").sortWithinPartitions("upload_id", "ord").mapInPandas(run, FOUND)

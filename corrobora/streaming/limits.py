@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUT = "key long, event_id long, at long, allowed boolean, remaining int"
@@ -39,23 +40,27 @@ def limited(events: DataFrame, most: int, span: int) -> DataFrame:
     return events.select("key", "event_id", "at").repartition("key").sortWithinPartitions("key", "at", "event_id").mapInPandas(run, OUT)
 
 
-def limited_stream(events: DataFrame, most: int, span: int) -> DataFrame:
-    """The same over a stream; state is a start and a count for each key, dropped when its window has passed."""
+def limited_stream(events: DataFrame, most: int, span: int, late: str = "10 minutes") -> DataFrame:
+    """The same over a stream of (key, event_id, at in seconds since 1970, above 0): state is a start and a count for each key.
+
+    Time is that of the events. Within a batch a key's events are taken in order. A window's state goes when the
+    watermark, ``late`` behind the latest event, has passed its end: a pause of the stream closes no window. Events later
+    than the watermark are not decided; one that is older than its key's window, but not that late, counts in it.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         start, used = state.get if state.exists else (None, 0)
-        start = None if start == -1 else start
-        for pdf in batches:
-            pdf = pdf.sort_values(["at", "event_id"])
-            done, start, used = take(pdf["at"].tolist(), start, used, most, span)
-            yield pd.DataFrame({"key": pdf["key"], "event_id": pdf["event_id"], "at": pdf["at"], "allowed": [d[0] for d in done], "remaining": [d[1] for d in done]})
-        state.update((-1 if start is None else int(start), int(used)))
-        state.setTimeoutDuration(span * 1000)
-
-    return events.groupBy("key").applyInPandasWithState(run, OUT, "start long, used int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+        rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
+        done, start, used = take(rows["at"].tolist(), start, used, most, span)
+        yield pd.DataFrame({"key": rows["key"], "event_id": rows["event_id"], "at": rows["at"], "allowed": [d[0] for d in done], "remaining": [d[1] for d in done]})
+        state.update((int(start), int(used)))
+        state.setTimeoutTimestamp(max((int(start) + span) * 1000, state.getCurrentWatermarkMs() + 1))
+
+    timed = events.select("key", "event_id", "at").withColumn("time", F.timestamp_seconds("at")).withWatermark("time", late)
+    return timed.groupBy("key").applyInPandasWithState(run, OUT, "start long, used int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def once(stream: DataFrame, key: str, at: str, late: str = "10 minutes") -> DataFrame:
