@@ -15,7 +15,7 @@ from corrobora import constants as C
 from corrobora.functions import alignment, fields, numbers, text
 from corrobora.operators import faces as face_ops
 from corrobora.operators import relational as rel
-from corrobora.plans import evidence, reconcile, records
+from corrobora.plans import evidence, intake, reconcile, records
 from corrobora.ship import ship
 from corrobora.sources import page_text
 from corrobora.streaming import limits
@@ -85,8 +85,9 @@ def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _event_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A store and rows that come in: all events, those of one type in both."""
     e = t(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.round("value", 6).alias("value"))
-    return e.where("event_id % 2 = 0"), e.where("event_id % 3 = 0").withColumn("value", F.round(F.col("value") + 1, 6))
+    return e.where("event_type <> 'purchase'"), e.where("event_type IN ('purchase', 'view')").withColumn("value", F.round(F.col("value") + 1, 6))
 
 
 def _card(key: str) -> Column:
@@ -128,9 +129,9 @@ ORACLES["dob_consensus"] = f"""
 # --- scans, windows, set operators
 
 
-@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 10 = 3")
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000")
 def scan_filter_project(spark, d):
-    return t(spark, d, "orders").where((F.col("o_orderstatus") == "F") & (F.col("o_custkey") % 10 == 3)).select("o_orderkey", "o_custkey")
+    return t(spark, d, "orders").where((F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 100000)).select("o_orderkey", "o_custkey")
 
 
 @query("SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM orders GROUP BY o_custkey")
@@ -166,16 +167,23 @@ def argmax(spark, d):
     return t(spark, d, "documents").groupBy("lang").agg(F.max_by("doc_id", F.struct(F.length("text"), -F.col("doc_id"))).alias("doc_id"))
 
 
-@query("SELECT user_id, CAST(sum(length(event_type)) AS BIGINT) AS total, CAST(count(*) AS BIGINT) AS n FROM (SELECT *, sum(length(event_type)) OVER w AS total, count(*) OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)) WHERE total <= 300 AND n <= 50 GROUP BY 1")
+@query("""
+    WITH RECURSIVE e AS (SELECT user_id, event_id, length(event_type) * 3 + CAST(floor(value) AS BIGINT) % 7 AS size, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+    r AS (
+        SELECT user_id, event_id, k, size, size <= 300 AS fits, CASE WHEN size <= 300 THEN size ELSE 0 END AS total, CASE WHEN size <= 300 THEN 1 ELSE 0 END AS n FROM e WHERE k = 1
+        UNION ALL SELECT e.user_id, e.event_id, e.k, e.size, r.total + e.size <= 300 AND r.n < 20, CASE WHEN r.total + e.size <= 300 AND r.n < 20 THEN r.total + e.size ELSE r.total END, CASE WHEN r.total + e.size <= 300 AND r.n < 20 THEN r.n + 1 ELSE r.n END FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1
+    )
+    SELECT user_id, event_id, fits FROM r""")
 def running_budget(spark, d):
-    e = t(spark, d, "events").withColumn("size", F.length("event_type"))
-    return rel.within_budget(e, ["user_id"], "size", 300, 50, F.asc("event_id")).where("fits").groupBy("user_id").agg(F.sum("size").cast("long").alias("total"), F.count("*").alias("n"))
+    size = F.length("event_type") * 3 + F.floor("value") % 7
+    e = t(spark, d, "events").select("user_id", "event_id", size.cast("long").alias("size"))
+    return rel.within_budget(e, ["user_id"], "size", 300, 20, "event_id").select("user_id", "event_id", "fits")
 
 
 @query("SELECT DISTINCT user_id FROM events WHERE event_type = 'click' EXCEPT SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 50")
 def set_difference(spark, d):
     e = t(spark, d, "events")
-    return e.where("event_type = 'click'").select("user_id").exceptAll(e.where("event_type = 'purchase' AND value > 50").select("user_id")).distinct().join(e.where("event_type = 'purchase' AND value > 50").select("user_id"), "user_id", "left_anti")
+    return rel.foreign(e.where("event_type = 'click'").select("user_id").distinct(), e.where("event_type = 'purchase' AND value > 50"), ["user_id"])
 
 
 # --- joins
@@ -209,7 +217,7 @@ def live_record_join(spark, d):
 
 
 @query("""
-    WITH a AS (SELECT event_id, event_type AS raw, event_id % 5 = 0 AS ev FROM events WHERE event_id % 2 = 0), b AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'other' ELSE upper(event_type) END AS raw, event_id % 3 = 1 AS ev FROM events WHERE event_id % 3 = 0),
+    WITH a AS (SELECT event_id, event_type AS raw, event_id % 5 = 0 AS ev FROM events WHERE event_type <> 'purchase'), b AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'other' ELSE upper(event_type) END AS raw, event_id % 3 = 1 AS ev FROM events WHERE event_type = 'purchase' OR value > 20),
     m AS (SELECT coalesce(a.event_id, b.event_id) AS event_id, a.raw AS ra, b.raw AS rb, coalesce(a.ev, false) AS ea, coalesce(b.ev, false) AS eb FROM a FULL OUTER JOIN b ON a.event_id = b.event_id)
     SELECT event_id, CASE WHEN ra IS NOT NULL AND rb IS NOT NULL AND upper(ra) <> upper(rb) AND eb AND NOT ea THEN rb ELSE coalesce(ra, rb) END AS value,
         CASE WHEN ra IS NOT NULL AND rb IS NOT NULL THEN CASE WHEN upper(ra) = upper(rb) OR ea <> eb THEN 'present_verified' ELSE 'present_uncertain' END WHEN ra IS NOT NULL AND ea OR rb IS NOT NULL AND eb THEN 'present_verified' ELSE 'present_uncertain' END AS status,
@@ -217,8 +225,8 @@ def live_record_join(spark, d):
     FROM m""")
 def full_outer_merge(spark, d):
     e, i = t(spark, d, "events"), F.col("event_id")
-    a = e.where("event_id % 2 = 0").select(i, F.col("event_type").alias("raw"), (i % 5 == 0).alias("evidenced"))
-    b = e.where("event_id % 3 = 0").select(i, F.when(i % 7 == 0, F.lit("other")).otherwise(F.upper("event_type")).alias("raw"), (i % 3 == 1).alias("evidenced"))
+    a = e.where("event_type <> 'purchase'").select(i, F.col("event_type").alias("raw"), (i % 5 == 0).alias("evidenced"))
+    b = e.where("event_type = 'purchase' OR value > 20").select(i, F.when(i % 7 == 0, F.lit("other")).otherwise(F.upper("event_type")).alias("raw"), (i % 3 == 1).alias("evidenced"))
     return rel.merge_readings(a, b, ["event_id"])
 
 
@@ -231,41 +239,41 @@ def capability_gate(spark, d):
 # --- store semantics
 
 
-@query("SELECT event_id, user_id, event_type, round(value, 6) AS value FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, user_id, event_type, round(round(value, 6) + 1, 6) FROM events WHERE event_id % 3 = 0 AND event_id % 2 <> 0")
+@query("SELECT event_id, user_id, event_type, CASE WHEN event_type = 'purchase' THEN round(round(value, 6) + 1, 6) ELSE round(value, 6) END AS value FROM events")
 def insert_if_absent(spark, d):
-    return rel.insert_if_absent(*_event_table(spark, d), ["event_id"])
+    return rel.insert_if_absent(*_event_table(spark, d), ["event_id", "event_type"])
 
 
-@query("SELECT event_id, user_id, event_type, CASE WHEN event_id % 3 = 0 THEN round(round(value, 6) + 1, 6) ELSE round(value, 6) END AS value FROM events WHERE event_id % 2 = 0 OR event_id % 3 = 0")
+@query("SELECT event_id, user_id, event_type, CASE WHEN event_type IN ('purchase', 'view') THEN round(round(value, 6) + 1, 6) ELSE round(value, 6) END AS value FROM events")
 def upsert_latest(spark, d):
     return rel.upsert(*_event_table(spark, d), ["event_id"], ["user_id"], F.desc("value"))
 
 
-@query("SELECT event_id, user_id, event_type, CASE WHEN event_id % 3 = 0 THEN round(round(value, 6) + 1, 6) ELSE round(value, 6) END AS value FROM events WHERE (event_id % 2 = 0 OR event_id % 3 = 0) AND NOT (event_id % 9 = 0)")
+@query("SELECT event_id, user_id, event_type, CASE WHEN event_type IN ('purchase', 'view') THEN round(round(value, 6) + 1, 6) ELSE round(value, 6) END AS value FROM events WHERE event_type NOT IN ('purchase', 'view') OR round(value, 6) >= 20")
 def delete_insert(spark, d):
     table, rows = _event_table(spark, d)
-    return rel.delete_insert(table, rows.withColumn("event_type", F.when(F.col("event_id") % 9 == 0, F.lit(" ")).otherwise(F.col("event_type"))), ["event_id"], "event_type")
+    return rel.delete_insert(table, rows.withColumn("event_type", F.when(F.col("value") < 21, F.lit(" ")).otherwise(F.col("event_type"))), ["event_id"], "event_type")
 
 
-@query("SELECT event_id, user_id, event_type, CASE WHEN event_id % 12 = 0 THEN NULL WHEN event_id % 6 = 0 THEN round(round(value, 6) + 1, 6) ELSE round(value, 6) END AS value FROM events WHERE event_id % 2 = 0")
+@query("SELECT event_id, user_id, event_type, CASE WHEN event_type = 'view' AND round(value, 6) < 20 THEN NULL WHEN event_type = 'view' THEN round(round(value, 6) + 1, 6) ELSE round(value, 6) END AS value FROM events WHERE event_type <> 'purchase'")
 def patch_update(spark, d):
     table, rows = _event_table(spark, d)
-    clear = F.col("event_id") % 12 == 0
+    clear = F.col("value") < 21
     return rel.patch(table, rows.withColumn("clear", clear).withColumn("value", F.when(~clear, F.col("value"))), ["event_id"], ["value"], "clear")
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS active, user_id FROM events WHERE event_id % 4 <> 0 GROUP BY user_id")
+@query("SELECT CAST(count(*) AS BIGINT) AS active, user_id FROM events WHERE value >= 25 GROUP BY user_id")
 def soft_delete_filter(spark, d):
-    e = t(spark, d, "events").select("event_id", "user_id").withColumn("status", F.lit("ready")).withColumn("removed_at", F.lit(None).cast("timestamp"))
-    out = rel.soft_delete(e, e.where("event_id % 4 = 0"), ["event_id"], F.lit("2026-01-01").cast("timestamp"))
+    e = t(spark, d, "events").select("event_id", "user_id", "value").withColumn("status", F.lit("ready")).withColumn("removed_at", F.lit(None).cast("timestamp"))
+    out = rel.soft_delete(e, e.where("value < 25"), ["event_id"], F.lit("2026-01-01").cast("timestamp"))
     return out.where("status <> 'removed_by_user'").groupBy("user_id").agg(F.count("*").alias("active"))
 
 
-@query("WITH have AS (SELECT DISTINCT event_type FROM events WHERE user_id % 2 = 0 AND event_type < 'm') SELECT DISTINCT event_type, left(sha256(event_type), 12) AS id FROM events")
+@query("SELECT DISTINCT event_type, left(sha256(event_type), 12) AS id FROM events")
 def get_or_create(spark, d):
     e = t(spark, d, "events")
     make = F.left(F.sha2("event_type", 256), F.lit(12))
-    have = e.where("user_id % 2 = 0 AND event_type < 'm'").select(make.alias("id"), "event_type").distinct()
+    have = e.where("event_type < 'm' AND value > 10").select(make.alias("id"), "event_type").distinct()
     return rel.get_or_create(have, e, "event_type", make, "id")
 
 
@@ -393,7 +401,14 @@ def repair_positional(spark, d):
     return t(spark, d, "part").select("p_partkey", numbers.repair_positional("voter", F.concat(F.lit("81"), F.lit("5"), F.translate(z, "015", "OIS"))).alias("repaired"))
 
 
-@query()
+@query("""
+    WITH v10 AS (SELECT c_custkey, '2' || lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS body, 0 AS c10 FROM customer), """ + _verhoeff_steps(11, 1) + """,
+    card AS (SELECT c_custkey, body || translate(CAST([0,4,3,2,1,5,6,7,8,9][CAST(1 + c111 AS BIGINT)] AS VARCHAR), '0681', '8067') AS x FROM v111),
+    swaps AS (SELECT * FROM (VALUES """ + ", ".join(f"('{a}', '{b}')" for a, many in C.CONFUSIONS.items() for b in many) + """) AS s(a, b)),
+    made AS (SELECT DISTINCT c_custkey, left(x, i - 1) || s.b || substr(x, i + 1) AS y FROM (SELECT c_custkey, x, unnest(range(1, 13)) AS i FROM card) JOIN swaps s ON s.a = substr(x, i, 1)),
+    v00 AS (SELECT c_custkey, y AS body, 0 AS c00 FROM made), """ + _verhoeff_steps(12, 0) + """,
+    good AS (SELECT c_custkey, min(body) AS y, count(*) AS n FROM v012 WHERE c012 = 0 GROUP BY 1)
+    SELECT c_custkey, CASE WHEN n = 1 THEN y END AS repaired FROM customer LEFT JOIN good USING (c_custkey)""")
 def repair_checksum(spark, d):
     body = F.concat(F.lit("2"), F.lpad(F.col("c_custkey").cast("string"), 10, "0"))
     card = F.concat(body, numbers.verhoeff_digit(body))
@@ -436,10 +451,22 @@ def identity_fingerprint(spark, d):
     return o.select("o_orderkey", records.fingerprint(fields.name(F.col("p_name"))["sorted"], fields.date(F.date_format("o_orderdate", "dd MMM yyyy"), PIVOT)["iso"], fields.gender(F.lit("female"))).alias("hash"))
 
 
-@query("SELECT doc_id, CAST(NULL AS VARCHAR) AS number, contains(lower(text), 'the') AS seen FROM documents")
+@query("""
+    SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'pan' WHEN 1 THEN 'aadhaar' WHEN 2 THEN 'voter' ELSE 'passport' END AS document_type, CASE WHEN o_orderkey % 4 = 1 THEN 'Asha Devi' ELSE p_name END AS holder_name, 'Ram of ' || p_brand AS father_name,
+        strftime(CAST(o_orderdate AS DATE), '%d/%m/%Y') AS dob, CASE WHEN o_orderkey % 2 = 0 THEN 'F' ELSE 'male' END AS gender,
+        CASE o_orderkey % 4 WHEN 0 THEN 'ABCDE' || lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0') || 'F' WHEN 1 THEN '2345 6789 ' || lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0') WHEN 2 THEN 'XYZ ' || lpad(CAST(o_orderkey % 10000000 AS VARCHAR), 7, '0') ELSE 'K' || lpad(CAST(o_orderkey % 10000000 AS VARCHAR), 7, '0') END AS number,
+        o_orderkey % 2 = 0 AS gender_label FROM orders JOIN part ON p_partkey = 1 + o_custkey % 200""")
 def page_text_fields(spark, d):
-    x = F.col("text")
-    return t(spark, d, "documents").select("doc_id", page_text.document_number(x).alias("number"), F.contains(F.lower(x), F.lit("the")).alias("seen"))
+    k = F.col("o_orderkey")
+    pad = lambda n: F.lpad((k % 10**n).cast("string"), n, "0")
+    number = F.when(k % 4 == 0, F.concat(F.lit("ABCDE"), pad(4), F.lit("F"))).when(k % 4 == 1, F.concat(F.lit("2345 6789 "), pad(4))).when(k % 4 == 2, F.concat(F.lit("XYZ "), pad(7))).otherwise(F.concat(F.lit("K"), pad(7)))
+    head = F.when(k % 4 == 0, F.lit("Income Tax Department")).when(k % 4 == 1, F.lit("Government of India\nAadhaar\nAsha Devi")).when(k % 4 == 2, F.lit("Election Commission")).otherwise(F.lit("Republic"))
+    name = F.when(k % 4 == 1, F.lit("")).otherwise(F.concat(F.lit("\nName: "), "p_name"))
+    sex = F.when(k % 2 == 0, F.lit("Sex: F")).otherwise(F.lit("male"))
+    page = F.concat(head, name, F.lit("\nDOB: "), F.date_format("o_orderdate", "dd / MM/yyyy"), F.lit("\nFather's Name\nRam of "), "p_brand", F.lit("\n"), sex, F.lit("\n"), number)
+    rows = t(spark, d, "orders").withColumn("p_partkey", F.col("o_custkey") % 200 + 1).join(t(spark, d, "part").select("p_partkey", "p_name", "p_brand"), "p_partkey")
+    r = rows.withColumn("page", page).withColumn("r", page_text.page_reading(F.col("page"), PIVOT))
+    return r.select("o_orderkey", "r.document_type", "r.holder_name", "r.father_name", "r.dob", "r.gender", F.col("r.document_number").alias("number"), F.col("page").rlike(r"(?i)sex\s*[:=-]").alias("gender_label"))
 
 
 @query()
@@ -473,7 +500,7 @@ def classify_scores(spark, d):
     return evidence.classify(df).select("o_orderkey", "class.type")
 
 
-@query("SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'not_present' WHEN event_id % 7 = 0 THEN 'present_verified' WHEN event_id % 5 = 0 THEN 'present_uncertain' WHEN event_id % 2 = 0 THEN 'present_verified' ELSE 'not_present' END AS status FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'not_present' WHEN event_id % 7 = 0 THEN 'present_verified' WHEN event_id % 5 = 0 THEN 'present_verified' WHEN event_id % 2 = 0 THEN 'present_verified' ELSE 'not_present' END AS status FROM events")
 def evidence_ladder(spark, d):
     k = F.col("event_id")
     source = F.when(k % 7 == 0, "mrz").when(k % 5 == 0, "user").otherwise("vision")
@@ -484,24 +511,84 @@ def evidence_ladder(spark, d):
 # --- reconciliation, decisions, records
 
 
-@query()
+# Where words are swapped, a word of three letters with one wrong is another word: ROD and ROX.
+_CLUSTERS = """
+    l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity) AS ord FROM lineitem),
+    d AS (
+        SELECT l_orderkey AS app, ord, CASE l_linenumber % 5 WHEN 0 THEN 'pan' WHEN 1 THEN 'aadhaar' WHEN 2 THEN 'passport' WHEN 3 THEN 'voter' ELSE 'birth_certificate' END AS doc, CASE WHEN l_linestatus = 'F' THEN 'barcode' ELSE 'vision' END AS source, CASE WHEN l_linestatus = 'F' THEN 1.0 ELSE 0.6 END::DOUBLE AS w,
+            first_value(upper(p_name)) OVER (PARTITION BY l_orderkey ORDER BY ord) AS base, l_suppkey % 7 AS spelt, strftime(CAST(o_orderdate AS DATE) + CASE WHEN l_suppkey % 10 = 0 THEN 1 ELSE 0 END, '%Y-%m-%d') AS iso, CASE l_returnflag WHEN 'A' THEN 'F' WHEN 'R' THEN 'M' ELSE '' END AS gender, CAST(o_custkey AS VARCHAR) AS house
+        FROM l JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey WHERE l_quantity > 7
+    ),
+    f AS (
+        SELECT app, ord, doc, source, w, 'holder_name' AS field, 'yes' AS carries, CASE spelt WHEN 0 THEN array_to_string(list_reverse(string_split(base, ' ')), ' ') WHEN 1 THEN left(base, length(base) - 1) || 'X' ELSE base END AS display FROM d
+        UNION ALL SELECT app, ord, doc, source, w, 'dob', CASE doc WHEN 'voter' THEN 'partial' ELSE 'yes' END, iso FROM d
+        UNION ALL SELECT app, ord, doc, source, w, 'gender', CASE doc WHEN 'pan' THEN 'no' WHEN 'birth_certificate' THEN 'partial' ELSE 'yes' END, gender FROM d
+        UNION ALL SELECT app, ord, doc, source, w, 'address', CASE doc WHEN 'birth_certificate' THEN 'yes' WHEN 'aadhaar' THEN 'partial' ELSE 'no' END, CASE spelt WHEN 0 THEN house || ' MG ROAD, INDIRANAGAR, BENGALURU 560038' WHEN 1 THEN 'FLAT 9, KORAMANGALA 560038' WHEN 2 THEN '17 HILL LANE, KOCHI, KERALA 682001' ELSE house || ' MG ROAD, INDIRANAGAR, BENGALURU, KARNATAKA 560038' END FROM d
+    ),
+    g AS (SELECT *, CASE WHEN carries = 'no' THEN 'abstained' WHEN display <> '' THEN 'present' WHEN carries = 'yes' THEN 'unreadable' ELSE 'abstained' END AS bucket, CASE field WHEN 'holder_name' THEN array_to_string(list_sort(string_split(display, ' ')), ' ') ELSE display END AS key FROM f),
+    p AS (SELECT *, CASE WHEN field = 'address' AND contains(display, 'MG ROAD') THEN 'mg' ELSE key END AS grp FROM g WHERE bucket = 'present'),
+    k AS (SELECT app, field, grp, key, sum(w) AS kw, min(ord) AS k_ord, arg_min(display, ord) AS k_face FROM p GROUP BY 1, 2, 3, 4),
+    ks AS (SELECT *, row_number() OVER (PARTITION BY app, field, grp ORDER BY round(kw, 6) DESC, k_ord) AS place FROM k),
+    q AS (SELECT app, field, grp, sum(w) AS gw, max(w) AS top, count(*) AS n FROM p GROUP BY 1, 2, 3),
+    r AS (SELECT q.*, row_number() OVER (PARTITION BY q.app, q.field ORDER BY CASE WHEN top >= 0.9 THEN 0 ELSE 1 END, round(gw, 6) DESC, n DESC, k_face) AS rank, sum(gw) OVER (PARTITION BY q.app, q.field) AS all_w FROM q JOIN ks ON ks.app = q.app AND ks.field = q.field AND ks.grp = q.grp AND ks.place = 1),
+    sp AS (SELECT p.app, p.field, p.display, row_number() OVER (PARTITION BY p.app, p.field ORDER BY round(sum(p.w), 6) DESC, p.display) AS best FROM p JOIN r ON r.app = p.app AND r.field = p.field AND r.grp = p.grp AND r.rank = 1 GROUP BY 1, 2, 3),
+    m AS (
+        SELECT p.*, r.rank, ks.place, sp.display AS value, CASE p.field WHEN 'holder_name' THEN NOT (p.display LIKE 'ROD %' AND sp.display LIKE '% ROX' OR sp.display LIKE 'ROD %' AND p.display LIKE '% ROX') WHEN 'address' THEN NOT contains(p.display, 'HILL') AND NOT contains(sp.display, 'HILL') ELSE levenshtein(p.display, sp.display) <= 2 END AS ask
+        FROM p JOIN r ON r.app = p.app AND r.field = p.field AND r.grp = p.grp JOIN ks ON ks.app = p.app AND ks.field = p.field AND ks.key = p.key JOIN sp ON sp.app = p.app AND sp.field = p.field AND sp.best = 1
+    ),
+    u AS (
+        SELECT app, field, any_value(value) AS value, string_agg(doc, ',' ORDER BY place, ord) FILTER (WHERE rank = 1) AS agreeing, coalesce(string_agg(doc || '=' || display, ',' ORDER BY rank, place, ord) FILTER (WHERE rank > 1), '') AS dissenting, count(*) FILTER (WHERE rank = 1) AS n_agree, count(*) FILTER (WHERE rank > 1 AND NOT ask) AS n_dissent, count(*) FILTER (WHERE rank > 1 AND ask) AS confirmable, string_agg(DISTINCT source, ',' ORDER BY source) FILTER (WHERE rank = 1) AS sources FROM m GROUP BY 1, 2
+    ),
+    b AS (SELECT app, field, coalesce(string_agg(doc, ',' ORDER BY doc) FILTER (WHERE bucket = 'unreadable'), '') AS unreadable, coalesce(string_agg(doc, ',' ORDER BY doc) FILTER (WHERE bucket = 'abstained'), '') AS abstained FROM g GROUP BY 1, 2),
+    c AS (
+        SELECT b.app AS application_id, b.field, coalesce(value, '') AS value, coalesce(agreeing, '') AS agreeing, coalesce(dissenting, '') AS dissenting, CAST(coalesce(n_agree, 0) AS INTEGER) AS n_agree, CAST(coalesce(n_dissent, 0) AS INTEGER) AS n_dissent, CAST(coalesce(confirmable, 0) AS INTEGER) AS confirmable, CAST(coalesce(n_agree, 0) AS INTEGER) AS corroboration, CAST(coalesce(n_agree + confirmable, 0) AS INTEGER) AS support,
+            coalesce(round(round(gw / all_w, 6), 2), 0.0) AS confidence, coalesce(top >= 0.9, false) AS strong, coalesce(sources, '') AS sources, CASE WHEN value IS NULL AND unreadable <> '' THEN 'not_extracted' WHEN value IS NULL THEN 'not_applicable' WHEN dissenting <> '' THEN 'disagreement' WHEN n_agree >= 2 THEN 'agreement' ELSE 'single_source' END AS status,
+            CASE WHEN value IS NULL AND unreadable <> '' THEN 'info' WHEN value IS NULL OR dissenting = '' THEN 'none' WHEN b.field = 'address' THEN 'info' WHEN n_dissent = 0 THEN 'needs_confirmation' ELSE 'reject' END AS severity, false AS holder, unreadable, abstained, '' AS asserted, CAST(0 AS INTEGER) AS confirmed
+        FROM b LEFT JOIN u ON u.app = b.app AND u.field = b.field LEFT JOIN r ON r.app = b.app AND r.field = b.field AND r.rank = 1
+    )"""
+
+
+@query(f"WITH {_CLUSTERS} SELECT * FROM c")
 def field_clusters(spark, d):
     return clusters(spark, d)
 
 
-@query()
+@query(f"""
+    WITH {_CLUSTERS},
+    s AS (SELECT l_orderkey AS application_id, bool_or(l_quantity > 7) AS ready, bool_or(l_quantity <= 3) AS retake, bool_or(l_quantity > 3 AND l_quantity <= 5) AS rejected FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1),
+    e AS (
+        SELECT application_id, count(*) FILTER (WHERE field <> 'address' AND corroboration >= 1 AND n_dissent > 0) AS conflicts, count(*) FILTER (WHERE field <> 'address' AND corroboration >= 1 AND n_dissent = 0 AND confirmable > 0) AS asks, count(*) FILTER (WHERE field IN ('holder_name', 'dob') AND status = 'not_extracted') AS lacking,
+            max(support) FILTER (WHERE field = 'holder_name') AS name_support, count(*) FILTER (WHERE value <> '' AND corroboration >= 2) AS multi, count(*) FILTER (WHERE value <> '' AND corroboration <= 1) AS single, max(CASE severity WHEN 'reject' THEN 4 WHEN 'needs_confirmation' THEN 3 WHEN 'warn' THEN 2 WHEN 'info' THEN 1 ELSE 0 END) AS worst FROM c GROUP BY 1
+    ),
+    x AS (
+        SELECT s.application_id, worst, CASE WHEN NOT ready AND retake THEN 'retake_required' WHEN NOT ready AND rejected THEN 'rejected_invalid_document' WHEN NOT ready THEN 'extraction_failed' WHEN conflicts >= 2 THEN 'suspected_cross_identity' WHEN conflicts = 1 THEN 'document_conflict'
+            WHEN lacking > 0 OR coalesce(name_support, 0) < 2 THEN 'insufficient_evidence' WHEN asks > 0 THEN 'likely_match_needs_confirmation' WHEN single = 0 THEN 'verified_match' WHEN multi >= 2 THEN 'verified_with_partial_overlap' ELSE 'verified_no_conflict' END AS decision FROM s LEFT JOIN e USING (application_id)
+    )
+    SELECT application_id, decision, decision LIKE 'verified%' AS issuable, decision IN ('suspected_cross_identity', 'document_conflict') AS needs_review, ['info', 'warn', 'needs_confirmation', 'reject'][greatest(coalesce(worst, 1), 1)] AS severity FROM x""")
 def decisions(spark, d):
     return reconcile.decide(clusters(spark, d), documents=documents(spark, d).select("application_id", F.col("doc_status").alias("status")))
 
 
-@query("WITH " + DOCUMENTS_SQL + ", c AS (SELECT application_id, CAST(count(*) AS BIGINT) AS n, bool_and(l_linestatus = 'F') AS all_final FROM docs GROUP BY 1) SELECT application_id, n, CASE WHEN all_final THEN 'ready' ELSE 'documents_still_processing' END AS barrier FROM c")
+@query(f"""
+    WITH {_CLUSTERS}, v AS (SELECT * FROM c WHERE status <> 'not_applicable' OR unreadable <> '')
+    SELECT application_id, coalesce(string_agg(field, ',' ORDER BY field) FILTER (WHERE severity = 'reject'), '') AS blocking, coalesce(string_agg(field, ',' ORDER BY field) FILTER (WHERE severity = 'needs_confirmation'), '') AS confirmations, coalesce(string_agg(field, ',' ORDER BY field) FILTER (WHERE severity = 'info'), '') AS notes,
+        coalesce(string_agg(field, ',' ORDER BY field) FILTER (WHERE value <> '' AND corroboration >= 2), '') AS multi_sourced, coalesce(string_agg(field, ',' ORDER BY field) FILTER (WHERE value <> '' AND corroboration <= 1), '') AS single_sourced FROM v GROUP BY 1""")
+def verdicts(spark, d):
+    found = clusters(spark, d)
+    return reconcile.verdict(found, reconcile.decide(found)).select("application_id", "blocking", "confirmations", "notes", "multi_sourced", "single_sourced")
+
+
+@query("WITH " + DOCUMENTS_SQL + ", c AS (SELECT application_id, CAST(sum(CASE WHEN l_linestatus = 'F' THEN 0 ELSE 1 END) AS BIGINT) AS pending FROM docs WHERE l_returnflag <> 'R' GROUP BY 1) SELECT application_id, pending, CASE WHEN pending = 0 THEN 'ready' ELSE 'documents_still_processing' END AS state FROM c")
 def barrier(spark, d):
-    return documents(spark, d).groupBy("application_id").agg(F.count("*").alias("n"), F.when(F.bool_and(F.col("source") == "barcode"), F.lit("ready")).otherwise(F.lit("documents_still_processing")).alias("barrier"))
+    gender, source = F.col("gender"), F.col("source")
+    status = F.when(gender == "MALE", F.lit("removed_by_user")).when(source == "barcode", F.lit("ready")).otherwise(F.lit("extracting"))
+    return intake.barrier(documents(spark, d).select("application_id", status.alias("status")))
 
 
-@query("SELECT event_id, CASE WHEN event_type = 'view' AND ts < TIMESTAMP '2024-01-15 00:00:00' - INTERVAL 10 MINUTE THEN 'unreadable' ELSE event_type END AS status FROM events")
+@query("SELECT event_id, CASE WHEN event_type <> 'click' AND date_trunc('second', ts) < TIMESTAMP '2024-01-15 00:00:00' - INTERVAL 10 MINUTE THEN 'unreadable' WHEN event_type = 'click' THEN 'ready' ELSE 'pending' END AS status FROM events")
 def stale_heal(spark, d):
-    return t(spark, d, "events").select("event_id", F.when((F.col("event_type") == "view") & (F.col("ts") < F.expr("TIMESTAMP '2024-01-15 00:00:00' - INTERVAL 10 MINUTES")), F.lit("unreadable")).otherwise(F.col("event_type")).alias("status"))
+    e = t(spark, d, "events").select("event_id", F.when(F.col("event_type") == "click", F.lit("ready")).otherwise(F.lit("pending")).alias("status"), F.lit("2020-01-01").cast("timestamp").alias("created_at"), F.col("ts").alias("updated_at"))
+    return intake.heal(e, F.lit("2024-01-15 00:00:00").cast("timestamp")).select("event_id", "status")
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'dob,name' ELSE 'name' END AS released, CASE WHEN c_custkey % 7 = 0 THEN 'expired' WHEN c_custkey % 5 = 0 THEN 'used' WHEN c_custkey % 11 = 0 THEN 'revoked' ELSE 'valid' END AS token FROM customer")
@@ -525,10 +612,10 @@ def dedup_probe(spark, d):
 
 
 def _faces(spark, d):
-    return t(spark, d, "embeddings").select((F.col("vec_id") % 25).alias("app"), "vec_id", "embedding", "label")
+    return t(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 5).alias("app"), "vec_id", "embedding", "label")
 
 
-FACES_SQL = "f AS (SELECT vec_id % 25 AS app, vec_id, embedding AS v, label FROM embeddings), q AS (SELECT a.app, a.vec_id AS a_id, b.vec_id AS b_id, list_sum(list_transform(list_zip(a.v, b.v), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))) / (sqrt(list_sum(list_transform(a.v, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) * sqrt(list_sum(list_transform(b.v, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))) AS s, a.label = b.label AS same FROM f a JOIN f b ON a.app = b.app AND a.vec_id < b.vec_id)"
+FACES_SQL = "f AS (SELECT vec_id // 5 AS app, vec_id, embedding AS v, label FROM embeddings), q AS (SELECT a.app, a.vec_id AS a_id, b.vec_id AS b_id, list_sum(list_transform(list_zip(a.v, b.v), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))) / (sqrt(list_sum(list_transform(a.v, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) * sqrt(list_sum(list_transform(b.v, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))) AS s, a.label = b.label AS same FROM f a JOIN f b ON a.app = b.app AND a.vec_id < b.vec_id)"
 
 
 @query(f"WITH {FACES_SQL} SELECT app, a_id, b_id, round(s, 4) AS similarity FROM q")
@@ -558,7 +645,16 @@ def name_comparisons(spark, d):
     return _pairs(spark, d).select("p_partkey", alignment.name_comparison(a, b).alias("c"), alignment.osa_distance(a, b).alias("osa"), F.round(alignment.jaro_winkler_similarity(a, b), 6).alias("jaro_winkler"), alignment.name_difference(a, b).alias("diff")).select("p_partkey", "c.*", "osa", "jaro_winkler", "diff")
 
 
-@query()
+@query("""
+    WITH RECURSIVE e AS (SELECT user_id AS key, event_id, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS moment, row_number() OVER (PARTITION BY user_id ORDER BY CAST(epoch(date_trunc('second', ts)) AS BIGINT), event_id) AS k FROM events),
+    r AS (
+        SELECT key, event_id, moment, k, moment AS start, 1 AS used FROM e WHERE k = 1
+        UNION ALL SELECT e.key, e.event_id, e.moment, e.k, CASE WHEN e.moment >= r.start + 21600 THEN e.moment ELSE r.start END, CASE WHEN e.moment >= r.start + 21600 THEN 1 ELSE r.used + 1 END FROM r JOIN e ON e.key = r.key AND e.k = r.k + 1
+    )
+    SELECT key, event_id, moment, used <= 5 AS allowed, CAST(greatest(0, 5 - used) AS INTEGER) AS remaining FROM r""")
 def fixed_window_limiter(spark, d):
     e = t(spark, d, "events").select(F.col("user_id").alias("key"), "event_id", F.unix_timestamp("ts").alias("at"))
-    return limits.limited(e, 5, 6 * 3600)
+    return limits.limited(e, 5, 6 * 3600).withColumnRenamed("at", "moment")
+
+
+from corrobora import workflow_queries  # noqa: E402, F401  (adds its queries)

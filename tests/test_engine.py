@@ -1,6 +1,7 @@
 """Goldens of functions, rules and stores; every query with SQL is held against DuckDB at the smallest scale."""
 
 import io
+import random
 import re
 import zipfile
 
@@ -9,8 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from corrobora import queries
-from corrobora.functions import alignment, fields, numbers, text
-from corrobora.plans import evidence, reconcile, records
+from corrobora.functions import alignment, fields, numbers, responses, text
+from corrobora.operators import faces
+from corrobora.operators import relational as rel
+from corrobora.plans import evidence, extraction, intake, pages, reconcile, records
 from corrobora.sources import page_text, uploads
 from corrobora.streaming import limits
 
@@ -89,8 +92,6 @@ def test_page_queries_read_whole_texts(spark, tmp_path):
     spark.createDataFrame(list(enumerate(PAGES)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     patterns = [r"\b([A-Z]{5}\s?\d{4}\s?[A-Z])\b", r"\b(\d{4}\s?\d{4}\s?\d{4})\b", r"\b([A-Z]{3}\s?\d{7})\b", r"\b([A-Z]\d{7})\b"]
     number = lambda p: next((m[1] for q in patterns if (m := re.search(q, p or ""))), None)
-    got = {r["doc_id"]: r for r in queries.page_text_fields(spark, str(tmp_path)).collect()}
-    assert {i: (r["number"], r["seen"]) for i, r in got.items()} == {i: (number(p), None if p is None else "the" in p.lower()) for i, p in enumerate(PAGES)}
     out = {r["doc_id"]: r for r in queries.page_fields(spark, str(tmp_path)).collect()}
     assert [out[i]["document_number"] for i in range(len(PAGES))] == [number(p) for p in PAGES]
     assert [out[i]["the_seen"] for i in range(len(PAGES))] == ["the" in re.sub("[^a-z0-9]", "", (p or "").lower()) for p in PAGES]
@@ -99,6 +100,59 @@ def test_page_queries_read_whole_texts(spark, tmp_path):
     assert out[5]["mrz_surname"] == "ERIKSSON" and out[5]["mrz_valid"] and out[0]["mrz_surname"] is None
 
 
+def test_pages_declare_their_type(spark):
+    aadhaar = "Government of India\nAsha Devi\nMALE\nDOB: 12/08/97\n2345 6789 0123\nAadhaar"
+    zone = "Name: Someone Else\nP<UTOERIKSSON<<ANNA<MARIA<<<<<<<<<<<<<<<<<<<\nL898902C36UTO7408122F1204159ZE184226B<<<<<10"
+    out = values(spark, [aadhaar, zone, "Certificate of Birth\nMother: Sita Devi", "पिता: रमन\nABCDE1234F", "", None], lambda c: page_text.page_reading(c, 26))
+    assert [r["document_type"] for r in out] == ["aadhaar", "passport", "birth_certificate", "pan", "unknown", "unknown"]
+    assert (out[0]["holder_name"], out[0]["dob"], out[0]["document_number"]) == ("Asha Devi", "12/08/97", "2345 6789 0123")
+    assert (out[1]["holder_name"], out[1]["dob"], out[1]["expiry_date"]) == ("ANNA MARIA ERIKSSON", "1974-08-12", "2012-04-15")
+    assert out[2]["mother_name"] == "Sita Devi" and out[3]["father_name"] == "रमन" and out[5]["holder_name"] is None
+
+
+def test_answers_are_salvaged(spark):
+    given = ['{"a": 1}', 'x ```json\n{"a": 1,}\n``` y', "{a: 1}", "“{”", "[1]", "", None, '{"a": [null, 2], "b": {"raw_value": " N/A "}, "c": false}', '{"a": "' + "x" * 50_000 + '"}']
+    df = spark.createDataFrame(list(enumerate(given)), "i int, x string").withColumn("a", responses.answer(F.col("x")))
+    value = lambda k: responses.plain(F.try_element_at("a.fields", F.lit(k)))
+    out = df.select("a.error", *[value(k).alias(k) for k in "abc"]).collect()
+    assert [r["error"] for r in out] == ["", "", "", "not_json", "not_an_object", "empty", "empty", "", ""]
+    assert [r["a"] for r in out[:3]] == ["1"] * 3 and (out[7]["a"], out[7]["b"], out[7]["c"]) == ("2", None, None) and len(out[8]["a"]) == 50_000
+    assert values(spark, ["PAN Card", "aadhaar|pan", "Driver's License", None, "EPIC"], responses.document_type) == ["pan", "unknown", "driving_licence", "unknown", "voter"]
+    assert values(spark, ["1" * 30, "<?xml x='y'?>", "<PrintLetterBarcodeData uid=\"1\"/>", "12", None], responses.code_payload)[:2] == [None, None]
+
+
+def test_readings_of_awkward_answers(spark):
+    rows = [(1, '{"Sex": null, "gender": "F", "name": "A"}'), (2, "nothing"), (3, '{"other": 1}'), (4, None)]
+    out = extraction.readings(spark.createDataFrame(rows, "doc_id int, response string")).collect()
+    assert {(r["doc_id"], r["field"], r["value"]) for r in out if r["value"]} == {(1, "gender", "F"), (1, "holder_name", "A")}
+    assert {r["doc_id"]: r["error"] for r in out} == {1: "", 2: "not_json", 3: "no_expected_field", 4: "empty"}
+
+
+def test_uploads_are_discovered(spark):
+    def archive(*entries):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, data in entries:
+                z.writestr(name, data)
+        return out.getvalue()
+
+    png, pdf = b"\x89PNG\r\n\x1a\n" + b"x" * 20, b"%PDF-1.7 "
+    rows = [(1, 0, "a", png), (1, 1, "z", archive(("p.png", png), ("q.pdf", pdf), ("r.txt", b"hello"))), (1, 2, "b", b""), (1, 3, "c", b"MZ"), (1, 4, "d", pdf), (1, 5, "e", png), (2, 0, "a", png), (2, 1, "n", None)]
+    df = spark.createDataFrame(rows, "upload_id long, ord long, name string, content binary")
+    out = uploads.discover(df, uploads.LIMITS | {"files": 6}, lambda data: [b"\xff\xd8\xff1", b"\xff\xd8\xff2"]).collect()
+    got = sorted((r["upload_id"], r["ord"], r["entry"], r["reason"]) for r in out)
+    assert got == [(1, 0, "", ""), (1, 1, "p.png", ""), (1, 1, "q.pdf#page=1", ""), (1, 1, "q.pdf#page=2", ""), (1, 1, "r.txt", ""), (1, 2, "", "empty_file"), (1, 3, "", "executable"), (1, 4, "d#page=1", ""), (1, 4, "d#page=2", "max_files"), (1, 5, "", "max_files"), (2, 0, "", ""), (2, 1, "", "empty_file")]
+
+
+def test_pages_of_two_people_stay_apart(spark):
+    page = lambda i, kind="aadhaar", role=None, number="", name="", path="", fields=None: (1, f"d{i}", i, kind, role, number, name, path, fields or {})
+    rows = [page(0, name="ASHA DEVI", fields={"dob": "x"}), page(1, name="DEVI ASHA", fields={"address": "y"}), page(2, name="RAM DEVI", fields={"address": "y"}), page(3, path="f.pdf#page=1", fields={"gender": "F"}), page(4, path="f.pdf#page=2", fields={"address": "z"}), page(5, "pan", number="A 1"), page(6, "pan", "back", number="a-1"), page(7, "pan", "back", number="A2"), page(8, role="front"), page(9, role="back")]
+    schema = "application_id long, document_id string, ord int, doc_type string, page_role string, document_number string, holder_name string, relative_path string, fields map<string,string>"
+    got = {r["document_id"]: (r["logical_id"], r["page_role"], r["signal"]) for r in pages.grouped(spark.createDataFrame(rows, schema)).collect()}
+    assert got["d0"] == ("d0", "front", "same_holder_name") and got["d1"] == ("d0", "back", "same_holder_name") and got["d2"][0] == "d2"
+    assert got["d3"] == ("d3", "front", "same_source_file") and got["d4"][0] == "d3" and got["d6"][0] == "d5" and got["d7"][0] == "d7" and got["d8"][0] == "d8" and got["d9"][0] == "d9"
+
+
 def test_archives():
     def archive(*entries):
         out = io.BytesIO()
@@ -159,6 +213,117 @@ def test_document_states_decide(spark):
     assert {"retake_required", "rejected_invalid_document", "extraction_failed"} < {r[0] for r in per.select("decision").distinct().collect()}
 
 
+def test_numbers_are_not_compared_and_pools_are(spark):
+    rows = [reading("document_number", 0, "ABCDE1234F", "pan"), reading("document_number", 1, "XYZ1234567", "voter"), reading("nationality", 0, "IN", "passport"), reading("age", 0, "30", "voter")]
+    rows += [reading("father_name", 0, "RAM DEVI", "pan"), reading("spouse_name", 1, "RAM DEVI", "voter"), reading("father_name", 1, "", "voter"), reading("spouse_name", 0, "NOBODY", "pan")]
+    rows += [reading("father_name", 2, "KARL", "birth_certificate", status="present_uncertain", raw="KARL")]
+    out = {r["field"]: r for r in reconcile.compare(spark.createDataFrame(rows, READING), evidence.registry(spark), 26).collect()}
+    assert set(out) == {"guardian_name"}
+    g = out["guardian_name"]
+    assert (g["value"], g["agreeing"], g["status"], g["unreadable"], g["severity"]) == ("RAM DEVI", "pan,voter", "agreement", "birth_certificate", "none")
+
+
+def test_holders_settle_soft_differences_only(spark):
+    rows = [reading("holder_name", i, v, k) for i, (v, k) in enumerate([("ASHA DEVI", "aadhaar"), ("ASHA DEVI", "pan"), ("ASHA DEWI", "voter"), ("ROBERT JONES", "passport")])]
+    df, reg = spark.createDataFrame(rows, READING), evidence.registry(spark)
+    said = spark.createDataFrame([(1, "holder_name", ["asha devi", "Asha Dewi", "Robert Jones"])], "application_id long, field string, values array<string>")
+    before, after = reconcile.compare(df, reg, 26).first(), reconcile.compare(df, reg, 26, said).first()
+    assert (before["n_agree"], before["confirmable"], before["n_dissent"], before["confirmed"]) == (2, 1, 1, 0)
+    assert (after["n_agree"], after["confirmable"], after["n_dissent"], after["confirmed"], after["corroboration"]) == (3, 0, 1, 1, 3)
+
+
+def test_holders_values_stay_unverified(spark):
+    rows = [reading("gender", 0, "F", "pan"), reading("dob", 0, None, "aadhaar", "user", "holder_asserted", "1990-01-02"), reading("dob", 1, "", "passport")]
+    out = reconcile.compare(spark.createDataFrame(rows, READING), evidence.registry(spark), 26)
+    got = {r["field"]: r for r in out.collect()}
+    assert (got["dob"]["status"], got["dob"]["asserted"], got["dob"]["holder"], got["gender"]["status"]) == ("not_extracted", "1990-01-02", True, "not_applicable")
+    made = records.consensus(out, 26).first()["fields"]
+    assert made["dob"]["verification"] == "unverified" and made["dob"]["value"] == "1990-01-02" and "gender" not in made
+
+
+def test_unknown_pages_may_carry_anything(spark):
+    rows = [reading("gender", 0, "F", "library_card"), reading("gender", 1, "F", "voter")]
+    assert reconcile.compare(spark.createDataFrame(rows, READING), evidence.registry(spark), 26).first()["n_agree"] == 2
+
+
+def slow_osa(a, b):
+    if not a or not b:
+        return len(a) + len(b)
+    best = min(slow_osa(a[1:], b) + 1, slow_osa(a, b[1:]) + 1, slow_osa(a[1:], b[1:]) + (a[0] != b[0]))
+    if len(a) > 1 and len(b) > 1 and a[0] == b[1] and a[1] == b[0]:
+        best = min(best, slow_osa(a[2:], b[2:]) + 1)
+    return best
+
+
+def slow_jaro_winkler(a, b):
+    if a == b:
+        return 1.0
+    reach, used, mine = max(0, max(len(a), len(b)) // 2 - 1), set(), []
+    for i, x in enumerate(a):
+        j = next((j for j in range(max(0, i - reach), min(len(b), i + reach + 1)) if j not in used and b[j] == x), None)
+        if j is not None:
+            used.add(j)
+            mine.append(x)
+    if not mine:
+        return 0.0
+    m, other = len(mine), [b[j] for j in sorted(used)]
+    jaro = (m / len(a) + m / len(b) + (m - sum(x != y for x, y in zip(mine, other)) / 2) / m) / 3
+    prefix = next((i for i in range(4) if i >= min(len(a), len(b)) or a[i] != b[i]), 4)
+    return jaro + prefix * 0.1 * (1 - jaro)
+
+
+def test_string_measures_are_their_definitions():
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = ("".join(rng.choices("ABC", k=rng.randrange(1, 7))) for _ in range(2))
+        assert alignment.osa(a, b) == slow_osa(a, b) and alignment.jaro_winkler(a, b) == pytest.approx(slow_jaro_winkler(a, b)), (a, b)
+
+
+NAME_CASES = [
+    ("", "", "needs_confirmation"), ("Mr. Asha Devi", "ASHA  DEVI", "identical"), ("MD SAKIR", "MOHAMMED SAKIR", "safe_variant"), ("ASHA D", "ASHA DEVI", "needs_confirmation"), ("ASHA DEVI", "ASHA", "needs_confirmation"),
+    ("ASHA DEVI KUMARI", "ASHA DEVI", "identical"), ("K M SAKIR", "SAKIR K M", "safe_variant"), ("SITA RAM", "SITARAM", "safe_variant"), ("ASHA DEVI", "USHA DEVI", "needs_confirmation"), ("RED ROD", "ROX RED", "different"), ("ASHA DEVI", "JOHN SMITH", "different"), ("A", "A", "identical"),
+]
+
+
+@pytest.mark.parametrize(("a", "b", "verdict"), NAME_CASES)
+def test_name_verdicts(a, b, verdict):
+    assert alignment.compare_names(a, b)[0] == alignment.compare_names(b, a)[0] == verdict
+
+
+def test_stores(spark, tmp_path):
+    path = str(tmp_path / "parts")
+    spark.createDataFrame([(1, "a"), (2, "b")], "app int, v string").write.partitionBy("app").parquet(path)
+    rel.replace_partitions(spark.createDataFrame([(2, "c"), (2, "d")], "app int, v string"), path, "app")
+    assert sorted(map(tuple, spark.read.parquet(path).select("app", "v").collect())) == [(1, "a"), (2, "c"), (2, "d")]
+    docs = spark.createDataFrame([(1, "d1"), (2, "d2")], "application_id int, document_id string")
+    owned, rejected = intake.resolve(spark.createDataFrame([(1, "d1"), (1, "d1"), (1, "d2")], "application_id int, document_id string"), docs)
+    assert [tuple(r) for r in owned.collect()] == [(1, "d1")] and [tuple(r) for r in rejected.collect()] == [(1, "d2")]
+    two = spark.createDataFrame([("n", "pan", "g1")], "number string, doc_type string, gid string")
+    issued = spark.createDataFrame([(1, "g2", True), (2, "g3", False)], "application_id int, gid string, issued boolean")
+    cards = spark.createDataFrame([(1, "n", "pan"), (1, "n", "voter"), (1, "", "pan"), (2, "m", "pan")], "application_id int, number string, doc_type string")
+    assert sorted(map(tuple, records.links(issued, cards, two).collect())) == [("n", "pan", "g1"), ("n", "voter", "g2")]
+    rates = spark.createDataFrame([(0.2, 0.5, 0.0), (0.4, 0.2, 0.1), (0.6, 0.0, 0.4)], "threshold double, far double, frr double")
+    assert faces.equal_error(rates).first()[0] == 0.4
+    assert values(spark, ["\ufb01", None], fields.nfkc) == ["fi", None]
+
+
+def test_streams(spark, tmp_path):
+    rows = [(1, i, 1_700_000_000 + t) for i, t in enumerate([0, 5, 10, 4_000, 4_001, 8_000])]
+    schema = "key long, event_id long, at long"
+    for n, part in enumerate((rows[:3], rows[3:5], rows[5:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in" / str(n)))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    q = limits.limited_stream(stream, 2, 3_600).writeStream.format("memory").queryName("paused").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(90)
+    q.stop()
+    assert [r["allowed"] for r in spark.table("paused").orderBy("event_id").collect()] == [True, True, False, True, True, True]
+    twice = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in")).withColumn("time", F.timestamp_seconds("at")).withColumn("key", F.col("event_id") % 2)
+    q = limits.once(twice, "key", "time", "1 day").writeStream.format("memory").queryName("once").outputMode("append").option("checkpointLocation", str(tmp_path / "d")).trigger(availableNow=True).start()
+    q.awaitTermination(90)
+    q.stop()
+    assert spark.table("once").count() == 2
+
+
 def test_signature_and_json(spark):
     assert records.canonical_json({"a": [3, {"d": 1, "c": 2}]}) == '{"a":[3,{"c":2,"d":1}]}'
     s = records.Signer(spark)
@@ -169,7 +334,7 @@ def test_signature_and_json(spark):
 def test_limiter(spark, tmp_path):
     done, start, used = limits.take([0, 1, 2, 59, 60, 61], None, 0, 2, 60)
     assert [d[0] for d in done] == [True, True, False, False, True, True] and (start, used) == (60, 2)
-    rows = [(1, i, t) for i, t in enumerate([0, 1, 2, 59, 60, 61])] + [(2, 10, 5)]
+    rows = [(1, i, 1_700_000_000 + t) for i, t in enumerate([0, 1, 2, 59, 60, 61])] + [(2, 10, 1_700_000_005)]
     df = spark.createDataFrame(rows, "key long, event_id long, at long")
     batch = {(r["event_id"], r["allowed"], r["remaining"]) for r in limits.limited(df, 2, 60).collect()}
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
