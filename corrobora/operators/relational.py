@@ -16,6 +16,29 @@ def latest(df: DataFrame, keys: list[str], *order: Column, k: int = 1) -> DataFr
     return df.withColumn("__rank", rank).where(F.col("__rank") <= k).drop("__rank")
 
 
+def best(df: DataFrame, keys: list[str], column: str, *by: Column) -> DataFrame:
+    """``column`` of the row of each key that is greatest by ``by``: an aggregate, so nothing is sorted and partial results are small."""
+    return df.groupBy(*keys).agg(F.max_by(column, F.struct(*by)).alias(column))
+
+
+def margin(df: DataFrame, key: str, label: str, score: str) -> DataFrame:
+    """(key, label, margin): the label with the highest score of each key (ties: the smaller) and what it is ahead of the next, or of nothing."""
+    ranked = F.slice(F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("s"), F.col(label).alias("l")))), 1, 2)
+    top = df.groupBy(key).agg(ranked.alias("r"))
+    return top.select(key, F.col("r")[0]["l"].alias(label), (F.coalesce(F.get("r", F.lit(1))["s"], F.lit(0)) - F.col("r")[0]["s"]).cast("long").alias("margin"))
+
+
+def weighted_mode(df: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
+    """The value with the greatest sum of weights of each key (ties, to six places: the smaller)."""
+    sums = df.groupBy(*keys, value).agg(F.round(F.sum(weight), 6).alias("__w"))
+    return sums.groupBy(*keys).agg(F.min_by(value, F.struct(-F.col("__w"), F.col(value))).alias(value))
+
+
+def with_default(left: DataFrame, right: DataFrame, key: str, column: str, default: Column) -> DataFrame:
+    """``left`` with a column of ``right``, and ``default`` where ``right`` has no row or no value."""
+    return left.join(right.select(key, F.col(column).alias("__v")), key, "left").withColumn(column, F.coalesce("__v", default)).drop("__v")
+
+
 def first_in_batch(df: DataFrame, key: str, *order: Column) -> DataFrame:
     """Every row with ``route``: fresh for the first of its key, duplicate_in_upload for the rest."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))

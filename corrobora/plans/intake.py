@@ -119,3 +119,9 @@ def hydrated(states: DataFrame, corrections: DataFrame) -> DataFrame:
 def corrections_map(corrections: DataFrame) -> DataFrame:
     """(document_id, corrections map): the few corrections of each document; one for each field."""
     return corrections.groupBy("document_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value")))).alias("corrections"))
+
+
+def status_label(status: Column) -> Column:
+    """What a person is shown for a document's status; anything that is not final is at work."""
+    names = {"ready": "Ready", "unreadable": "Could not be read", "retake_required": "Needs a new photo", "rejected_file": "Rejected", "removed_by_user": "Removed"}
+    return F.coalesce(*[F.when(status == k, F.lit(v)) for k, v in names.items()], F.lit("Working"))

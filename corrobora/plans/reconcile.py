@@ -33,14 +33,16 @@ def keyed(readings: DataFrame, pivot: int) -> DataFrame:
     v, f = F.col("value"), F.col("field")
     both = lambda key, display: F.struct(key.alias("key"), display.alias("display"))
     other = F.upper(F.regexp_replace(F.trim(blank(v)), r"\s+", " "))
+    is_date = (f == "dob") | f.endswith("date")
+    readings = readings.withColumn("__tidy", F.when(is_date, fields.tidy_date(v))).withColumn("__iso", F.when(is_date, fields.iso_date(F.col("__tidy"), pivot)))
     told = (
-        F.when(f.endswith("name"), let(fields.name(v), lambda n: both(n["sorted"], n["ordered"])))
-        .when((f == "dob") | f.endswith("date"), let(fields.date(v, pivot)["iso"], lambda d: both(F.coalesce(d, F.lit("")), F.coalesce(d, F.trim(blank(v))))))
+        F.when(f.endswith("name"), let(fields.name_tokens(v), lambda w: both(F.array_join(F.array_sort(w), " "), F.array_join(w, " "))))
+        .when(is_date, both(F.coalesce("__iso", F.lit("")), F.coalesce("__iso", F.trim(blank(v)))))
         .when(f == "gender", let(fields.gender(v), lambda g: both(g, g)))
-        .when(f == "address", let(fields.address(v)["text"], lambda a: both(a, a)))
+        .when(f == "address", let(fields.spelt_out(fields.tidy_address(v)), lambda a: both(a, a)))
         .otherwise(both(other, F.trim(blank(v))))
     )
-    return readings.withColumn("__k", told).withColumn("key", F.col("__k.key")).withColumn("display", F.col("__k.display")).drop("__k")
+    return readings.withColumn("__k", told).withColumn("key", F.col("__k.key")).withColumn("display", F.col("__k.display")).drop("__k", "__tidy", "__iso")
 
 
 def pooled(readings: DataFrame, registry: DataFrame) -> DataFrame:
@@ -194,6 +196,25 @@ def compare(readings: DataFrame, registry: DataFrame, pivot: int, confirmations:
     return per.select("application_id", "field", *[made[c].cast(kinds[c]).alias(c) for c in NAMES if c != "field"])
 
 
+def severity_rank(severity: Column) -> Column:
+    return F.create_map(*[F.lit(v) for i, s in enumerate(C.SEVERITIES) for v in (s, i)])[severity]
+
+
+def worst(rank: Column) -> Column:
+    """The severity of a rank, info at least; the greatest rank of a group says how bad it is."""
+    return F.element_at(F.array(*map(F.lit, C.SEVERITIES)), F.greatest(rank, F.lit(1)) + 1)
+
+
+def corroboration(source: Column, logical_id: Column) -> Column:
+    """An aggregate: documents that back a value, each card once, and nothing that its holder typed."""
+    return F.count_distinct(F.when(~source.isin(*C.HOLDER_SOURCES), logical_id))
+
+
+def share(agrees: Column, weight_: Column) -> Column:
+    """An aggregate: the weight of the readings that agree, of all."""
+    return F.round(F.sum(F.when(agrees, weight_).otherwise(0.0)) / F.sum(weight_), 4)
+
+
 def decide(clusters: DataFrame, integrity: DataFrame | None = None, documents: DataFrame | None = None) -> DataFrame:
     """One decision for each application, by the first rule that applies.
 
@@ -205,9 +226,8 @@ def decide(clusters: DataFrame, integrity: DataFrame | None = None, documents: D
     ask = is_("field", *C.IDENTITY_FIELDS) & (F.col("corroboration") >= 1) & (F.col("n_dissent") == 0) & (F.col("confirmable") > 0)
     lacking = is_("field", *C.REQUIRED_FIELDS) & (F.col("status") == "not_extracted") & ~F.col("holder")
     n = lambda c: F.sum(c.cast("int"))
-    rank = F.create_map(*[F.lit(v) for i, s in enumerate(C.SEVERITIES) for v in (s, i)])
     valued = F.col("value") != ""
-    per = clusters.groupBy("application_id").agg(n(conflict).alias("conflicts"), n(ask).alias("asks"), n(lacking).alias("lacking"), F.coalesce(F.max(F.when(is_("field", "holder_name"), F.col("support"))), F.lit(0)).alias("name_support"), n(valued & (F.col("corroboration") >= 2)).alias("multi"), n(valued & (F.col("corroboration") <= 1)).alias("single"), n(F.col("holder")).alias("holders"), F.max(rank[F.col("severity")]).alias("severity_rank"))
+    per = clusters.groupBy("application_id").agg(n(conflict).alias("conflicts"), n(ask).alias("asks"), n(lacking).alias("lacking"), F.coalesce(F.max(F.when(is_("field", "holder_name"), F.col("support"))), F.lit(0)).alias("name_support"), n(valued & (F.col("corroboration") >= 2)).alias("multi"), n(valued & (F.col("corroboration") <= 1)).alias("single"), n(F.col("holder")).alias("holders"), F.max(severity_rank(F.col("severity"))).alias("severity_rank"))
     per = per.select("*", *[F.lit(None).cast("boolean").alias(c) for c in ("failed", "ready", "retake", "rejected")])
     if integrity is not None:
         per = per.unionByName(integrity.select("application_id", F.lit(True).alias("failed")).distinct(), allowMissingColumns=True)
@@ -229,7 +249,7 @@ def decide(clusters: DataFrame, integrity: DataFrame | None = None, documents: D
         .when(F.col("multi") >= 2, F.lit("verified_with_partial_overlap"))
         .otherwise(F.lit("verified_no_conflict"))
     )
-    severity = F.element_at(F.array(*map(F.lit, C.SEVERITIES)), F.greatest("severity_rank", F.lit(1)) + 1)
+    severity = worst(F.col("severity_rank"))
     return per.select("application_id", decision.alias("decision"), decision.isin(*C.ISSUABLE).alias("issuable"), decision.isin("blocked_security_integrity", "suspected_cross_identity", "document_conflict").alias("needs_review"), severity.alias("severity"))
 
 
@@ -275,9 +295,10 @@ def face_field(pairs: DataFrame, group: str) -> DataFrame:
 def consensus_by_key(readings: DataFrame) -> DataFrame:
     """Fields whose values merge only when equal (dates, genders, numbers): consensus in built-in aggregates alone.
 
-    ``readings``: (application_id, logical_id, ord, key, weight, source) of present values.
+    ``readings``: (application_id, logical_id, ord, key, weight, source) of present values; those without a key are left out.
     """
-    per = readings.groupBy("application_id", "key").agg(F.sum("weight").alias("w"), F.max("weight").alias("top"), F.count("*").alias("n"), F.countDistinct(F.when(~F.col("source").isin(*C.HOLDER_SOURCES), F.col("logical_id"))).alias("corroboration"))
+    per = readings.groupBy("application_id", "key").agg(F.sum("weight").alias("w"), F.max("weight").alias("top"), F.count("*").alias("n"), corroboration(F.col("source"), F.col("logical_id")).alias("corroboration"), F.count("key").alias("known"))
+    per = per.where("known > 0")  # not a condition on the key, which Spark would compute once more below
     every = Window.partitionBy("application_id")
     order = every.orderBy((F.col("top") >= C.STRONG).desc(), F.round("w", 6).desc(), F.desc("n"), "key")
     ranked = per.select("*", F.row_number().over(order).alias("r"), F.sum("w").over(every).alias("all_w"), F.sum("n").over(every).alias("all_n"))

@@ -62,7 +62,7 @@ DOCUMENTS_SQL = """
 
 def dob_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: the birth date that the documents of each application agree on, read from five printed forms."""
-    docs = documents(spark, sf_dir).withColumn("key", fields.date(F.col("printed"), PIVOT)["iso"]).where("key IS NOT NULL")
+    docs = documents(spark, sf_dir).withColumn("tidy", fields.tidy_date(F.col("printed"))).withColumn("key", fields.iso_date(F.col("tidy"), PIVOT))
     carried = F.broadcast(evidence.registry(spark).where("field = 'dob' AND page_role = 'front' AND carries <> 'no'").select("doc_type"))
     readings = docs.join(carried, "doc_type", "left_semi").select("application_id", F.col("ord").alias("logical_id"), "ord", "key", reconcile.weight(F.col("source")).alias("weight"), "source")
     return reconcile.consensus_by_key(readings)
@@ -136,7 +136,7 @@ def scan_filter_project(spark, d):
 
 @query("SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM orders GROUP BY o_custkey")
 def latest_per_key(spark, d):
-    return t(spark, d, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("o_orderkey"))
+    return rel.best(t(spark, d, "orders"), ["o_custkey"], "o_orderkey", F.col("o_orderdate"), F.col("o_orderkey"))
 
 
 @query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END, o_orderdate DESC, o_orderkey) AS r FROM orders) WHERE r = 1")
@@ -152,9 +152,7 @@ def first_in_batch(spark, d):
 
 @query("WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS r, lead(n) OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS next FROM c) SELECT user_id, event_type, CAST(n - coalesce(next, 0) AS BIGINT) AS margin FROM r WHERE r = 1")
 def top2_margin(spark, d):
-    c = t(spark, d, "events").groupBy("user_id", "event_type").count()
-    ranked = F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("s"), "event_type")))
-    return c.groupBy("user_id").agg(ranked.alias("r")).select("user_id", F.col("r")[0]["event_type"].alias("event_type"), (F.coalesce(F.get("r", F.lit(1))["s"], F.lit(0)) - F.col("r")[0]["s"]).cast("long").alias("margin"))
+    return rel.margin(t(spark, d, "events").groupBy("user_id", "event_type").count(), "user_id", "event_type", "count")
 
 
 @query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= 3")
@@ -164,7 +162,7 @@ def topk_per_group(spark, d):
 
 @query("SELECT lang, arg_max(doc_id, (length(text), -doc_id)) AS doc_id FROM documents GROUP BY lang")
 def argmax(spark, d):
-    return t(spark, d, "documents").groupBy("lang").agg(F.max_by("doc_id", F.struct(F.length("text"), -F.col("doc_id"))).alias("doc_id"))
+    return rel.best(t(spark, d, "documents"), ["lang"], "doc_id", F.length("text"), -F.col("doc_id"))
 
 
 @query("""
@@ -207,7 +205,7 @@ def ownership_anti(spark, d):
 
 @query("SELECT d.doc_id, coalesce(l.quality, -1) AS quality FROM documents d LEFT JOIN labels l USING (doc_id)")
 def left_default(spark, d):
-    return t(spark, d, "documents").select("doc_id").join(t(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"))
+    return rel.with_default(t(spark, d, "documents").select("doc_id"), t(spark, d, "labels"), "doc_id", "quality", F.lit(-1))
 
 
 @query("SELECT l.l_orderkey, CAST(count(*) AS BIGINT) AS n FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey AND o.o_orderstatus <> 'F' GROUP BY 1")
@@ -282,24 +280,24 @@ def get_or_create(spark, d):
 
 @query("WITH s AS (SELECT user_id, event_type, round(sum(value), 6) AS w FROM events GROUP BY 1, 2) SELECT user_id, event_type AS spelling FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY w DESC, event_type) AS r FROM s) WHERE r = 1")
 def weighted_mode(spark, d):
-    s = t(spark, d, "events").groupBy("user_id", "event_type").agg(F.round(F.sum("value"), 6).alias("w"))
-    return s.groupBy("user_id").agg(F.min_by("event_type", F.struct(-F.col("w"), F.col("event_type"))).alias("spelling"))
+    return rel.weighted_mode(t(spark, d, "events").withColumnRenamed("event_type", "spelling"), ["user_id"], "spelling", "value")
 
 
 @query("SELECT l_orderkey, CAST(count(DISTINCT CASE WHEN l_returnflag <> 'N' THEN l_suppkey END) AS BIGINT) AS corroboration FROM lineitem GROUP BY 1")
 def corroboration(spark, d):
-    return t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count_distinct(F.when(F.col("l_returnflag") != "N", F.col("l_suppkey"))).alias("corroboration"))
+    source = F.when(F.col("l_returnflag") == "N", F.lit("user_correction")).otherwise(F.lit("vision"))
+    return t(spark, d, "lineitem").groupBy("l_orderkey").agg(reconcile.corroboration(source, F.col("l_suppkey")).alias("corroboration"))
 
 
 @query("SELECT l_orderkey, round(sum(CASE WHEN l_linestatus = 'F' THEN l_quantity ELSE 0 END) / sum(l_quantity), 4) AS ratio FROM lineitem GROUP BY 1")
 def confidence_ratio(spark, d):
-    return t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.round(F.sum(F.when(F.col("l_linestatus") == "F", F.col("l_quantity")).otherwise(0.0)) / F.sum("l_quantity"), 4).alias("ratio"))
+    return t(spark, d, "lineitem").groupBy("l_orderkey").agg(reconcile.share(F.col("l_linestatus") == "F", F.col("l_quantity")).alias("ratio"))
 
 
 @query("SELECT l_orderkey, CASE max(CASE l_returnflag WHEN 'R' THEN 4 WHEN 'A' THEN 3 ELSE 1 END) WHEN 4 THEN 'reject' WHEN 3 THEN 'needs_confirmation' ELSE 'info' END AS severity FROM lineitem GROUP BY 1")
 def worst_severity(spark, d):
-    rank = F.max(F.when(F.col("l_returnflag") == "R", 4).when(F.col("l_returnflag") == "A", 3).otherwise(1))
-    return t(spark, d, "lineitem").groupBy("l_orderkey").agg(pick(C.SEVERITIES, rank).alias("severity"))
+    severity = F.when(F.col("l_returnflag") == "R", F.lit("reject")).when(F.col("l_returnflag") == "A", F.lit("needs_confirmation")).otherwise(F.lit("none"))
+    return t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max(reconcile.severity_rank(severity)).alias("rank")).select("l_orderkey", reconcile.worst(F.col("rank")).alias("severity"))
 
 
 # --- text

@@ -17,7 +17,7 @@ from corrobora.operators import faces as face_ops
 from corrobora.operators import relational as rel
 from corrobora.plans import evidence, extraction, intake, pages, reconcile, records
 from corrobora.queries import LINE_ORDER, PIVOT, query, t
-from corrobora.sources import page_text, uploads
+from corrobora.sources import page_text, readers, uploads
 
 
 def cases(at: Column, *values) -> Column:
@@ -108,6 +108,39 @@ def labelled_values(spark, d):
     return t(spark, d, "part").select("p_partkey", page_text.labelled(page, [r"\bname\b(?! of father)"]).alias("holder_name"), father.alias("father_name"))
 
 
+@query("""
+    SELECT c_custkey AS doc_id, CAST(CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 2 END AS INTEGER) AS symbol, c_name AS name FROM customer WHERE c_custkey % 4 <> 3 AND c_custkey % 3 <> 2""")
+def card_codes(spark, d):
+    k = F.col("c_custkey")
+    xml = F.concat(F.lit('<PrintLetterBarcodeData name="'), "c_name", F.lit('"/>'))
+    row = lambda n, kind, x: F.struct(F.lit(n).alias("symbol"), kind.alias("format"), x.alias("payload"))
+    none, qr = F.lit("x"), F.when(k % 4 == 3, F.lit("PDF417")).otherwise(F.lit("QRCode"))
+    symbols = F.array(row(0, F.lit("Code128"), xml), row(1, qr, F.when(k % 3 == 0, xml).otherwise(none)), row(2, qr, F.when(k % 3 != 2, xml).otherwise(none)), row(3, F.lit("Aztec"), xml), row(4, F.lit("QRCode"), xml))
+    codes = t(spark, d, "customer").select(k.alias("doc_id"), F.explode(symbols).alias("s")).select("doc_id", "s.*")
+    return readers.card_code(codes).select("doc_id", "symbol", "name")
+
+
+@query("SELECT event_id AS doc_id, CASE WHEN event_id % 3 = 0 THEN 'a' ELSE 'b' END AS variant, CASE WHEN event_id % 3 = 0 THEN '  x  y ' ELSE event_type END AS text FROM events")
+def richest_texts(spark, d):
+    e = events(spark, d)
+    texts = e.select(F.col("event_id").alias("doc_id"), F.lit("a").alias("variant"), F.lit("  x  y ").alias("text")).unionByName(e.select(F.col("event_id").alias("doc_id"), F.lit("b").alias("variant"), F.when(F.col("event_id") % 3 == 0, F.lit("z w")).otherwise(F.col("event_type")).alias("text")))
+    return readers.richest(texts)
+
+
+@query("SELECT event_id AS doc_id, CASE WHEN event_id % 2 = 0 THEN event_type END AS response, CASE WHEN event_id % 2 = 0 THEN '' ELSE 'timeout' END AS error FROM events")
+def model_replies(spark, d):
+    k = F.col("event_id")
+    payload = F.concat(F.lit('{"result": {"response": "'), "event_type", F.lit('"}}'))
+    replies = events(spark, d).select(k.alias("doc_id"), F.lit("llama-vision").alias("model"), payload.alias("payload"), F.when(k % 2 == 1, F.lit("timeout")).alias("error"))
+    return readers.answers(replies).select("doc_id", "response", "error")
+
+
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN 'Ready' WHEN 'view' THEN 'Removed' WHEN 'purchase' THEN 'Needs a new photo' ELSE 'Working' END AS label FROM events")
+def status_labels(spark, d):
+    status = F.when(F.col("event_type") == "click", F.lit("ready")).when(F.col("event_type") == "view", F.lit("removed_by_user")).when(F.col("event_type") == "purchase", F.lit("retake_required")).otherwise(F.lit("pending"))
+    return events(spark, d).select("event_id", intake.status_label(status).alias("label"))
+
+
 # --- gates
 
 _KINDS, _FIELDS = ["pan", "aadhaar", "voter", "unknown"], ["gender", "father_name", "holder_name", "document_number", "mother_name"]

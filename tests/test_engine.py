@@ -1,23 +1,28 @@
 """Goldens of functions, rules and stores; every query with SQL is held against DuckDB at the smallest scale."""
 
 import io
+import os
 import random
 import re
+import subprocess
+import sys
 import zipfile
+from pathlib import Path
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from corrobora import queries
+from corrobora import queries, settings
 from corrobora.functions import alignment, fields, numbers, responses, text
 from corrobora.operators import faces
 from corrobora.operators import relational as rel
 from corrobora.plans import evidence, extraction, intake, pages, reconcile, records
-from corrobora.sources import page_text, uploads
+from corrobora.sources import page_text, readers, uploads
 from corrobora.streaming import limits
 
 SF = "/root/testdata/sf0.001"
+ROOT = Path(__file__).resolve().parents[1]
 
 
 def values(spark, rows, make):
@@ -324,6 +329,28 @@ def test_streams(spark, tmp_path):
     assert spark.table("once").count() == 2
 
 
+def test_the_package_reaches_the_workers(tmp_path):
+    """A driver that alone knows where the package lies: its workers get it from the session."""
+    code = f"import sys; sys.path.insert(0, {str(ROOT)!r}); from pyspark.sql import SparkSession; from corrobora import queries; s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate(); print('rows', queries.name_comparisons(s, {SF!r}).where('osa >= 0').count())"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
+    assert "rows 199" in out.stdout, out.stderr[-2000:]
+
+
+def test_settings(tmp_path):
+    (tmp_path / ".env").write_text("\ufeff# note\nA=1\nexport B = 'x y'\nC=\nissuance_enabled=no\nbad line\nD=\"q\n", encoding="utf-8")
+    assert settings.load(str(tmp_path / ".env"), {"A": "0"}) == {"A": "0", "B": "x y", "C": "", "issuance_enabled": "no", "D": '"q'}
+    assert settings.load(str(tmp_path / "none"), {}) == {}
+    assert settings.switch("BULK_UPLOAD", {}) and not settings.switch("ISSUANCE_ENABLED", {}) and settings.switch("ISSUANCE_ENABLED", {"ISSUANCE_ENABLED": " Yes"}) and not settings.switch("BULK_UPLOAD", {"BULK_UPLOAD": "0"})
+
+
+def test_contracts_are_held(spark):
+    with pytest.raises(ValueError, match="ocr_texts lacks text, variant"):
+        readers.handed_over(spark.range(1).withColumnRenamed("id", "doc_id"), "ocr_texts")
+    got = readers.handed_over(spark.createDataFrame([("x", 1, "t", "v")], "more string, doc_id int, text string, variant string"), "ocr_texts")
+    assert got.dtypes == [("doc_id", "bigint"), ("variant", "string"), ("text", "string"), ("more", "string")]
+
+
 def test_signature_and_json(spark):
     assert records.canonical_json({"a": [3, {"d": 1, "c": 2}]}) == '{"a":[3,{"c":2,"d":1}]}'
     s = records.Signer(spark)
