@@ -45,13 +45,16 @@ DICTIONARY = ("about after all and back base before between build case check cla
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
-def transitions(words: list[str]) -> list[float]:
-    """How much likelier than by chance each letter comes after each other one in ``words``: log2, smoothed, 26 rows of 26."""
+def transitions(words: list[str]) -> str:
+    """How much likelier than by chance each letter comes after each other one in ``words``: log2, smoothed, 26 rows of 26 in
+    steps of 1/10, as characters from STEP on."""
     seen = Counter(w[i : i + 2] for w in words for i in range(len(w) - 1))
     first = Counter(p[0] for p in seen.elements())
-    return [log2(26 * (seen[a + b] + 0.2) / (first[a] + 5.2)) for a in LETTERS for b in LETTERS]
+    return "".join(chr(STEP + round(10 * log2(26 * (seen[a + b] + 0.2) / (first[a] + 5.2)))) for a in LETTERS for b in LETTERS)
 
 
+#: The character that stands for 0; all of the table is ASCII.
+STEP = 80
 TRANSITIONS = transitions(DICTIONARY)
 
 #: Characters of context on either side; trees and depth of the forest; the score from which a candidate is a secret.
@@ -67,8 +70,8 @@ def features(candidate: Column, before: Column, after: Column, path: Column) ->
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     low = F.lower(candidate)
     covered = lambda words: (n - F.length(F.regexp_replace(low, "|".join(words), ""))) / n
-    table, code = F.array(*map(F.lit, TRANSITIONS)), F.transform(F.split(F.regexp_replace(low, "[^a-z]+", " "), ""), lambda x: F.ascii(x) - 97)
-    follows = F.transform(F.slice(code, 2, F.greatest(F.size(code) - 1, F.lit(0))), lambda y, i: F.when((code[i] >= 0) & (y >= 0), F.element_at(table, (26 * code[i] + y + 1).cast("int"))))
+    code = F.transform(F.split(F.regexp_replace(low, "[^a-z]+", " "), ""), lambda x: F.ascii(x) - 97)
+    follows = F.transform(F.slice(code, 2, F.greatest(F.size(code) - 1, F.lit(0))), lambda y, i: F.when((code[i] >= 0) & (y >= 0), (F.ascii(F.substr(F.lit(TRANSITIONS), 26 * code[i] + y + 1, F.lit(1))) - STEP) / 10))
     pairs = F.filter(follows, lambda x: x.isNotNull())
     likely = F.when(F.size(pairs) == 0, F.lit(-2.0)).otherwise(F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x) / F.size(pairs))
     return [
@@ -176,8 +179,10 @@ def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH) -> Forest
     """A forest from labelled findings (candidate, before, after, path, label 0 or 1); null strings count as empty."""
     text = [F.coalesce(F.col(c), F.lit("")) for c in ("candidate", "before", "after", "path")]
     rows = findings.where("label IS NOT NULL").select(*[c.alias(n) for c, n in zip(features(*text), FEATURES, strict=True)], F.col("label").cast("double").alias("label"))
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows).select("features", "label")
+    # Kept while the forest grows, which reads its rows many times; a lost part is made again.
+    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows).select("features", "label").persist()
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=17, featureSubsetStrategy="sqrt").fit(rows)
+    rows.unpersist()
     return Forest([compile_tree(t.toDebugString) for t in model.trees])
 
 
