@@ -34,7 +34,7 @@ def keyed(readings: DataFrame, pivot: int) -> DataFrame:
     both = lambda key, display: F.struct(key.alias("key"), display.alias("display"))
     other = F.upper(F.regexp_replace(F.trim(blank(v)), r"\s+", " "))
     is_date = (f == "dob") | f.endswith("date")
-    readings = readings.withColumn("__tidy", F.when(is_date, fields.tidy_date(v))).withColumn("__iso", F.when(is_date, fields.iso_date(F.col("__tidy"), pivot)))
+    readings = readings.withColumn("__parts", F.when(is_date, fields.date_parts(fields.tidy_date(v)))).withColumn("__iso", fields.iso_of(F.col("__parts"), pivot))
     told = (
         F.when(f.endswith("name"), let(fields.name_tokens(v), lambda w: both(F.array_join(F.array_sort(w), " "), F.array_join(w, " "))))
         .when(is_date, both(F.coalesce("__iso", F.lit("")), F.coalesce("__iso", F.trim(blank(v)))))
@@ -42,7 +42,7 @@ def keyed(readings: DataFrame, pivot: int) -> DataFrame:
         .when(f == "address", let(fields.spelt_out(fields.tidy_address(v)), lambda a: both(a, a)))
         .otherwise(both(other, F.trim(blank(v))))
     )
-    return readings.withColumn("__k", told).withColumn("key", F.col("__k.key")).withColumn("display", F.col("__k.display")).drop("__k", "__tidy", "__iso")
+    return readings.withColumn("__k", told).withColumn("key", F.col("__k.key")).withColumn("display", F.col("__k.display")).drop("__k", "__parts", "__iso")
 
 
 def pooled(readings: DataFrame, registry: DataFrame) -> DataFrame:
@@ -53,7 +53,8 @@ def pooled(readings: DataFrame, registry: DataFrame) -> DataFrame:
     none, so that the document abstains.
     """
     pool = {m: g for g, members in C.GROUPS.items() for m in members}
-    rows = readings.where(F.col("field").isin(*C.COMPARED))
+    # Dealt once, so that both kinds of fields read one exchange and nothing before it is done twice.
+    rows = readings.where(F.col("field").isin(*C.COMPARED)).repartition("application_id")
     alone = rows.where(~F.col("field").isin(*pool))
     own = F.broadcast(registry.where(F.col("field").isin(*pool)).select("doc_type", "page_role", "field", F.col("carries").alias("__carries")))
     many = rows.where(F.col("field").isin(*pool)).join(own, ["doc_type", "page_role", "field"], "left")
@@ -109,8 +110,8 @@ def two_places(x: float) -> float:
 
 
 def cluster(field: str, rows: list[dict], settled: list[list[str]]) -> tuple:
-    """The columns of CLUSTER but the lists of abstentions, for readings in document order of which two differ at least."""
-    present = [r for r in rows if r["bucket"] == "present"]
+    """The columns of MERGED, for the present readings of a field of which two differ at least."""
+    present = sorted(rows, key=lambda r: (r["ord"], r["document_id"]))
     severity = C.SEVERITY.get(field, "warn")
     groups: list[list[dict]] = []
     for r in present:
@@ -162,36 +163,35 @@ def compare(readings: DataFrame, registry: DataFrame, pivot: int, confirmations:
 
     ``confirmations`` (application_id, field, values): values that the holder said to be one; they settle differences that
     may be asked about, never others. Readings of a field meet in one exchange. Where all that was read is one value,
-    built-in functions say the rest; only fields with two values at least go to Python, which compares spellings.
+    built-in aggregates say the rest; only fields with two spellings at least go to Python, which compares them.
     """
-    rows = gated(keyed(pooled(readings, registry), pivot), registry)
-    row = F.struct("ord", "document_id", "logical_id", "doc_type", "source", "status", "key", "display", "bucket", weight(F.col("source")).alias("weight"), "raw_value")
-    per = rows.groupBy("application_id", "field").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    rows = gated(keyed(pooled(readings, registry), pivot), registry).withColumn("weight", weight(F.col("source")))
+    there, status = F.col("bucket") == "present", F.col("status")
+    own = lambda c: F.when(there, F.col(c))
+    types = lambda b: F.array_join(F.array_sort(F.collect_list(F.when(F.col("bucket") == b, F.col("doc_type")))), ",")
+    said = (F.col("bucket") == "abstained") & (status == "holder_asserted") & F.col("raw_value").isNotNull()
+    per = rows.groupBy("application_id", "field").agg(
+        F.collect_list(F.when(there, F.struct("ord", "document_id", "logical_id", "doc_type", "source", "key", "display", "weight"))).alias("rows"),
+        F.count_if(there).cast("int").alias("n"), F.min(own("display")).alias("display"), F.max(own("display")).alias("__other"), F.max(own("weight")).alias("top"),
+        F.size(F.collect_set(F.when(there & ~F.col("source").isin(*C.HOLDER_SOURCES), F.col("logical_id")))).alias("backed"), F.array_join(F.array_sort(F.collect_set(own("source"))), ",").alias("sources"),
+        types("unreadable").alias("unreadable"), types("abstained").alias("abstained"), F.coalesce(F.bool_or(status == "holder_asserted"), F.lit(False)).alias("holder"),
+        F.coalesce(F.min_by(F.when(said, F.col("raw_value")), F.when(said, F.struct("ord", "document_id"))), F.lit("")).alias("asserted"),
+    ).withColumn("mixed", F.coalesce(F.col("display") != F.col("__other"), F.lit(False)))
     if confirmations is not None:
-        said = keyed(confirmations.withColumn("__id", F.monotonically_increasing_id()).select("application_id", "field", "__id", F.explode("values").alias("value")), pivot)
-        keys = said.groupBy("application_id", "field", "__id").agg(F.collect_set("key").alias("keys")).groupBy("application_id", "field").agg(F.collect_list("keys").alias("settled"))
+        told = keyed(confirmations.withColumn("__id", F.monotonically_increasing_id()).select("application_id", "field", "__id", F.explode("values").alias("value")), pivot)
+        keys = told.groupBy("application_id", "field", "__id").agg(F.collect_set("key").alias("keys")).groupBy("application_id", "field").agg(F.collect_list("keys").alias("settled"))
         per = per.join(keys, ["application_id", "field"], "left")
     else:
         per = per.withColumn("settled", F.lit(None).cast("array<array<string>>"))
-    of = lambda b: F.filter("rows", lambda r: r["bucket"] == b)
-    per = per.withColumn("present", of("present"))
-    per = per.withColumn("mixed", F.size(F.array_distinct(F.col("present.key"))) > 1)
     per = per.withColumn("m", merged("field", F.when(F.col("mixed"), F.col("rows")), F.col("settled")))
-    p, none = F.col("present"), F.size("present") == 0
-    types = lambda a: F.array_join(F.array_sort(F.transform(a, lambda r: r["doc_type"])), ",")
-    holder = F.exists("rows", lambda r: F.coalesce(r["status"] == "holder_asserted", F.lit(False)))
-    asserted = F.get(F.filter(of("abstained"), lambda r: (r["status"] == "holder_asserted") & r["raw_value"].isNotNull()), F.lit(0))["raw_value"]
-    spelt = F.transform(F.array_distinct(F.transform(p, lambda r: r["display"])), lambda d: F.struct(F.round(-F.aggregate(F.filter(p, lambda r: r["display"] == d), F.lit(0.0), lambda t, r: t + r["weight"]), 6).alias("w"), d.alias("d")))
-    backed = F.size(F.array_distinct(F.transform(F.filter(p, lambda r: ~r["source"].isin(*C.HOLDER_SOURCES)), lambda r: r["logical_id"])))
-    unread = none & (holder | (F.size(of("unreadable")) > 0))
-    zero, no = F.lit(0), F.lit("")
+    none, zero, no = F.col("n") == 0, F.lit(0), F.lit("")
+    unread = none & (F.col("holder") | (F.col("unreadable") != ""))
     one = {
-        "value": F.when(none, no).otherwise(F.array_min(spelt)["d"]), "agreeing": F.array_join(F.transform(p, lambda r: r["doc_type"]), ","), "dissenting": no, "n_agree": F.size(p), "n_dissent": zero, "confirmable": zero,
-        "corroboration": backed, "support": backed, "confidence": F.when(none, 0.0).otherwise(1.0), "strong": F.exists(p, lambda r: r["weight"] >= C.STRONG), "sources": F.array_join(F.array_sort(F.array_distinct(F.transform(p, lambda r: r["source"]))), ","),
-        "status": F.when(unread, "not_extracted").when(none, "not_applicable").when(backed >= 2, "agreement").otherwise("single_source"), "severity": F.when(unread, "info").otherwise("none"), "confirmed": zero,
+        "value": F.coalesce("display", no), "agreeing": F.array_join(F.transform(F.array_sort("rows"), lambda r: r["doc_type"]), ","), "dissenting": no, "n_agree": F.col("n"), "n_dissent": zero, "confirmable": zero,
+        "corroboration": F.col("backed"), "support": F.col("backed"), "confidence": F.when(none, 0.0).otherwise(1.0), "strong": F.coalesce(F.col("top") >= C.STRONG, F.lit(False)), "sources": F.col("sources"),
+        "status": F.when(unread, "not_extracted").when(none, "not_applicable").when(F.col("backed") >= 2, "agreement").otherwise("single_source"), "severity": F.when(unread, "info").otherwise("none"), "confirmed": zero,
     }
-    more = {"holder": holder, "unreadable": types(of("unreadable")), "abstained": types(of("abstained")), "asserted": F.coalesce(asserted, no)}
-    made = {c: F.when(F.col("mixed"), F.col(f"m.{c}")).otherwise(v) for c, v in one.items()} | more
+    made = {c: F.when(F.col("mixed"), F.col(f"m.{c}")).otherwise(v) for c, v in one.items()} | {c: F.col(c) for c in ("holder", "unreadable", "abstained", "asserted")}
     kinds = dict(x.split() for x in CLUSTER.split(", "))
     return per.select("application_id", "field", *[made[c].cast(kinds[c]).alias(c) for c in NAMES if c != "field"])
 
