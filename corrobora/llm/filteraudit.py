@@ -117,18 +117,18 @@ def long_distinct(b: np.ndarray) -> int:
     lo = 0
     while lo < len(b):
         hi = min(lo + RUN, len(b))
+        gaps = np.flatnonzero(IS_SPACE[b[lo:hi]])
+        if hi - lo == RUN and not len(gaps):  # one word fills the run
+            while hi < len(b) and not IS_SPACE[b[hi : hi + RUN]].any():
+                hi += RUN
+            hi = hi + int(np.argmax(IS_SPACE[b[hi : hi + RUN]])) if hi < len(b) else len(b)
+            word = b[lo:hi]
+            kin = long_words.setdefault(hashlib.sha256(word).digest(), [])
+            if not any(np.array_equal(word, x) for x in kin):
+                kin.append(word)
+            lo = hi
+            continue
         if hi < len(b):
-            gaps = np.flatnonzero(IS_SPACE[b[lo:hi]])
-            if not len(gaps):  # one word fills the run
-                while hi < len(b) and not IS_SPACE[b[hi : hi + RUN]].any():
-                    hi += RUN
-                hi = min(len(b), hi + (int(np.argmax(IS_SPACE[b[hi : hi + RUN]])) if hi < len(b) else 0))
-                word = b[lo:hi]
-                kin = long_words.setdefault(hashlib.sha256(word).digest(), [])
-                if not any(np.array_equal(word, x) for x in kin):
-                    kin.append(word)
-                lo = hi
-                continue
             hi = lo + int(gaps[-1]) + 1
         run = b[lo:hi]
         s, e = word_bounds(run, np.array([0, len(run)]))
