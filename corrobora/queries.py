@@ -655,4 +655,4 @@ def fixed_window_limiter(spark, d):
     return limits.limited(e, 5, 6 * 3600).withColumnRenamed("at", "moment")
 
 
-from corrobora import workflow_queries  # noqa: E402, F401  (adds its queries)
+from corrobora import service_queries, workflow_queries  # noqa: E402, F401  (add their queries)
