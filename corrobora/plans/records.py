@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corrobora import constants as C
 from corrobora.functions import fields
-
+from corrobora.functions.canonical import canonical
 
 
 def fingerprint(name_key: Column, iso: Column, gender: Column) -> Column:
@@ -123,8 +121,8 @@ def project(fields: Column, scope: Column) -> Column:
 
 
 def canonical_json(value) -> str:
-    """Sorted keys, no spaces."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """Sorted keys, no spaces, numbers as a browser prints them."""
+    return canonical(value)
 
 
 class Signer:
