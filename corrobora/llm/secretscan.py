@@ -1,6 +1,6 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
-Candidates are runs of token characters with a digit, quoted or plain values after an assignment to a secret's name,
+Candidates are runs of token characters with a digit or the start of a known key, quoted or plain values after an assignment to a secret's name,
 passwords in URLs and private key blocks. The forest looks at length, character classes and transitions, dictionary coverage, the path and the
 neighbouring words. It is trained from labelled findings with Spark's RandomForestClassifier and then compiled into SQL
 expressions, so that scoring, like everything else here, consists of built-in DataFrame functions. A text is cut at its
@@ -22,7 +22,12 @@ from pyspark.sql import functions as F
 from corrobora.llm._shared import unused
 
 # What candidates look like.
-PRIVATE_KEY = r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----[\s\S]*?-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+# A key block's body is taken in one way only, up to the next mark that opens a block or ends a key, so an open block is read once.
+KEY_NAME = r"[A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+PRIVATE_KEY = rf"-----BEGIN {KEY_NAME}(?:[^-]++|-(?!----(?:BEGIN |END {KEY_NAME})))*+-----END {KEY_NAME}"
+# The starts of keys that services hand out; with one, a token needs no digit. Those of capitals have a length of their own, as words may start so.
+ID_STARTS, KEY_STARTS = r"AKIA|ASIA", r"ghp_|gho_|ghs_|xox[abpr]-|sk_live_|rk_live_|AIza|eyJ|glpat-"
+PREFIXED = rf"(?<![A-Za-z0-9+/_-])(?:(?:{ID_STARTS})[A-Z0-9]{{16}}(?![A-Za-z0-9+/_=-])|(?:{KEY_STARTS})[A-Za-z0-9+/_-]{{12,}}+={{0,2}}+)"
 TOKEN_RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}+"
 # A match of IN_URL or ASSIGNED is a head (a user of a URL; a secret's name with quote, white space and separator) and the candidate.
 USER = r"[^\s/:@\"']*+:"
@@ -31,7 +36,7 @@ NAMES = r"(?i:passw(?:or)?d|passphrase|pwd|secret|token|(?:api|access|secret|pri
 NAMED = rf"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]*+(?=[\"']?\s*+[=:])(?<={NAMES})[\"']?\s*+(?::=|=>|={{1,3}}+|:)\s*+[\"']?"
 VALUE = r"[^\s\"'=:][^\s\"']{7,}+"
 ASSIGNED = f"{NAMED}{VALUE}"
-CANDIDATE = f"{PRIVATE_KEY}|{IN_URL}|{ASSIGNED}|{TOKEN_RUN}"
+CANDIDATE = f"{PRIVATE_KEY}|{IN_URL}|{ASSIGNED}|{PREFIXED}|{TOKEN_RUN}"
 
 # Words that stand next to secrets, next to other identifiers, in paths and in placeholders; common words, from whose
 # letters the transition table is learned.
@@ -40,7 +45,7 @@ OTHER_WORDS = r"(?i)(commit|sha|hash|digest|checksum|uuid|guid|etag|revision|md5
 QUIET_PATHS = r"(?i)(test|spec|fixture|mock|example|sample|doc|readme|lock|vendor|node_modules|changelog)"
 PLACEHOLDERS = r"(?i)(example|sample|your|change_?me|dummy|placeholder|xxxx|test|fake|todo|12345678|00000000|(?-i:abcdef|ABCDEF)|^(pass(word|wd)?|secret|user(name)?)$)"
 REFERENCES = r"^[$<{%\[]|\w[(\[]|^[a-z]+\.[A-Za-z_]+|^[*.#•]+$"
-PREFIXES = r"^(AKIA|ASIA|ghp_|gho_|ghs_|xox[abpr]-|sk_live_|rk_live_|AIza|eyJ|glpat-|-----BEGIN)"
+PREFIXES = rf"^({ID_STARTS}|{KEY_STARTS}|-----BEGIN)"
 DICTIONARY = ("about after all and back base before between build case check class client close code common config content control copy count create current custom data date default delete device document each edit element enable end error event every example false field file filter find first format found from function general get global group handle header help host http image import index info input instance interface item java key label last layer left length level library like line link list load local long main make manager map master match message method model module month name need network new next node not note number object open option order other output over package page parent part path place plugin post present process project property public query read record release remote remove request reset resource response result return right root route row rule sample save schema screen script search section select server service session set show simple site size source space stage start state static status step string style system table tag target task template test text that the time title tool total track true type under update upload user value version view was window with word work write year zone").split()
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
