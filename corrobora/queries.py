@@ -68,8 +68,8 @@ def dob_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.consensus_by_key(readings)
 
 
-def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fields of the documents that are ready; the others count in the decision only."""
+def cluster_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the documents that are ready say of each field; the others count in the decision only."""
     docs = documents(spark, sf_dir).where("doc_status = 'ready'")
     names = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
     rows = docs.join(names, "l_partkey")
@@ -80,8 +80,11 @@ def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     address = F.when(spelt == 0, F.concat(house, F.lit(" mg rd,, indiranagar, bengaluru 560038."))).when(spelt == 1, F.lit("Flat 9, Koramangala 560038")).when(spelt == 2, F.lit("17 Hill Lane, Kochi, Kerala 682001")).otherwise(F.concat(house, F.lit(" MG Road, Indiranagar, Bengaluru, Karnataka 560038")))
     rows = rows.withColumn("p", first).select("*", F.explode(F.create_map(F.lit("holder_name"), name, F.lit("dob"), F.col("printed"), F.lit("gender"), F.col("gender"), F.lit("address"), address)).alias("field", "value"))
     doc = F.concat_ws("-", F.col("application_id").cast("string"), F.col("ord").cast("string"))
-    readings = rows.select("application_id", "field", doc.alias("document_id"), doc.alias("logical_id"), "ord", "doc_type", F.lit("front").alias("page_role"), "value", "source", F.lit("present_verified").alias("status"), F.lit(None).cast("string").alias("raw_value"))
-    return reconcile.compare(readings, evidence.registry(spark), PIVOT)
+    return rows.select("application_id", "field", doc.alias("document_id"), doc.alias("logical_id"), "ord", "doc_type", F.lit("front").alias("page_role"), "value", "source", F.lit("present_verified").alias("status"), F.lit(None).cast("string").alias("raw_value"))
+
+
+def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.compare(cluster_readings(spark, sf_dir), evidence.registry(spark), PIVOT)
 
 
 def _event_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -551,8 +554,8 @@ def field_clusters(spark, d):
     return clusters(spark, d)
 
 
-@query(f"""
-    WITH {_CLUSTERS},
+#: Decisions (x) over the clusters c.
+_DECIDED = """
     s AS (SELECT l_orderkey AS application_id, bool_or(l_quantity > 7) AS ready, bool_or(l_quantity <= 3) AS retake, bool_or(l_quantity > 3 AND l_quantity <= 5) AS rejected FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1),
     e AS (
         SELECT application_id, count(*) FILTER (WHERE field <> 'address' AND corroboration >= 1 AND n_dissent > 0) AS conflicts, count(*) FILTER (WHERE field <> 'address' AND corroboration >= 1 AND n_dissent = 0 AND confirmable > 0) AS asks, count(*) FILTER (WHERE field IN ('holder_name', 'dob') AND status = 'not_extracted') AS lacking,
@@ -561,7 +564,11 @@ def field_clusters(spark, d):
     x AS (
         SELECT s.application_id, worst, CASE WHEN NOT ready AND retake THEN 'retake_required' WHEN NOT ready AND rejected THEN 'rejected_invalid_document' WHEN NOT ready THEN 'extraction_failed' WHEN conflicts >= 2 THEN 'suspected_cross_identity' WHEN conflicts = 1 THEN 'document_conflict'
             WHEN lacking > 0 OR coalesce(name_support, 0) < 2 THEN 'insufficient_evidence' WHEN asks > 0 THEN 'likely_match_needs_confirmation' WHEN single = 0 THEN 'verified_match' WHEN multi >= 2 THEN 'verified_with_partial_overlap' ELSE 'verified_no_conflict' END AS decision FROM s LEFT JOIN e USING (application_id)
-    )
+    )"""
+
+
+@query(f"""
+    WITH {_CLUSTERS}, {_DECIDED}
     SELECT application_id, decision, decision LIKE 'verified%' AS issuable, decision IN ('suspected_cross_identity', 'document_conflict') AS needs_review, ['info', 'warn', 'needs_confirmation', 'reject'][greatest(coalesce(worst, 1), 1)] AS severity FROM x""")
 def decisions(spark, d):
     return reconcile.decide(clusters(spark, d), documents=documents(spark, d).select("application_id", F.col("doc_status").alias("status")))
