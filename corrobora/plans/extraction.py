@@ -84,6 +84,18 @@ def enveloped(rows: DataFrame) -> DataFrame:
     return rows.withColumn("verified", ok).withColumn("confidence", level).withColumn("normalized_value", F.when(ok, F.col("value")))
 
 
+def refusals(gated: DataFrame, *by: str) -> DataFrame:
+    """(``by``, rejected, unsupported): of each document the values that the gates did not let through, by field.
+
+    rejected: what its page cannot carry, array of (field, value, reason, doc_type, page_role); unsupported: what it does not
+    verifiably show, array of (field, value, status, reason). Fields without a value are in neither; documents without
+    either have empty lists.
+    """
+    refused, read = F.col("status") == "invalid", has(F.col("value"))
+    listed = lambda which, *c: F.array_sort(F.collect_list(F.when(which, F.struct(*c))))
+    return gated.groupBy(*by).agg(listed(read & refused, "field", "value", "reason", "doc_type", "page_role").alias("rejected"), listed(read & ~refused & (F.col("status") != "present_verified"), "field", "value", "status", "reason").alias("unsupported"))
+
+
 def reassess(rows: DataFrame, registry: DataFrame, pivot: int) -> DataFrame:
     """The gates again, once the type is known. What is verified stays so, unless the page cannot carry it; nothing else gets worse
     than the rules say, and an unknown type changes nothing."""

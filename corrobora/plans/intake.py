@@ -116,6 +116,17 @@ def hydrated(states: DataFrame, corrections: DataFrame) -> DataFrame:
     )
 
 
+def typed(documents: DataFrame, corrections: DataFrame) -> DataFrame:
+    """``documents`` (document_id, doc_type, ...) with the type that counts, and ``type_source``: what the holder says of a document's type
+    outranks what was read. What is corrected last as document_type in ``corrections`` (document_id, field, value[, at]) is that; a
+    blank correction is none."""
+    said = corrections.where((F.col("field") == "document_type") & (F.trim("value") != ""))
+    order = [F.col("at")] if "at" in corrections.columns else []
+    own = said.groupBy("document_id").agg(F.max_by("value", F.struct(*order, F.col("value"))).alias("__type"))
+    rows = documents.join(own, "document_id", "left")
+    return rows.withColumn("type_source", F.when(F.col("__type").isNotNull(), F.lit("holder")).otherwise(F.lit("reading"))).withColumn("doc_type", F.coalesce("__type", "doc_type")).drop("__type")
+
+
 def corrections_map(corrections: DataFrame) -> DataFrame:
     """(document_id, corrections map): the few corrections of each document; one for each field."""
     return corrections.groupBy("document_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value")))).alias("corrections"))

@@ -662,4 +662,4 @@ def fixed_window_limiter(spark, d):
     return limits.limited(e, 5, 6 * 3600).withColumnRenamed("at", "moment")
 
 
-from corrobora import service_queries, workflow_queries  # noqa: E402, F401  (add their queries)
+from corrobora import document_queries, service_queries, workflow_queries  # noqa: E402, F401  (add their queries)

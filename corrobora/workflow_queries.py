@@ -291,10 +291,15 @@ def _asked() -> str:
     return ", ".join(f"('{a}', '{b}', {x}, {y}, {z})" for a, b, x, y, z in rows)
 
 
-@query(f"SELECT doc_type, page_role, CAST(may AS INTEGER) AS may, CAST(must AS INTEGER) AS must, CAST(never AS INTEGER) AS never FROM (VALUES {_asked()}) AS x(doc_type, page_role, may, must, never)")
+@query(f"""
+    WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE l_linenumber % 6 WHEN 0 THEN 'pan' WHEN 1 THEN 'aadhaar' WHEN 2 THEN 'passport' WHEN 3 THEN 'voter' WHEN 4 THEN 'birth_certificate' ELSE 'unknown' END AS doc_type, CASE WHEN l_suppkey % 3 = 0 THEN 'back' ELSE 'front' END AS page_role FROM lineitem)
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, doc_type, page_role, CAST(may AS INTEGER) AS may, CAST(must AS INTEGER) AS must, CAST(never AS INTEGER) AS never FROM l JOIN (VALUES {_asked()}) AS x(doc_type, page_role, may, must, never) USING (doc_type, page_role)""")
 def reading_requests(spark, d):
+    """What a model is asked about each page, by the page's type and side."""
     many = lambda head: F.when(F.contains("prompt", F.lit(head)), F.size(F.split(F.regexp_extract("prompt", rf"{head}([^.]*)\.", 1), ", "))).otherwise(F.lit(0)).cast("int")
-    return extraction.requests(spark).select("doc_type", "page_role", many("Fields: ").alias("may"), many("Expected on every such page: ").alias("must"), many("Never printed there: ").alias("never"))
+    pages_ = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", cases(F.col("l_linenumber") % 6, "pan", "aadhaar", "passport", "voter", "birth_certificate", "unknown").alias("doc_type"), F.when(F.col("l_suppkey") % 3 == 0, F.lit("back")).otherwise(F.lit("front")).alias("page_role"))
+    asked = extraction.requests(spark).select("doc_type", "page_role", many("Fields: ").alias("may"), many("Expected on every such page: ").alias("must"), many("Never printed there: ").alias("never"))
+    return pages_.join(F.broadcast(asked), ["doc_type", "page_role"])
 
 
 @query("""
