@@ -64,33 +64,34 @@ def probe(new: DataFrame, live: DataFrame, numbers: DataFrame) -> DataFrame:
     return new.join(by_hash, "dedup_hash", "left").join(by_number, "number", "left").withColumn("existing", F.coalesce("by_hash", "by_number")).drop("by_hash", "by_number")
 
 
-def mint(new: DataFrame, salt: str) -> DataFrame:
-    """Ids for records without an existing one; equal fingerprints of one batch share one."""
-    own = F.concat(F.lit("GID-"), F.upper(F.left(F.sha2(F.concat_ws("|", F.coalesce("dedup_hash", F.col("application_id").cast("string")), F.lit(salt)), 256), F.lit(12))))
-    rank = F.row_number().over(Window.partitionBy(F.coalesce("dedup_hash", F.col("application_id").cast("string"))).orderBy("application_id"))
-    return new.withColumn("gid", F.coalesce("existing", own)).withColumn("minted", F.col("existing").isNull() & (rank == 1))
+def fingerprinted(consensus_: DataFrame, pivot: int) -> DataFrame:
+    """Consensus records with dedup_hash; write them where several steps read them."""
+    return consensus_ if "dedup_hash" in consensus_.columns else consensus_.withColumn("dedup_hash", record_hash(F.col("fields"), pivot))
 
 
 def issue(consensus_: DataFrame, decisions: DataFrame, documents: DataFrame, live: DataFrame, linked: DataFrame, pivot: int, salt: str, enabled: bool = True) -> DataFrame:
     """(application_id, gid, issued, reason, summary, documents): a record for each application whose decision allows one.
 
     ``documents`` (application_id, doc_type, number, valid): only their last four characters go on a record. An identity
-    that has a live record, by fingerprint or by a linked number (``linked``: number, gid), gets that one. Refused
-    applications have no gid, and the reason: not_issuable, or issuance_disabled.
+    that has a live record, by fingerprint or by a linked number (``linked``: number, gid), gets that one; equal fingerprints
+    of one batch share a new one, which the first application gets issued. Refused applications have no gid, and the
+    reason: not_issuable, or issuance_disabled. The consensus is read once.
     """
-    cards = documents.groupBy("application_id").agg(F.array_sort(F.collect_list(F.struct("doc_type", F.right(F.coalesce("number", F.lit("")), F.lit(4)).alias("suffix"), "valid"))).alias("documents"), F.collect_set(F.nullif("number", F.lit(""))).alias("numbers"))
-    rows = decisions.select("application_id", "issuable").join(consensus_, "application_id").join(cards, "application_id", "left")
-    rows = rows.withColumn("dedup_hash", record_hash(F.col("fields"), pivot))
-    asked = rows.where(F.col("issuable") & F.lit(enabled))
+    cards = documents.groupBy("application_id").agg(F.array_sort(F.collect_list(F.struct("doc_type", F.right(F.coalesce("number", F.lit("")), F.lit(4)).alias("suffix"), "valid"))).alias("documents"))
     ok = live.where("revoked = 0").select("gid", "dedup_hash")
     by_hash = ok.where("dedup_hash IS NOT NULL").groupBy("dedup_hash").agg(F.min("gid").alias("by_hash"))
-    numbers = asked.select("application_id", F.explode("numbers").alias("number")).join(linked.join(ok.select("gid"), "gid"), "number").groupBy("application_id").agg(F.min("gid").alias("by_number"))
-    probed = asked.join(by_hash, "dedup_hash", "left").join(numbers, "application_id", "left").withColumn("existing", F.coalesce("by_hash", "by_number"))
-    made = mint(probed, salt)
-    reason = F.when(F.col("by_hash").isNotNull(), F.lit("same_identity")).when(F.col("by_number").isNotNull(), F.lit("same_document_number")).when(F.col("minted"), F.lit("new")).otherwise(F.lit("same_identity"))
-    done = made.select("application_id", "gid", F.col("minted").alias("issued"), reason.alias("reason"), summary(F.col("fields")).alias("summary"), "documents")
-    refused = rows.where(~(F.col("issuable") & F.lit(enabled))).select("application_id", F.lit(None).cast("string").alias("gid"), F.lit(False).alias("issued"), F.when(F.col("issuable"), F.lit("issuance_disabled")).otherwise(F.lit("not_issuable")).alias("reason"), summary(F.col("fields")).alias("summary"), "documents")
-    return done.unionByName(refused)
+    by_number = documents.where("number <> ''").select("application_id", "number").join(linked.join(ok.select("gid"), "gid"), "number").groupBy("application_id").agg(F.min("gid").alias("by_number"))
+    rows = fingerprinted(consensus_, pivot).join(decisions.select("application_id", "issuable"), "application_id").join(cards, "application_id", "left").join(by_number, "application_id", "left").join(by_hash, "dedup_hash", "left")
+    asked, existing = F.col("issuable") & F.lit(enabled), F.coalesce("by_hash", "by_number")
+    person = F.coalesce("dedup_hash", F.col("application_id").cast("string"))
+    rows = rows.withColumn("__first", F.row_number().over(Window.partitionBy(asked, person).orderBy("application_id")) == 1)
+    own = F.concat(F.lit("GID-"), F.upper(F.left(F.sha2(F.concat_ws("|", person, F.lit(salt)), 256), F.lit(12))))
+    minted = asked & existing.isNull() & F.col("__first")
+    reason = (
+        F.when(~F.col("issuable"), F.lit("not_issuable")).when(~F.lit(enabled), F.lit("issuance_disabled")).when(F.col("by_hash").isNotNull(), F.lit("same_identity"))
+        .when(F.col("by_number").isNotNull(), F.lit("same_document_number")).when(minted, F.lit("new")).otherwise(F.lit("same_identity"))
+    )
+    return rows.select("application_id", F.when(asked, F.coalesce(existing, own)).alias("gid"), minted.alias("issued"), reason.alias("reason"), summary(F.col("fields")).alias("summary"), "documents")
 
 
 def links(issued: DataFrame, documents: DataFrame, have: DataFrame) -> DataFrame:

@@ -73,4 +73,5 @@ def signed_sink(stream: DataFrame, seed: bytes, path: str, label: str) -> DataSt
 
     A batch that runs again after a failure finds its commit and adds nothing. Give it a checkpoint and start it.
     """
+    committed.register(stream.sparkSession)
     return stream.writeStream.foreachBatch(lambda batch, n: issue_once(batch, seed, path, f"{label}-{n:012d}"))

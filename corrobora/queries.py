@@ -30,6 +30,13 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_part(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
+    """Orders, each with the name and brand of a part: that which its ``key`` has, modulo as many parts as there are."""
+    parts = t(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
+    many = parts.agg(F.max("p_partkey")).first()[0] or 1
+    return t(spark, sf_dir, "orders").withColumn("p_partkey", F.col(key) % many + 1).join(parts, "p_partkey")
+
+
 def pick(values: list[str], at: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), at.cast("int") + 1)
 
@@ -445,18 +452,16 @@ def normalize_address(spark, d):
     return t(spark, d, "customer").select("c_custkey", a["text"].alias("text"), a["postal_code"].alias("postal_code"), a["state"].alias("state"), a["house"].alias("house"), fields.address_relation(a, b)["relation"].alias("relation"))
 
 
-@query("WITH w AS (SELECT o_orderkey, array_to_string(list_sort(string_split(upper(p_name), ' ')), ' ') AS n, strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') AS d FROM orders JOIN part ON p_partkey = 1 + o_orderkey % 2000) SELECT o_orderkey, sha256(n || '|' || d || '|' || 'F') AS hash FROM w")
+@query("WITH w AS (SELECT o_orderkey, array_to_string(list_sort(string_split(upper(p_name), ' ')), ' ') AS n, strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') AS d FROM orders JOIN part ON p_partkey = 1 + o_orderkey % (SELECT max(p_partkey) FROM part)) SELECT o_orderkey, sha256(n || '|' || d || '|' || 'F') AS hash FROM w")
 def identity_fingerprint(spark, d):
-    p = t(spark, d, "part").select((F.col("p_partkey") - 1).alias("k"), "p_name")
-    o = t(spark, d, "orders").withColumn("k", F.col("o_orderkey") % 2000).join(p, "k")
-    return o.select("o_orderkey", records.fingerprint(fields.name(F.col("p_name"))["sorted"], fields.date(F.date_format("o_orderdate", "dd MMM yyyy"), PIVOT)["iso"], fields.gender(F.lit("female"))).alias("hash"))
+    return with_part(spark, d, "o_orderkey").select("o_orderkey", records.fingerprint(fields.name(F.col("p_name"))["sorted"], fields.date(F.date_format("o_orderdate", "dd MMM yyyy"), PIVOT)["iso"], fields.gender(F.lit("female"))).alias("hash"))
 
 
 @query("""
     SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'pan' WHEN 1 THEN 'aadhaar' WHEN 2 THEN 'voter' ELSE 'passport' END AS document_type, CASE WHEN o_orderkey % 4 = 1 THEN 'Asha Devi' ELSE p_name END AS holder_name, 'Ram of ' || p_brand AS father_name,
         strftime(CAST(o_orderdate AS DATE), '%d/%m/%Y') AS dob, CASE WHEN o_orderkey % 2 = 0 THEN 'F' ELSE 'male' END AS gender,
         CASE o_orderkey % 4 WHEN 0 THEN 'ABCDE' || lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0') || 'F' WHEN 1 THEN '2345 6789 ' || lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0') WHEN 2 THEN 'XYZ ' || lpad(CAST(o_orderkey % 10000000 AS VARCHAR), 7, '0') ELSE 'K' || lpad(CAST(o_orderkey % 10000000 AS VARCHAR), 7, '0') END AS number,
-        o_orderkey % 2 = 0 AS gender_label FROM orders JOIN part ON p_partkey = 1 + o_custkey % 200""")
+        o_orderkey % 2 = 0 AS gender_label FROM orders JOIN part ON p_partkey = 1 + o_custkey % (SELECT max(p_partkey) FROM part)""")
 def page_text_fields(spark, d):
     k = F.col("o_orderkey")
     pad = lambda n: F.lpad((k % 10**n).cast("string"), n, "0")
@@ -465,8 +470,7 @@ def page_text_fields(spark, d):
     name = F.when(k % 4 == 1, F.lit("")).otherwise(F.concat(F.lit("\nName: "), "p_name"))
     sex = F.when(k % 2 == 0, F.lit("Sex: F")).otherwise(F.lit("male"))
     page = F.concat(head, name, F.lit("\nDOB: "), F.date_format("o_orderdate", "dd / MM/yyyy"), F.lit("\nFather's Name\nRam of "), "p_brand", F.lit("\n"), sex, F.lit("\n"), number)
-    rows = t(spark, d, "orders").withColumn("p_partkey", F.col("o_custkey") % 200 + 1).join(t(spark, d, "part").select("p_partkey", "p_name", "p_brand"), "p_partkey")
-    r = rows.withColumn("page", page).withColumn("r", page_text.page_reading(F.col("page"), PIVOT))
+    r = with_part(spark, d, "o_custkey").withColumn("page", page).withColumn("r", page_text.page_reading(F.col("page"), PIVOT))
     return r.select("o_orderkey", "r.document_type", "r.holder_name", "r.father_name", "r.dob", "r.gender", F.col("r.document_number").alias("number"), F.col("page").rlike(r"(?i)sex\s*[:=-]").alias("gender_label"))
 
 

@@ -16,7 +16,8 @@ from corrobora.functions import responses, text
 from corrobora.operators import faces as face_ops
 from corrobora.operators import relational as rel
 from corrobora.plans import evidence, extraction, intake, pages, reconcile, records
-from corrobora.queries import LINE_ORDER, PIVOT, query, t
+from corrobora.queries import LINE_ORDER, PIVOT, query, t, with_part
+from corrobora.shared import written
 from corrobora.sources import page_text, readers, uploads
 
 
@@ -368,7 +369,7 @@ def upload_room(spark, d):
 
 @query(f"""
     WITH l AS (SELECT l_orderkey, l_orderkey || '-' || {ORD} AS id, {ORD} AS ord, l_quantity <= 10 AS removed FROM lineitem),
-    q AS (SELECT l_orderkey, list(id ORDER BY id) AS ids, list(id ORDER BY id) FILTER (WHERE removed) AS gone FROM l WHERE ord <= 2 GROUP BY 1),
+    q AS (SELECT l_orderkey, list(id ORDER BY id) AS ids, list(id ORDER BY id) FILTER (WHERE removed) AS gone FROM l GROUP BY 1),
     x AS (SELECT *, l_orderkey % 7 = 0 AS none, l_orderkey % 4 = 0 AS twice, l_orderkey % 5 = 0 AS alien FROM q)
     SELECT l_orderkey AS request_id, CASE WHEN none THEN 'document_ids_required' WHEN twice THEN 'duplicate_document_ids' WHEN NOT alien AND gone IS NOT NULL THEN 'removed_document_selected' ELSE '' END AS error,
         CASE WHEN none THEN '' WHEN twice THEN l_orderkey || '-1' WHEN NOT alien AND gone IS NOT NULL THEN array_to_string(gone, ',') ELSE '' END AS ids, CASE WHEN alien AND NOT none THEN 'x-1' ELSE '' END AS foreign_ids FROM x""")
@@ -376,7 +377,7 @@ def selection_errors(spark, d):
     lines = _lines(spark, d).select(F.col("l_orderkey").alias("application_id"), "document_id", "ord", F.when(F.col("l_quantity") <= 10, F.lit("removed_by_user")).otherwise(F.lit("ready")).alias("status"))
     k = F.col("application_id")
     none = F.array().cast("array<string>")
-    asked = lines.where("ord <= 2").groupBy("application_id").agg(F.sort_array(F.collect_list("document_id")).alias("ids"))
+    asked = lines.groupBy("application_id").agg(F.sort_array(F.collect_list("document_id")).alias("ids"))
     ids = F.concat("ids", F.when(k % 4 == 0, F.array(F.concat(k.cast("string"), F.lit("-1")))).otherwise(none), F.when(k % 5 == 0, F.array(F.lit("x-1"))).otherwise(none))
     requests = asked.select(k.alias("request_id"), "application_id", F.when(k % 7 == 0, none).otherwise(ids).alias("document_ids"))
     return intake.selection_errors(requests, lines).select("request_id", "error", F.array_join("ids", ",").alias("ids"), F.array_join("foreign", ",").alias("foreign_ids"))
@@ -484,8 +485,7 @@ def reactivated_documents(spark, d):
 
 def _agreed(spark, d) -> DataFrame:
     """Clusters of name, date and gender for each order."""
-    p = t(spark, d, "part").select((F.col("p_partkey") - 1).alias("k"), "p_name")
-    o = t(spark, d, "orders").withColumn("k", F.col("o_orderkey") % 2000).join(p, "k")
+    o = with_part(spark, d, "o_orderkey")
     n = F.col("o_orderkey")
     row = lambda field, value, asserted: F.struct(F.lit(field).alias("field"), value.alias("value"), asserted.alias("asserted"))
     no = F.lit("")
@@ -494,7 +494,7 @@ def _agreed(spark, d) -> DataFrame:
     return o.select(n.alias("application_id"), F.explode(each).alias("x")).select("application_id", "x.*", *[F.lit(v).alias(c) for c, v in same.items()], F.lit(0.75).alias("confidence"), F.lit(False).alias("strong"))
 
 
-_AGREED = "a AS (SELECT o_orderkey, upper(p_name) AS name, CASE WHEN o_orderkey % 5 <> 0 THEN strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') ELSE '' END AS dob, CASE o_orderkey % 3 WHEN 0 THEN 'F' WHEN 1 THEN 'M' ELSE '' END AS gender, o_custkey FROM orders JOIN part ON p_partkey = 1 + o_orderkey % 2000), h AS (SELECT *, CASE WHEN dob <> '' THEN sha256(array_to_string(list_sort(string_split(name, ' ')), ' ') || '|' || dob || '|' || CASE WHEN o_orderkey % 3 = 0 THEN 'F' ELSE '' END) END AS hash FROM a)"
+_AGREED = "a AS (SELECT o_orderkey, upper(p_name) AS name, CASE WHEN o_orderkey % 5 <> 0 THEN strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') ELSE '' END AS dob, CASE o_orderkey % 3 WHEN 0 THEN 'F' WHEN 1 THEN 'M' ELSE '' END AS gender, o_custkey FROM orders JOIN part ON p_partkey = 1 + o_orderkey % (SELECT max(p_partkey) FROM part)), h AS (SELECT *, CASE WHEN dob <> '' THEN sha256(array_to_string(list_sort(string_split(name, ' ')), ' ') || '|' || dob || '|' || CASE WHEN o_orderkey % 3 = 0 THEN 'F' ELSE '' END) END AS hash FROM a)"
 
 
 @query(f"WITH {_AGREED} SELECT o_orderkey AS application_id, name AS holder_name, dob, gender, hash, 'pan,voter' AS sources, 'aadhaar,passport' AS dissenting, CASE o_orderkey % 3 WHEN 1 THEN 'unverified' WHEN 0 THEN 'verified' END AS gender_state FROM h")
@@ -508,9 +508,9 @@ _LIVE = "live AS (SELECT hash, min('G' || o_orderkey) AS gid FROM h WHERE o_orde
 
 
 def _issued(spark, d) -> tuple[DataFrame, DataFrame]:
-    agreed = records.consensus(_agreed(spark, d), PIVOT)
+    agreed = written(records.fingerprinted(records.consensus(_agreed(spark, d), PIVOT), PIVOT), "consensus")  # read three times
     o = t(spark, d, "orders").select(F.col("o_orderkey").alias("application_id"), "o_custkey")
-    old = agreed.where("application_id % 10 = 1").select(F.concat(F.lit("G"), "application_id").alias("gid"), records.record_hash(F.col("fields"), PIVOT).alias("dedup_hash"), F.lit(0).alias("revoked"), "application_id")
+    old = agreed.where("application_id % 10 = 1").select(F.concat(F.lit("G"), "application_id").alias("gid"), "dedup_hash", F.lit(0).alias("revoked"), "application_id")
     docs = o.select("application_id", F.lit("pan").alias("doc_type"), F.concat(F.lit("N"), F.lpad(F.col("o_custkey").cast("string"), 8, "0")).alias("number"), F.lit(True).alias("valid"))
     linked = old.join(docs, "application_id").select("number", "gid")
     decided = o.select("application_id", (F.col("application_id") % 10 != 2).alias("issuable"))
