@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corrobora.functions import numbers
+from corrobora.functions import fields, numbers
 from corrobora.operators import faces as face_ops
 from corrobora.operators.owned import Owned
 from corrobora.plans import evidence, extraction, intake, pages, reconcile
@@ -143,3 +143,20 @@ def owned_reads(spark, d):
     shown = apps.named(asked, "application_id").groupBy("owner").agg(F.count("*").alias("shown"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return apps.per_owner(F.count("*").alias("applications"), newest).join(own, "owner", "left").join(shown, "owner", "left").select("owner", "applications", "newest", zero("documents"), zero("ready"), zero("shown"))
+
+
+# --- normal forms
+
+_WIDE = "".join(chr(0xFF21 + i) for i in range(26))
+
+
+@query("""
+    SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN c_mktsegment WHEN 1 THEN nfc_normalize('Zoe' || chr(776) || ' ' || c_name) WHEN 2 THEN 'Office of ' || c_name WHEN 3 THEN nfc_normalize(chr(4370) || chr(4449) || chr(4523) || ' ' || c_name) ELSE c_name END AS folded,
+        CASE c_custkey % 5 WHEN 0 THEN 'F' WHEN 1 THEN 'M' ELSE '' END AS gender
+    FROM customer""")
+def folded_names(spark, d):
+    """Names in full width, with ligatures, with marks that join, in letters that make syllables; genders in full width."""
+    said = cases(F.col("c_custkey") % 5, F.translate("c_mktsegment", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", _WIDE), F.concat(F.lit("Zoe\u0308 "), "c_name"), F.concat(F.lit("O\ufb03ce\u00a0of "), "c_name"), F.concat(F.lit("\u1112\u1161\u11ab "), "c_name"), F.col("c_name"))
+    sex = cases(F.col("c_custkey") % 5, "\uff26", "\uff2d\uff41\uff4c\uff45")
+    rows = t(spark, d, "customer").select("c_custkey", fields.nfkc(said).alias("folded"), fields.nfkc(sex).alias("sex"))
+    return rows.select("c_custkey", "folded", fields.gender(F.col("sex")).alias("gender"))

@@ -49,6 +49,14 @@ def readings(answers: DataFrame, text: str = "response") -> DataFrame:
     return df.select(*keep, error.alias("error"), F.when(error == "", kind).alias("claimed"), F.explode_outer(rows).alias("r")).select(*keep, "error", "claimed", "r.field", "r.value", "r.evidence")
 
 
+def meets(text: Column, condition: Column) -> Column:
+    """Whether ``text`` meets a condition of the registry; the few that there are stand as literals, so that each is compiled once."""
+    out = F.when(F.lit(False), False)
+    for pattern in sorted({p for *_, conditions in C.CAPABILITIES.values() for p in conditions.values()}):
+        out = out.when(condition == F.lit(pattern), text.rlike(pattern))
+    return out.otherwise(F.regexp_like(text, F.coalesce(condition, F.lit(""))))
+
+
 def gate(rows: DataFrame, registry: DataFrame, pivot: int, trusted: Column | None = None) -> DataFrame:
     """``rows`` (doc_type, page_role, field, value, evidence, page_text, mrz, source[, confirmed]) with status, reason, verified,
     confidence, normalized_value.
@@ -70,7 +78,7 @@ def gate(rows: DataFrame, registry: DataFrame, pivot: int, trusted: Column | Non
     status = (
         F.when(~has(value), told("not_present", "no_value_returned"))
         .when(F.col("capability") == "impossible", told("invalid", "field_impossible_for_document"))
-        .when(F.col("condition").isNotNull() & ~F.regexp_like(hay, F.coalesce("condition", F.lit(""))), told("invalid", "conditional_evidence_missing"))
+        .when(F.col("condition").isNotNull() & ~meets(hay, F.col("condition")), told("invalid", "conditional_evidence_missing"))
     )
     status = status.when(trusted, told("present_verified", "trusted_input")) if trusted is not None else status
     rows = rows.withColumn("__s", status.otherwise(assessed)).drop("capability", "condition")

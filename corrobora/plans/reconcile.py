@@ -30,7 +30,10 @@ def weight(source: Column) -> Column:
 
 def keyed(readings: DataFrame, pivot: int) -> DataFrame:
     """Adds key and display: equal keys are one value. Each value is normalised once, by the rule of its field."""
-    v, f = F.col("value"), F.col("field")
+    f = F.col("field")
+    # Names, genders and addresses in normal form, as a column of its own: what follows uses it several times.
+    readings = readings.withColumn("__v", F.when(f.endswith("name") | f.isin("gender", "address"), fields.nfkc(F.col("value"))).otherwise(F.col("value")))
+    v = F.col("__v")
     both = lambda key, display: F.struct(key.alias("key"), display.alias("display"))
     other = F.upper(F.regexp_replace(F.trim(blank(v)), r"\s+", " "))
     is_date = (f == "dob") | f.endswith("date")
@@ -42,7 +45,7 @@ def keyed(readings: DataFrame, pivot: int) -> DataFrame:
         .when(f == "address", let(fields.spelt_out(fields.tidy_address(v)), lambda a: both(a, a)))
         .otherwise(both(other, F.trim(blank(v))))
     )
-    return readings.withColumn("__k", told).withColumn("key", F.col("__k.key")).withColumn("display", F.col("__k.display")).drop("__k", "__parts", "__iso")
+    return readings.withColumn("__k", told).withColumn("key", F.col("__k.key")).withColumn("display", F.col("__k.display")).drop("__k", "__parts", "__iso", "__v")
 
 
 def pooled(readings: DataFrame, registry: DataFrame) -> DataFrame:
