@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corrobora.ship import ship
+
 # The template's marks.
 OPENERS = {"user": "<s>[INST", "assistant": "<s>[OUT", "system": "<s>[SYS"}
 CLOSERS = {"user": " [/INST]", "assistant": " </s>", "system": " [/SYS]"}
@@ -111,6 +113,7 @@ def render_turns(conversations: DataFrame) -> DataFrame:
     The loss mask of a turn spans the assistant's text inside ``rendered`` (null for other roles). Null roles and texts
     count as empty. Extra columns are not carried along.
     """
+    ship(conversations.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -128,6 +131,7 @@ def digest(rendered: DataFrame) -> DataFrame:
     streams them, holding a single turn at a time, so the length of a conversation is not bound by memory. Repeated
     rows are turns of their own. A null conv_id is a conversation like any other. Empty input: no rows.
     """
+    ship(rendered.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, done = None, []

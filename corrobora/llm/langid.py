@@ -12,10 +12,11 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corrobora.llm.features import bounded_sample, gram_counts, has_letter
+from corrobora.ship import ship
 
 # Families of languages by ISO 639-1 code. A language in none of them is a family of its own.
 FAMILIES = {
@@ -97,6 +98,7 @@ def fit(documents: DataFrame, learn: Column, bits: int = BITS, rows_per_language
     languages (features.bounded_sample). They become features on the executors; the driver gathers those. Repeated rows
     count as often as they stand there. Of equal duels won, the larger sum of margins decides, then the later name.
     """
+    ship(documents.sparkSession)
     rows = documents.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     sample = bounded_sample(rows, F.col("lang"), rows_per_language)
 
@@ -123,6 +125,7 @@ def language_of(model: Model | None, text: Column, bits: int = BITS) -> Column:
     ``und`` with score 0 for null texts, texts without a letter, and where nothing could be learned. Long texts are read
     whole. Equal texts have equal results.
     """
+    ship(SparkSession.active())
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corrobora.llm._shared import fresh_path, materialize
+from corrobora.ship import ship
 
 #: Distinct units whose ids a worker remembers (about 100 MB); others are encoded anew in each batch.
 REMEMBERED = 700_000
@@ -207,6 +208,7 @@ def write_shards(documents: DataFrame, tokenizer_path: str, end_id: int, out_dir
     their own, by their tokens within a shard; repeated rows are documents of their own. Empty input: no shards. Extra
     columns are not carried along. There are as many shards as ``spark.sql.shuffle.partitions`` at most.
     """
+    ship(documents.sparkSession)
     spark = documents.sparkSession
     target = local(out_dir or fresh_path(spark, "tokens"))
 
@@ -244,6 +246,7 @@ def write_shards(documents: DataFrame, tokenizer_path: str, end_id: int, out_dir
 
 def read_documents(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, read from the memory-mapped shards, as many tasks as shards."""
+    ship(manifest.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

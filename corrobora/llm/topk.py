@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corrobora.llm._shared import materialize
+from corrobora.ship import ship
 
 #: Segments of a vector at each level, coarse to fine.
 LEVELS = (2, 4, 8, 16, 32)
@@ -140,6 +141,7 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5, scale: float =
     part. Only vectors of one dimension are compared. An id that occurs twice counts once, with its best score; as a
     query, one of its vectors with most components, then the greatest, stands for it. Empty input: no rows.
     """
+    ship(vectors.sparkSession)
     value = F.col(vector_col)
     sound = value.isNotNull() & F.col(id_col).isNotNull() & F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.where(F.coalesce(sound, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), value.cast("array<double>").alias("x"), F.coalesce(is_query, F.lit(False)).alias("asks"))

@@ -16,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corrobora.llm.features import bounded_sample, word_ids
+from corrobora.ship import ship
 
 #: log2 of the number of features; rows of the samples of confirmed and of unlabelled text (about 1 kB each, so that the
 #: driver gathers some 24 MB; very long texts have at most one feature for each of their distinct words and stems).
@@ -106,6 +107,7 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column, confirmed: int =
     together, and each counts. Examples with the same features count once where features are chosen. Null and empty
     texts are examples without features. Rows without an id, and labels without an id or a mark, are not learned from.
     """
+    ship(documents.sparkSession)
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     texts = documents.where(learn & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     # Ids alone meet the labels; the texts of the chosen few are read afterwards, so no text is shuffled.
@@ -135,6 +137,7 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column, confirmed: int =
 
 def toxicity_of(model: Model, text: Column, bits: int = BITS) -> Column:
     """The score of a text column, 0 to 1. Null and empty texts have no features and get the bias alone."""
+    ship(SparkSession.active())
 
     @F.pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
