@@ -298,13 +298,15 @@ def zipped(names: Column, bodies: Column) -> Column:
 def saved(files: DataFrame, root: str) -> None:
     """Writes the rows of ``files`` (path, content) as files below ``root``, from the tasks; a task that runs again writes the same."""
 
-    def write(rows: Iterator) -> None:
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
         store, at = fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:/") else (fs.LocalFileSystem(), root)
-        for r in rows:
-            store.create_dir(f"{at}/{r['path']}".rsplit("/", 1)[0], recursive=True)
-            with store.open_output_stream(f"{at}/{r['path']}") as f:
-                f.write(bytes(r["content"]))
-
-    files.select("path", "content").foreachPartition(write)
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                store.create_dir(f"{at}/{path}".rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(f"{at}/{path}") as f:
+                    f.write(bytes(content))
+            yield batch[["path"]]
+
+    files.select("path", "content").mapInPandas(write, "path string").write.format("noop").mode("overwrite").save()
