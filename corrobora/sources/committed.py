@@ -1,8 +1,9 @@
 """Tables that grow by commits: a data source whose writers commit in two phases, and a store of contents upon it.
 
 A task writes one segment, which nobody reads until a manifest names it. The driver writes the manifest when all tasks are
-done: that one file is the commit. What a failed task wrote it deletes, and the driver what else its job wrote and did not commit; if
-a machine is lost before that, segments without a manifest stay unread until vacuum(). A commit that has a name happens once.
+done: that one file is the commit. What a failed task wrote it deletes, and the driver what else its job wrote and did not
+commit; a task that is done only after its job was given up finds that marked and deletes its segment. What a task leaves
+that is killed half-way, or a machine that is lost, stays unread until vacuum(). A commit that has a name happens once.
 """
 
 from __future__ import annotations
@@ -75,6 +76,7 @@ class Commit:
 
         store, root = store_of(self.path)
         store.create_dir(f"{root}/segments", recursive=True)
+        self.refuse_late()
         out, file, into = Segment(), f"{self.job}-{uuid.uuid4().hex}.parquet", None
         try:
             for batch in iterator:
@@ -91,13 +93,28 @@ class Commit:
                     out.high = max((x for x in (out.high, ends["max"]) if x is not None), default=None)
             if into is not None:
                 into.close()
+            self.refuse_late()
         except BaseException:
             if into is not None:
                 into.close()
-                store.delete_file(f"{root}/segments/{file}")
+                if file in names_in(self.path, "segments"):
+                    store.delete_file(f"{root}/segments/{file}")
             raise
         return out
 
+    def refuse_late(self) -> None:
+        """Ends a task whose job was given up. The mark is set before segments are listed and deleted, and looked for after a segment is
+        closed, so one of the two sees it."""
+        if self.job in names_in(self.path, "aborted"):
+            raise RuntimeError("the job was aborted")
+
+    def give_up(self) -> None:
+        store, root = store_of(self.path)
+        store.create_dir(f"{root}/aborted", recursive=True)
+        with store.open_output_stream(f"{root}/aborted/{self.job}"):
+            pass
+        self.undo()
+
     def publish(self, messages: list[Segment | None], name: str | None) -> bool:
         """Writes the manifest; False, and what was written goes, if a commit of this name is there."""
         store, root = store_of(self.path)
@@ -130,7 +147,7 @@ class BatchWriter(Commit, DataSourceArrowWriter):
         self.publish(messages, self.name)
 
     def abort(self, messages: list[Segment | None]) -> None:
-        self.undo()
+        self.give_up()
 
 
 class StreamWriter(Commit, DataSourceStreamArrowWriter):
@@ -143,7 +160,7 @@ class StreamWriter(Commit, DataSourceStreamArrowWriter):
         self.publish(messages, f"{self.name or 'stream'}-{batchId:012d}")
 
     def abort(self, messages: list[Segment | None], batchId: int) -> None:
-        self.undo()
+        self.undo()  # the next batch is of the same job
 
 
 @dataclass
@@ -221,13 +238,15 @@ def register(spark: SparkSession) -> None:
 
 
 def vacuum(path: str, older_than: float = 86_400) -> int:
-    """Deletes segments that no manifest names and that are older than so many seconds; returns how many."""
+    """Deletes segments that no manifest names, and marks of jobs that were given up, if they are older than so many seconds; returns
+    how many segments."""
     store, root = store_of(path)
     named, gone = {s["file"] for m in manifests(path) for s in m["segments"]}, 0
-    for name in names_in(path, "segments"):
-        if name not in named and time.time() - store.get_file_info(f"{root}/segments/{name}").mtime.timestamp() >= older_than:
-            store.delete_file(f"{root}/segments/{name}")
-            gone += 1
+    for folder in ("segments", "aborted"):
+        for name in names_in(path, folder):
+            if name not in named and time.time() - store.get_file_info(f"{root}/{folder}/{name}").mtime.timestamp() >= older_than:
+                store.delete_file(f"{root}/{folder}/{name}")
+                gone += folder == "segments"
     return gone
 
 

@@ -3,6 +3,7 @@
 import io
 import json
 import os
+import time
 import zipfile
 
 import pytest
@@ -130,7 +131,13 @@ def test_a_failing_task_leaves_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="broken"):
         bad.write.format("committed_log").mode("append").save(path)
     assert spark.read.format("committed_log").load(path).count() == 4 and len(committed.manifests(path)) == 1
+    time.sleep(3)  # tasks of the job that still ran are killed
+    committed.vacuum(path, 0)  # what one of them may have left half-way
     assert segments(tmp_path / "f") == before
+    late = committed.BatchWriter({"path": path}, spark.range(1).schema)
+    late.give_up()
+    with pytest.raises(RuntimeError, match="aborted"):
+        late.write(iter([]))
     (tmp_path / "f" / "segments" / "lost.parquet").write_bytes(b"x")  # of a machine that went away
     assert spark.read.format("committed_log").load(path).count() == 4
     assert committed.vacuum(path) == 0 and committed.vacuum(path, 0) == 1 and segments(tmp_path / "f") == before
