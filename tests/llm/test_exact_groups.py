@@ -8,7 +8,7 @@ from corrobora.llm import neardup
 from tests.llm.test_llm import brute_components, frame, words
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1])
 def test_no_link_is_lost(spark, monkeypatch, seed):
     rng = random.Random(seed)
     base = words(rng, 60, 10**6)
