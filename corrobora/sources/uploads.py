@@ -110,6 +110,23 @@ def expand(files: DataFrame, path: str = "path", content: str = "content") -> Da
     return files.select(F.col(path).alias("path"), F.col(content).alias("content")).mapInPandas(run, "path string, entry string, content binary, reason string")
 
 
+#: Rows of a frame, and bytes of content that end one earlier.
+FRAME_ROWS, FRAME_BYTES = 10_000, 32_000_000
+
+
+def framed(rows: Iterator[tuple], columns: list[str], size: Callable[[tuple], int]) -> Iterator[pd.DataFrame]:
+    """Rows in frames of FRAME_ROWS at most, or of those that FRAME_BYTES are reached with: a frame of its own for each costs more than its row."""
+    held, weight = [], 0
+    for r in rows:
+        held.append(r)
+        weight += size(r)
+        if len(held) >= FRAME_ROWS or weight >= FRAME_BYTES:
+            yield pd.DataFrame(held, columns=columns)
+            held, weight = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=columns)
+
+
 FOUND = "upload_id long, ord long, name string, entry string, page int, mime string, bytes long, content binary, reason string"
 
 
@@ -165,12 +182,16 @@ def discover(inputs: DataFrame, limits: dict = LIMITS, pages: Callable[[bytes],
                 why = room(data)
                 yield "", 1, mime, None if why else data, why
 
-        for pdf in batches:
-            for r in pdf.itertuples():
-                if r.upload_id != upload:
-                    upload, total, files = r.upload_id, 0, 0
-                data = bytes(r.content) if r.content is not None else b""
-                rows = [(r.upload_id, r.ord, r.name, e, p, m or None, len(d) if d is not None else len(data), d, why) for e, p, m, d, why in found(r.name, data)]
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in FOUND.split(", ")])
+        def rows() -> Iterator[tuple]:
+            nonlocal upload, total, files
+            for pdf in batches:
+                for r in pdf.itertuples():
+                    if r.upload_id != upload:
+                        upload, total, files = r.upload_id, 0, 0
+                    data = bytes(r.content) if r.content is not None else b""
+                    for e, p, m, d, why in found(r.name, data):
+                        yield r.upload_id, r.ord, r.name, e, p, m or None, len(d) if d is not None else len(data), d, why
+
+        yield from framed(rows(), [c.split()[0] for c in FOUND.split(", ")], lambda r: len(r[7] or b""))
 
     return inputs.select("upload_id", "ord", "name", "content").repartition("upload_id").sortWithinPartitions("upload_id", "ord").mapInPandas(run, FOUND)

@@ -196,3 +196,12 @@ def test_a_replayed_batch_adds_no_record(spark, tmp_path):
     changed = log.withColumn("payload", F.replace("payload", F.lit('"z":7'), F.lit('"z":8')))
     assert {r["id"] for r in signing.verified(changed, ed25519.public_key(seed)).where("NOT valid").collect()} == {3, 4, 7}
     assert signing.signed(rows.limit(0), seed).collect() == []
+
+
+def test_found_files_come_in_few_frames():
+    rows = [(i, b"x" * 10) for i in range(uploads.FRAME_ROWS + 5)]
+    frames = list(uploads.framed(iter(rows), ["n", "content"], lambda r: len(r[1])))
+    assert [len(f) for f in frames] == [uploads.FRAME_ROWS, 5] and [n for f in frames for n in f["n"]] == list(range(len(rows)))
+    large = [(i, b"x" * (uploads.FRAME_BYTES // 2)) for i in range(3)]
+    assert [len(f) for f in uploads.framed(iter(large), ["n", "content"], lambda r: len(r[1]))] == [2, 1]
+    assert list(uploads.framed(iter(()), ["n"], len)) == []
