@@ -13,6 +13,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from corrobora.functions import ed25519
 from corrobora.functions.canonical import canonical
+from corrobora.shared import spread
 from corrobora.ship import ship
 from corrobora.sources import committed
 
@@ -57,7 +58,7 @@ def verified(records: DataFrame, public: bytes, payload: str = "payload", signat
 
         return pd.Series([one(b, m) for b, m in zip(payloads, signatures, strict=True)], dtype=bool)
 
-    return records.withColumn("valid", check(payload, signature))
+    return spread(records).withColumn("valid", check(payload, signature))
 
 
 def issue_once(batch: DataFrame, seed: bytes, path: str, name: str) -> None:
@@ -65,7 +66,7 @@ def issue_once(batch: DataFrame, seed: bytes, path: str, name: str) -> None:
     committed.register(batch.sparkSession)
     if any(m["name"] == name for m in committed.manifests(path)):
         return
-    signed(batch, seed).write.format("committed_log").option("commit", name).mode("append").save(path)
+    signed(spread(batch), seed).write.format("committed_log").option("commit", name).mode("append").save(path)
 
 
 def signed_sink(stream: DataFrame, seed: bytes, path: str, label: str) -> DataStreamWriter:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from corrobora.constants import CODE_ATTEMPTS, CODE_SECONDS, FINAL_STATUSES, SESSION_SECONDS, STALE_SECONDS
-from corrobora.shared import shared_path
+from corrobora.shared import shared_path, written
 from corrobora.ship import ship
 
 # The process that plans a state's schema need not find this package.
@@ -228,15 +228,28 @@ def barrier_stream(uploads: DataFrame, statuses: DataFrame, seconds: int = STALE
     return _run(both, "application", Barrier(seconds, final, removed), "application long, at long, ready int, given_up int, documents int")
 
 
+#: Rows of a file of a stream that is replayed; a micro-batch has as many files as its rows need.
+FILE_ROWS = 50_000
+
+
 def replayed(rows: DataFrame, at: str, parts: int) -> DataFrame:
-    """A stream of the rows of a table in ``parts`` micro-batches, by ranges of ``at``."""
+    """A stream of the rows of a table in ``parts`` micro-batches, by ranges of ``at``.
+
+    ``rows`` are computed once. Every part has equally many files, written and read by as many tasks; where one has fewer
+    rows than files, empty files make up for them, so that a trigger takes a part.
+    """
     spark = rows.sparkSession
-    path = shared_path(spark, "replay")
-    low, high = rows.agg(F.min(F.unix_micros(at)), F.max(F.unix_micros(at))).first()
+    path, rows = shared_path(spark, "replay"), written(rows, "replayed")
+    low, high, many = rows.agg(F.min(F.unix_micros(at)), F.max(F.unix_micros(at)), F.count("*")).first()
     step = max(1, -(-((high or 0) - (low or 0) + 1) // parts))
+    files = max(1, -(-many // (parts * FILE_ROWS)))
     for n in range(parts):  # one after the other, so that files are taken in this order
-        rows.where(F.floor((F.unix_micros(at) - F.lit(low or 0)) / step) == n).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        own = f"{path}-{n}"
+        rows.where(F.floor((F.unix_micros(at) - F.lit(low or 0)) / step) == n).repartition(files).write.parquet(own)
+        there = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(own).select("path").count()
+        for _ in range(files - there):
+            rows.limit(0).coalesce(1).write.mode("append").parquet(own)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{path}-*")
 
 
 def run_to_end(stream: DataFrame, label: str, seconds: int = 1_800) -> DataFrame:

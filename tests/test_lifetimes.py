@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timezone
 
 import pytest
+from pyspark.sql import functions as F
 
 from corrobora.streaming import lifetimes
 
@@ -152,3 +153,15 @@ def test_a_replay_of_nothing(spark):
     assert lifetimes.run_to_end(lifetimes.swept(lifetimes.replayed(rows, "at", 2), 600), "t-none").collect() == []
     with pytest.raises(AssertionError):
         lifetimes.Barrier(1, (), "").over((1,), "d", 0, ())
+
+
+def test_a_part_of_a_replay_is_written_by_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(lifetimes, "FILE_ROWS", 10)
+    # The second part has one row for four files, the third has none but the last moment's.
+    rows = spark.createDataFrame([(i, at(T0 + i * 1_000_000)) for i in (*range(100), 150, 299)], "event_id long, at timestamp")
+    stream, batches = lifetimes.replayed(rows, "at", 3).withColumn("file", F.input_file_name()), []
+    query = stream.writeStream.foreachBatch(lambda b, n: batches.append(b.collect()) and None).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    query.stop()
+    assert [sorted(r["event_id"] for r in b) for b in batches] == [list(range(100)), [150], [299]]
+    assert len({r["file"] for r in batches[0]}) == 4
