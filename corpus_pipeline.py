@@ -29,7 +29,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stays; rows of one id with different texts are documents of their own. Ties go to the smaller hash of the text.
     Columns of any name are carried along. Empty input: no rows.
     """
-    grouped = neardup.grouped(docs, size=5, percent=80).where("`group` IS NOT NULL AND doc_id IS NOT NULL")
+    grouped = neardup.grouped(docs, size=5, percent=80, exact=True).where("`group` IS NOT NULL AND doc_id IS NOT NULL")
     rows = materialize(grouped.groupBy("group", "component_id", "doc_id", "look").agg(F.count("*").alias("n")), "groups")
     best = rows.where("doc_id = component_id").groupBy("group").agg(F.min("look").alias("best"))
     odd = rows.where("doc_id <> component_id OR n > 1").select("doc_id", "look").unionByName(rows.where("doc_id = component_id").join(best, "group").where("look <> best").select("doc_id", "look")).distinct()
