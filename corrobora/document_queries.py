@@ -10,6 +10,7 @@ from corrobora.operators import faces as face_ops
 from corrobora.operators.owned import Owned
 from corrobora.plans import evidence, extraction, intake, pages, reconcile
 from corrobora.queries import DOCUMENTS_SQL, FACES_SQL, PIVOT, _faces, documents, query, t
+from corrobora.shared import spread
 from corrobora.sources import readers
 from corrobora.workflow_queries import _GATE, _assessed, _gate_rows, _lines, cases
 
@@ -67,7 +68,7 @@ def _zone(spark, d) -> DataFrame:
     pad = lambda c, n: F.lpad(c.cast("string"), n, "0")
     sum_ = lambda c: numbers.mrz_check(c).cast("string")
     number, born, ends = F.concat(F.lit("K"), pad(k, 8)), F.concat(pad(70 + k % 20, 2), pad(1 + k % 12, 2), pad(1 + k % 28, 2)), F.lit("300101")
-    rows = t(spark, d, "customer").select(k, F.upper("c_mktsegment").alias("surname"), number.alias("number"), born.alias("born"), ends.alias("ends"), F.rpad(F.lit(""), 14, "<").alias("more"))
+    rows = spread(t(spark, d, "customer").select("c_custkey", "c_mktsegment"), "c_custkey").select(k, F.upper("c_mktsegment").alias("surname"), number.alias("number"), born.alias("born"), ends.alias("ends"), F.rpad(F.lit(""), 14, "<").alias("more"))
     marked = lambda c: F.concat(F.col(c), sum_(F.col(c)))
     rows = rows.withColumn("a", marked("number")).withColumn("b", marked("born")).withColumn("c", marked("ends")).withColumn("e", marked("more"))
     two = F.concat("a", F.lit("IND"), "b", F.lit("F"), "c", "e", sum_(F.concat("a", "b", "c", "e")))
