@@ -159,5 +159,5 @@ def folded_names(spark, d):
     """Names in full width, with ligatures, with marks that join, in letters that make syllables; genders in full width."""
     said = cases(F.col("c_custkey") % 5, F.translate("c_mktsegment", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", _WIDE), F.concat(F.lit("Zoe\u0308 "), "c_name"), F.concat(F.lit("O\ufb03ce\u00a0of "), "c_name"), F.concat(F.lit("\u1112\u1161\u11ab "), "c_name"), F.col("c_name"))
     sex = cases(F.col("c_custkey") % 5, "\uff26", "\uff2d\uff41\uff4c\uff45")
-    rows = t(spark, d, "customer").select("c_custkey", fields.nfkc(said).alias("folded"), fields.nfkc(sex).alias("sex"))
+    rows = spread(t(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment"), "c_custkey").select("c_custkey", fields.nfkc(said).alias("folded"), fields.nfkc(sex).alias("sex"))
     return rows.select("c_custkey", "folded", fields.gender(F.col("sex")).alias("gender"))
