@@ -205,3 +205,10 @@ def test_found_files_come_in_few_frames():
     large = [(i, b"x" * (uploads.FRAME_BYTES // 2)) for i in range(3)]
     assert [len(f) for f in uploads.framed(iter(large), ["n", "content"], lambda r: len(r[1]))] == [2, 1]
     assert list(uploads.framed(iter(()), ["n"], len)) == []
+
+
+def test_contents_leave_in_small_batches(spark):
+    """Archives are packed and saved without Arrow frames, which hold 10,000 rows however large they are."""
+    names, bodies = F.array(F.lit("a.txt")), F.array(F.encode(F.lit("x"), "UTF-8"))
+    plan = spark.range(3).select(archives.zipped(names, bodies).alias("content"))._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
