@@ -58,3 +58,30 @@ def test_queries_search_large_groups_exactly(spark, monkeypatch, tmp_path):
     bounded = {r["doc_id"] for r in neardup.near_duplicates(frame(spark, data), 5, 80, exact=False).where("kept").collect()}
     assert bounded != want
     assert {r["doc_id"] for r in corpus_pipeline.dedup_stage(spark, frame(spark, data), "").collect()} == want
+
+
+def test_blocks_do_not_depend_on_partitions(spark, monkeypatch):
+    """The exact search repeats its rows once for each block that they meet: blocks cut where partitions end would be many more."""
+    tables, write = [], neardup.materialize
+
+    def spied(df, label, **seen):
+        tables.append((label, out := write(df, label, **seen)))
+        return out
+
+    monkeypatch.setattr(neardup, "materialize", spied)
+    monkeypatch.setattr(neardup, "WINDOW", 32)
+    monkeypatch.setattr(neardup, "SEARCHES", 1)
+    monkeypatch.setattr(neardup, "sketch", lambda sig: b"\0" * neardup.BINS)
+    data = near_copies(random.Random(2), 120, 60, 9)
+    want = {i: v[1] for i, v in brute_components(data, 2, 80).items()}
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(frame(spark, data), 2, 80).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == want
+    assert 2 <= [neardup.facts(t)["rows"] for label, t in tables if label == "blocks"][-1] <= 10
