@@ -4,90 +4,87 @@ Rows that come in are held until the watermark has passed them and are then take
 do not depend on how a stream is cut into batches, nor on the order of rows inside the delay of the watermark; Spark drops
 rows that are older than the watermark of the batch before. Time is that of the events; timers fire by the watermark, and what they end comes out.
 
-State is kept by Spark for each key: the rows held, and what is alive. Both are bounded by the delay and by the lifetimes.
+State is kept by Spark for each slice of the keys, as one value: the rows held, and what is alive. Both are bounded by the
+delay and by the lifetimes. State goes to Python and back beside the rows, and a slice has one timer, for what comes first: a
+batch calls Python once for each slice, not several times for each key.
 """
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corrobora.constants import CODE_ATTEMPTS, CODE_SECONDS, FINAL_STATUSES, SESSION_SECONDS, STALE_SECONDS
 from corrobora.shared import shared_path, written
 from corrobora.ship import ship
 
-# The process that plans a state's schema need not find this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-#: The state store that holds lists, maps and timers.
+#: The state store, which keeps state on disk beside the executors.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 #: The end of what does not end by itself.
 EVER = 1 << 62
+#: Slices of the keys, by hash. A stream that goes on from its checkpoint needs the number it began with.
+SLICES = 256
 
 
-class InOrder(StatefulProcessor):
+class InOrder:
     """Takes the rows of a key in the order of (at, event_id) once the watermark has passed them.
 
     A subclass says what rows hold (``ROW``, beginning with at and event_id, microseconds and a number) and what is alive
-    (``ALIVE``, a map from a string), reads both in ``begin`` and decides in ``take`` and ``until``.
+    (``ALIVE``, under a name), and decides in ``take`` and ``until``.
     """
 
     ROW = "at long, event_id long"
     ALIVE = "until long"
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.held = handle.getListState("held", self.ROW)
-        self.alive = handle.getMapState("alive", "name string", self.ALIVE)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in self.ROW.split(", ")]
-        new = pd.concat(list(rows))[names].astype(object)
-        new = [tuple(None if pd.isna(v) else v for v in r) for r in new.itertuples(index=False, name=None)]
-        self.held.appendList([(int(r[0]), int(r[1]), *r[2:]) for r in new])
-        self.handle.registerTimer(min(int(r[0]) for r in new) // 1000 + 1)
-        yield from ()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """All that has happened by the watermark: one call does the work of every timer that is due; the next is for what comes first."""
-        now = int(timerValues.getCurrentWatermarkInMs()) * 1000
-        held = sorted(self.held.get(), key=lambda r: (r[0], r[1])) if self.held.exists() else []
-        alive = dict((k[0], tuple(v)) for k, v in self.alive.iterator()) if self.alive.exists() else {}
-        before, out = dict(alive), []
-        for r in (r for r in held if r[0] < now):
-            out += self.until(key, alive, r[0])
-            out += self.take(key, alive, r)
-        out += self.until(key, alive, now)
-        later = [tuple(r) for r in held if r[0] >= now]
-        if len(later) != len(held):
-            self.held.put(later) if later else self.held.clear()
-        for name in before.keys() - alive.keys():
-            self.alive.removeKey((name,))
-        for name, v in alive.items():
-            if before.get(name) != v:
-                self.alive.updateValue((name,), v)
-        due = [v[0] for v in alive.values() if v[0] < EVER] + [r[0] for r in later]
-        if due:
-            self.handle.registerTimer(max(min(due), now) // 1000 + 1)
+    @property
+    def state(self) -> str:
+        typed = lambda columns: ", ".join(c.replace(" ", ": ", 1) for c in columns.split(", "))
+        return f"held array<struct<key: string, {typed(self.ROW)}>>, alive array<struct<key: string, name: string, {typed(self.ALIVE)}>>"
+
+    def __call__(self, slice_, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """All that has happened by the watermark, whether rows came in or the timer is due; the next one is for what comes first."""
+        now, names = state.getCurrentWatermarkMs() * 1000, ["__key", *(c.split()[0] for c in self.ROW.split(", "))]
+        was, lived = state.get if state.exists else ([], [])
+        held: dict[str | None, list] = {}
+        for key, *r in was:
+            held.setdefault(key, []).append(tuple(r))
+        living: dict[str | None, dict] = {}
+        for key, name, *v in lived:
+            living.setdefault(key, {})[name] = tuple(v)
+        if not state.hasTimedOut:
+            for pdf in rows:
+                for key, at, event, *r in zip(*(pdf[c].tolist() for c in names), strict=True):
+                    held.setdefault(key, []).append((int(at), int(event), *(None if pd.isna(v) else v for v in r)))
+        out, later = [], []
+        for key in held | living:
+            alive, own = living.setdefault(key, {}), sorted(held.get(key, []), key=lambda r: r[:2])
+            for r in (r for r in own if r[0] < now):
+                out += self.until((key,), alive, r[0])
+                out += self.take((key,), alive, r)
+            out += self.until((key,), alive, now)
+            later += [(key, *r) for r in own if r[0] >= now]
+        left = [(key, name, *v) for key, alive in living.items() for name, v in alive.items()]
+        if later or left:
+            state.update((later, left))
+            if due := [v[2] for v in left if v[2] < EVER] + [r[1] for r in later]:
+                # It fires once the watermark is beyond that millisecond, and so beyond all moments of it.
+                state.setTimeoutTimestamp(min(due) // 1000)
+        elif state.exists:
+            state.remove()
         if out:
-            yield pd.DataFrame(out, columns=self.OUT)
+            yield pd.DataFrame(out, columns=self.OUT, dtype=object)
 
     def until(self, key, alive: dict, now: int) -> list[tuple]:
         """Rows for what has ended before ``now``, in order; ``alive`` maps names to tuples of ALIVE, the end first."""
         ended = sorted((v[0], k) for k, v in alive.items() if v[0] < now)
         return [x for end, name in ended for x in self.over(key, name, end, alive.pop(name))]
 
-    def close(self) -> None:
-        pass
-
 
 class SignIns(InOrder):
     """Codes that live for five minutes and five attempts, and the sessions of an hour that they open."""
@@ -191,8 +188,10 @@ def _timed(stream: DataFrame, late: str) -> DataFrame:
 def _run(timed: DataFrame, key: str, processor: InOrder, out: str) -> DataFrame:
     ship(timed.sparkSession)
     timed.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
-    done = timed.groupBy(key).transformWithStateInPandas(processor, out, "Append", "EventTime")
-    return done.withColumn("at", F.timestamp_micros("at"))
+    # Keys are text in Python, where numbers beside nulls would become floats.
+    sliced = timed.withColumn("__key", F.col(key).cast("string")).withColumn("__slice", F.pmod(F.xxhash64("__key"), F.lit(SLICES)))
+    done = sliced.groupBy("__slice").applyInPandasWithState(processor.__call__, f"{processor.OUT[0]} string, {out}", processor.state, "append", GroupStateTimeout.EventTimeTimeout)
+    return done.withColumn(processor.OUT[0], F.col(processor.OUT[0]).cast(timed.schema[key].dataType)).withColumn("at", F.timestamp_micros("at"))
 
 
 def sign_ins(stream: DataFrame, late: str = "10 minutes") -> DataFrame:
@@ -204,7 +203,7 @@ def sign_ins(stream: DataFrame, late: str = "10 minutes") -> DataFrame:
     or unauthorised; and code_over, session_over without an event when a lifetime has passed. What ends at a moment is
     still good at that moment.
     """
-    return _run(_timed(stream, late), "person", SignIns(), "person long, event_id long, at long, outcome string, subject string")
+    return _run(_timed(stream, late), "person", SignIns(), "event_id long, at long, outcome string, subject string")
 
 
 def swept(stream: DataFrame, seconds: int, final: tuple[str, ...] = (), late: str = "10 minutes") -> DataFrame:
@@ -212,7 +211,7 @@ def swept(stream: DataFrame, seconds: int, final: tuple[str, ...] = (), late: st
 
     Every row touches its key, and the wait begins anew; a status in ``final`` ends it without a row.
     """
-    return _run(_timed(stream, late), "key", Sweep(seconds, final), "key long, since long, at long").withColumn("since", F.timestamp_micros("since"))
+    return _run(_timed(stream, late), "key", Sweep(seconds, final), "since long, at long").withColumn("since", F.timestamp_micros("since"))
 
 
 def barrier_stream(uploads: DataFrame, statuses: DataFrame, seconds: int = STALE_SECONDS, final: tuple[str, ...] = tuple(FINAL_STATUSES), removed: str = "removed_by_user", late: str = "10 minutes") -> DataFrame:
@@ -225,7 +224,7 @@ def barrier_stream(uploads: DataFrame, statuses: DataFrame, seconds: int = STALE
     """
     opened = _timed(uploads.select("application", "document", "event_id", "at", F.lit(UPLOADED).alias("status")), late)
     both = opened.unionByName(_timed(statuses.select("application", "document", "event_id", "at", "status"), late))
-    return _run(both, "application", Barrier(seconds, final, removed), "application long, at long, ready int, given_up int, documents int")
+    return _run(both, "application", Barrier(seconds, final, removed), "at long, ready int, given_up int, documents int")
 
 
 #: Rows of a file of a stream that is replayed; a micro-batch has as many files as its rows need.

@@ -148,6 +148,24 @@ def test_an_application_comes_out_once(spark, tmp_path):
     assert any(w[3] for w in want) and any(w[2] > 1 for w in want)
 
 
+def test_state_is_kept_by_slices(spark, tmp_path, monkeypatch):
+    """Many keys share a call and a state; keys that are null or beyond what a double holds stay apart."""
+    monkeypatch.setattr(lifetimes, "SLICES", 4)
+    keys = [*range(200), (1 << 53) + 1, 1 << 53, None]
+    batches = [[(k, i, T0 + i * 1000, "put") for i, k in enumerate(keys)], [(1, 9999, T0 + 60 * MINUTE, "taken")]]
+    stream = stream_of(spark, tmp_path / "in", batches, "key long, event_id long, at timestamp, status string")
+    path, state = str(tmp_path / "out"), str(tmp_path / "state")
+    q = lifetimes.swept(stream, 600, ("taken",), "5 minutes").writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(path)
+    try:
+        q.awaitTermination(300)
+        most = max(o["numRowsTotal"] for p in q.recentProgress for o in p["stateOperators"])
+    finally:
+        q.stop()
+    assert most <= 4
+    got = [(r["key"], micros(r["since"]), micros(r["at"])) for r in spark.read.parquet(path).collect()]
+    assert sorted(got, key=lambda r: r[1]) == [(k, T0 + i * 1000, T0 + i * 1000 + 10 * MINUTE) for i, k in enumerate(keys)]
+
+
 def test_a_replay_of_nothing(spark):
     rows = spark.createDataFrame([], "key long, event_id long, at timestamp, status string")
     assert lifetimes.run_to_end(lifetimes.swept(lifetimes.replayed(rows, "at", 2), 600), "t-none").collect() == []
